@@ -135,4 +135,4 @@ def keep_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame, id_col:
 
 def row_digest(text):
     """128 bits of a text's SHA-256 as binary; null counts as empty."""
-    return F.substring(F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)), 1, 16)
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)

@@ -28,7 +28,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     SHA-256), times long (rows with this id and text), keep_id, group_size.
     Null texts count as empty; null ids count as the smallest and stay null.
     """
-    full = F.unhex(F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
+    full = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     thin = rows.select("doc_id", full.alias("full")).select("doc_id", F.substring("full", 1, 16).alias("digest"), F.substring("full", 17, 16).alias("tail"))
     thin = materialise(thin.groupBy("doc_id", "digest", "tail").agg(F.count("*").alias("times")))
@@ -39,7 +39,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     out = thin.join(by_hash, "digest", "left").select("doc_id", "digest", "tail", "times", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), single.alias("group_size"))
     if clash.isEmpty():
         return out
-    texts = rows.withColumn("full", F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))).withColumn("digest", F.substring("full", 1, 16)).withColumn("tail", F.substring("full", 17, 16)).join(clash, "digest", "left_semi")
+    texts = rows.withColumn("full", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))).withColumn("digest", F.substring("full", 1, 16)).withColumn("tail", F.substring("full", 17, 16)).join(clash, "digest", "left_semi")
     per_id = texts.groupBy("digest", "tail", F.coalesce("text", F.lit("")).alias("text"), "doc_id").agg(F.count("*").alias("times"))
     per_text = per_id.groupBy("digest", "text").agg(survivor.alias("keep_id"), F.sum("times").alias("group_size"))
     split = per_id.join(per_text, ["digest", "text"]).select("doc_id", "digest", "tail", "times", "keep_id", "group_size")
@@ -50,7 +50,7 @@ def _clashes(rows: DataFrame, by_hash: DataFrame) -> DataFrame:
     """Hashes of ``by_hash`` under which the texts of ``rows`` differ."""
     row = by_hash.agg(F.sum("group_size").alias("n")).first()
     large = by_hash.filter(F.col("group_size") > F.lit(max(100, int((row.n or 0) * LARGE_SHARE)))).select("digest", F.ceil(F.col("group_size") / ROWS_A_SALT).cast("int").alias("salts"))
-    texts = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.substring(F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)), 1, 16))
+    texts = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
     salted = texts.join(F.broadcast(large), "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(LONG_MIN))), F.col("salts")), F.lit(0)).cast("int"))
     wanted = by_hash.select("digest").join(F.broadcast(large), "digest", "left").select("digest", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     part = salted.join(wanted, ["digest", "salt"]).groupBy("digest", "salt").agg(F.min("text").alias("a"), F.max("text").alias("z"))
