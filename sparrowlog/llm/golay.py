@@ -9,7 +9,6 @@ them and its nearest codeword, which is within four bits of both.
 
 from __future__ import annotations
 
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -27,9 +26,14 @@ def _remainder(word: np.ndarray) -> np.ndarray:
     return r
 
 
-@cache
+#: Tables once they are made.
+_made: dict[str, tuple] = {}
+
+
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By syndrome: the error pattern; whether it has three bits; the five codewords of weight 7 that hold those bits."""
+    if "tables" in _made:
+        return _made["tables"]
     errors = np.zeros(2048, np.int64)
     three = np.zeros(2048, bool)
     holding = np.zeros((2048, 5), np.int64)
@@ -44,11 +48,14 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             three[syndromes] = True
             for p, s in zip(patterns, syndromes):
                 holding[s] = light[(light & p) == p]
-    return errors, three, holding
+    return _made.setdefault("tables", (errors, three, holding))
 
 
-@cache
 def _syndromes() -> tuple[np.ndarray, np.ndarray]:
+    return _made.get("syndromes") or _made.setdefault("syndromes", _both_halves())
+
+
+def _both_halves() -> tuple[np.ndarray, np.ndarray]:
     return _remainder(np.arange(2048, dtype=np.int64) << 12), _remainder(np.arange(4096, dtype=np.int64))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, line_dedup, minhash, simhash, token_files
+from . import bpe, exact_dedup, language_id, line_dedup, minhash, simhash, token_files
 from .common import scratch
 
 
@@ -24,12 +24,20 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(_documents(spark, sf_dir), width=3)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.evaluate(_documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = scratch(spark, "token-files")
     token_files.write(_documents(spark, sf_dir), where, _vocabulary("byte_bpe_50k.json"), end_id=2)
     return token_files.read(spark, where).drop("ids")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf_dir), bpe.read_ranks(_vocabulary("byte_bpe_50k.tiktoken")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir), keep="max")
 
@@ -74,7 +82,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_simhash_near_dedup, op3_token_files, op5_exact_dedup, op9_document_fingerprints, op10_line_dedup]
+    named = [op1_simhash_near_dedup, op2_language_id, op3_token_files, op4_byte_bpe, op5_exact_dedup, op9_document_fingerprints, op10_line_dedup]
     return {f.__name__: f for f in named}
 
 
