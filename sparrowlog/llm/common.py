@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,6 +61,14 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
+def per_process(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, once for each worker process, whose tasks follow one another."""
+    store = sys.modules.setdefault("_sparrowlog_process", types.ModuleType("_sparrowlog_process"))
+    if name not in store.__dict__:
+        store.__dict__[name] = make()
+    return store.__dict__[name]
+
+
 def lower_ascii_words(text: str | None) -> list[bytes]:
     """Words between runs of the six ASCII white-space bytes, A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

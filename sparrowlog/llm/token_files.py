@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 import uuid
@@ -27,11 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import LONG_MIN, chunk_count, chunks_of, order_splits
+from .common import LONG_MIN, chunk_count, chunks_of, order_splits, per_process
 
 MAGIC = b"TOKFRAM1"
 HEAD = len(MAGIC) + 33
@@ -39,10 +39,14 @@ HEAD = len(MAGIC) + 33
 TRAIN_DOCS, TRAIN_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 1 << 16
 LEVEL = 3
 #: Words whose ids a task keeps.
-CACHED_WORDS = 400_000
-#: Fixed value: how byte-level BPE splits a text before merging.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters on whose class all Unicode versions agree; a text with any other is encoded in one call.
+CACHED_WORDS = 300_000
+#: Documents that are encoded at once.
+BATCH = 256
+#: Letters, numbers and white space below U+0250, where _UNCOMMON characters are left out.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \xa0"
+#: How byte-level BPE splits a text before merging, for these characters.
+PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+#: All others; a text with any of them is encoded in one call.
 _UNCOMMON = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9fɐ-\U0010ffff]")
 
 
@@ -50,6 +54,7 @@ class WordEncoder:
     """Ids by the tokenizers library, which sees each word once while it is kept."""
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -58,7 +63,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         state = json.loads(definition).get("pre_tokenizer") or {}
         self.by_word = state.get("type") == "ByteLevel" and not state.get("add_prefix_space") and not json.loads(definition).get("normalizer")
-        self.split = regex.compile(PATTERN).findall
+        self.split = re.compile(PATTERN).findall
         self.words: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -75,7 +80,10 @@ class WordEncoder:
                 whole.append(i)
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        new = list({w for _, words in split for w in words if w not in self.words})
+        seen: set[str] = set()
+        for _, words in split:
+            seen.update(words)
+        new = list(seen.difference(self.words))
         self.words.update(zip(new, self._ids(new)))
         get = self.words.__getitem__
         for i, words in split:
@@ -136,10 +144,11 @@ def write(docs: DataFrame, where: str, tokenizer_file: str, end_id: int, id_col:
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         definition, dictionary = sent.value
-        encoder, packer = WordEncoder(definition), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **_codec(dictionary))
+        encoder = per_process(f"encoder-{hashlib.sha256(definition.encode()).hexdigest()}", lambda: WordEncoder(definition))
+        packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **_codec(dictionary))
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
                 ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
                 chunk = last - chunks_of(splits, batch.column(0).fill_null(LONG_MIN).to_numpy(zero_copy_only=False))
                 yield pa.record_batch([batch.column(0), pa.array(chunk.astype(np.int32)), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(map(packer.compress, ids), pa.binary())], names=["doc_id", "chunk", "n", "frame"])
