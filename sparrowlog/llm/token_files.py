@@ -42,12 +42,12 @@ LEVEL = 3
 CACHED_WORDS = 1_000_000
 #: Documents that are encoded at once.
 BATCH = 512
-#: Letters, numbers and white space below U+0250, where _UNCOMMON characters are left out.
+#: Letters, numbers and white space below U+0250, where UNCOMMON characters are left out.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \xa0"
 #: How byte-level BPE splits a text before merging, for these characters.
 PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: All others; a text with any of them is encoded in one call.
-_UNCOMMON = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9fɐ-\U0010ffff]")
+UNCOMMON = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9fɐ-\U0010ffff]")
 
 
 class WordEncoder:
@@ -92,7 +92,7 @@ class WordEncoder:
         out: list = [None] * len(texts)
         split, whole = [], []
         for i, text in enumerate(texts):
-            if self.by_word and not _UNCOMMON.search(text or ""):
+            if self.by_word and not UNCOMMON.search(text or ""):
                 split.append((i, self.split(text or "")))
             else:
                 whole.append(i)
