@@ -31,7 +31,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = scratch(spark, "token-files")
     token_files.write(_documents(spark, sf_dir), where, vocabulary("byte_bpe_50k.json"), end_id=2)
-    return token_files.read(spark, where).drop("ids")
+    return token_files.read(spark, where, with_ids=False).drop("ids")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

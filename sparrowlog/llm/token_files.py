@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,9 +40,9 @@ HEAD = len(MAGIC) + 33
 TRAIN_DOCS, TRAIN_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 1 << 16
 LEVEL = 3
 #: Words whose ids a task keeps.
-CACHED_WORDS = 1_000_000
-#: Documents that are encoded at once.
-BATCH = 512
+CACHED_WORDS = 800_000
+#: Documents, and code points of them, that are encoded at once.
+BATCH, BATCH_CHARS = 2_000, 6_000_000
 #: Letters, numbers and white space below U+0250, where UNCOMMON characters are left out.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \xa0"
 #: How byte-level BPE splits a text before merging, for these characters.
@@ -151,8 +152,10 @@ def write(docs: DataFrame, where: str, tokenizer_file: str, end_id: int, id_col:
     width, end = encoder.width, np.array([end_id], encoder.dtype).tobytes()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    sample = rows.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text")).orderBy("h", "text").limit(TRAIN_DOCS)
-    dictionary = train_dictionary([x + end for x in encoder.encode([r.text for r in sample.collect()])])
+    h = F.xxhash64("doc_id")
+    chosen = [r.doc_id for r in rows.select("doc_id").orderBy(h, "doc_id").limit(TRAIN_DOCS).collect() if r.doc_id is not None]
+    sample = rows.filter(F.col("doc_id").isin(chosen)).select(h.alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text")).orderBy("h", "text").limit(TRAIN_DOCS)
+    dictionary = train_dictionary([x + end for x in encoder.encode([r.text for r in sample.collect()])] if chosen else [])
     fs, path = _fs(where)
     fs.create_dir(path, recursive=True)
     _put(f"{where}/dictionary.zdict", dictionary)
@@ -165,8 +168,7 @@ def write(docs: DataFrame, where: str, tokenizer_file: str, end_id: int, id_col:
         encoder = per_process(f"encoder-{hashlib.sha256(definition.encode()).hexdigest()}", lambda: WordEncoder(definition))
         packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **_codec(dictionary))
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
+            for batch in _slices(whole):
                 ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
                 chunk = last - chunks_of(splits, batch.column(0).fill_null(LONG_MIN).to_numpy(zero_copy_only=False))
                 yield pa.record_batch([batch.column(0), pa.array(chunk.astype(np.int32)), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(map(packer.compress, ids), pa.binary())], names=["doc_id", "chunk", "n", "frame"])
@@ -196,6 +198,17 @@ def write(docs: DataFrame, where: str, tokenizer_file: str, end_id: int, id_col:
     return manifest
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (doc_id, text) in parts of up to BATCH rows and about BATCH_CHARS bytes, one row at least."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        reach = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS, "right"))
+        to = min(max(reach, at + 1), at + BATCH)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class _File:
     def __init__(self, where: str, chunk: int, digest: bytes, width: int):
         self.where, self.chunk, self.name = where, chunk, f"part-{chunk:05d}.tok"
@@ -264,8 +277,11 @@ class TokenFile:
         return np.frombuffer(self.unpacker.decompress(frame), "<u2" if self.width == 2 else "<u4").astype("<u4")
 
 
-def read(spark: SparkSession, where: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids binary) of each document, from the files; ids little-endian uint32."""
+def read(spark: SparkSession, where: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids binary) of each document, from the files; ids little-endian uint32.
+
+    Without ``with_ids`` the ids are read and summed up but not passed on: null.
+    """
     manifest, dictionary = json.loads(_get(f"{where}/manifest.json")), _get(f"{where}/dictionary.zdict")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
     listed = [(r["file"], r["start"]) for r in manifest["files"]]
@@ -280,9 +296,9 @@ def read(spark: SparkSession, where: str) -> DataFrame:
                 size = 0
                 for i, ids in enumerate(file.frames()):
                     body = ids.tobytes()
-                    held.append((None if file.null[i] else int(file.ids[i]), start, len(ids), zlib.crc32(body), body))
+                    held.append((None if file.null[i] else int(file.ids[i]), start, len(ids), zlib.crc32(body), body if with_ids else None))
                     start += len(ids)
-                    size += len(body)
+                    size += len(body) * with_ids
                     if size > 1 << 24 or len(held) >= 5000:
                         yield _batch(held, schema)
                         held, size = [], 0
