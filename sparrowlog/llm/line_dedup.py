@@ -91,7 +91,7 @@ def change_filters(filters: DataFrame, before: DataFrame, after: DataFrame, leas
     moved = was.join(now, ["hi", "lo"], "full_outer").filter("was is null or now is null").select("hi", _shard(shards).alias("shard"), F.col("now").isNotNull().alias("enters"))
     kept = now.select("hi", _shard(shards).alias("shard"))
 
-    def f(key: tuple, old: pd.DataFrame, change: pd.DataFrame, whole: pd.DataFrame | None = None) -> pd.DataFrame:
+    def f(key: tuple, old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
         shard = CuckooFilter.from_bytes(old.body.iloc[0]) if len(old) else built(np.zeros(0, np.uint64))
         h = change.hi.to_numpy(np.int64).view(np.uint64)
         shard.delete(h[~change.enters.to_numpy(bool)])

@@ -1,0 +1,549 @@
+"""Corpus operators against brute force, and on odd tables."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from sparrowlog.llm import bpe, components, cuckoo, exact_dedup, golay, language_id, line_dedup, minhash, mixing, pii, queries, simhash, token_files, warc
+from sparrowlog.llm.common import chunk_of, chunks_of, order_splits, shingle_hashes
+
+LONG = "wort " * 30_000 + "end"
+ODD = [
+    (1, "The cat sat on the mat.\nRepeated line\nlast", "en", "a"), (1, "The cat sat on the mat.\nRepeated line\nlast", "en", "a"), (2, None, None, None), (3, "", "en", "b"), (4, " \t\n", "de", "b"),
+    (None, "no id here at all, my friend", "en", "a"), (None, None, None, None), (5, LONG, "de", "c"), (6, "The cat sat on the mat.\nRepeated line\nlast", "en", "c"), (7, "日本語テキスト １２３ \x1c é\U0001f600", None, "a"), (8, "x", "fr", ""), (-9, "ÀÉ ÎÕ straße\r\n\u0085z", "fr", "a"),
+]
+#: Names the operators use inside or return.
+CLASH = ["fp", "fingerprint", "component_id", "digest", "kept", "chunk", "halo", "n", "h", "key", "node", "lang_pred", "score", "topic", "language", "tokens", "ids", "words"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string").repartition(3)
+    return df.withColumns({c: F.lit(1) for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.limit(0)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [tuple(r) for r in docs.select("doc_id", "text", "lang").orderBy("doc_id").collect()]
+
+
+def sha(text):
+    return hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def counted(rows):
+    return Counter(map(tuple, rows))
+
+
+# ------------------------------------------------------------------- shared
+
+
+def test_shingles_are_xxh64_of_joined_words():
+    assert shingle_hashes("A b\tC\nd", 3).tolist() == [xxhash.xxh64_intdigest(x, 42) for x in (b"a b c", b"b c d")]
+    assert shingle_hashes("One two", 3).tolist() == [xxhash.xxh64_intdigest(b"one two", 42)]
+    assert len(shingle_hashes(None, 3)) == len(shingle_hashes(" \n", 3)) == 0
+    assert shingle_hashes("É É", 2)[0] == xxhash.xxh64_intdigest("É É".encode(), 42)
+
+
+def test_order_splits_are_real_keys(spark):
+    df = spark.range(1000).selectExpr("id * 3 as k")
+    s = order_splits(df, "k", 7)
+    assert s[0] == 2997 and all(x % 3 == 0 for x in s) and s == sorted(s, reverse=True)
+    assert [chunk_of(s, k) for k in (2997, s[1], s[1] + 1, -5)] == [0, 1, 0, len(s) - 1]
+    assert chunks_of(s, np.array([2997, -5])).tolist() == [0, len(s) - 1]
+
+
+def forest(edges):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_random_graphs(spark, seed):
+    r = random.Random(seed)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = forest([e for e in edges if e[0] != e[1]])
+    assert got == want
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# ---------------------------------------------------------------- 1 SimHash
+
+
+def test_golay_words_within_two_bits_share_a_key():
+    r = np.random.default_rng(0)
+    a = r.integers(0, 1 << 23, 3000)
+    b = a ^ (1 << r.integers(0, 23, 3000)) ^ (1 << r.integers(0, 23, 3000)) * r.integers(0, 2, 3000)
+    (ka, va), (kb, vb) = golay.keys(a), golay.keys(b)
+    assert all(set(x[p]) & set(y[q]) for x, p, y, q in zip(ka, va, kb, vb))
+    assert set(va.sum(axis=1)) == {1, 6}
+
+
+@pytest.mark.parametrize("keys,bits", [(golay.exact_and_fuzzy_keys, 2), (golay.fuzzy_pair_keys, 5)])
+def test_fingerprint_keys_reach_their_radius(keys, bits):
+    r = random.Random(3)
+    a = [r.getrandbits(64) for _ in range(300)]
+    b = [x ^ sum(1 << i for i in r.sample(range(64), bits)) for x in a]
+    found = []
+    for fps in (a, b):
+        own = defaultdict(set)
+        for i, k in zip(*(x.tolist() for x in keys(np.array(fps, np.uint64)))):
+            own[i].add(k)
+        found.append(own)
+    assert all(found[0][i] & found[1][i] for i in range(300))
+
+
+def test_links_of_hot_keys_are_exact(spark):
+    r = random.Random(5)
+    base = r.getrandbits(64)
+    near = {base ^ sum(1 << i for i in r.sample(range(64), r.choice([0, 1, 1, 2, 3, 4]))) for _ in range(400)} | {r.getrandbits(64) for _ in range(100)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in near]
+    links = [(a.u, a.v) for a in simhash.links_within_two(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
+    bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    assert all(bits(a, b) <= 2 and a != b for a, b in links)
+    assert forest(links) == forest([(a, b) for a in signed for b in signed if a < b and bits(a, b) <= 2])
+
+
+def brute_simhash(text):
+    hs = shingle_hashes(text, 3).tolist()
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "empty"])
+def test_near_dedup_against_brute_force(request, table):
+    df = request.getfixturevalue(table)
+    src = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    fps = [brute_simhash(t) for _, t in src]
+    root = forest([(a, b) for a in set(fps) for b in set(fps) if bin(a ^ b).count("1") <= 2])
+    least = {}
+    for (i, _), f in zip(src, fps):
+        if i is not None:
+            least[root[f]] = min(i, least.get(root[f], i))
+    want = counted((i, f"{f:016x}", least.get(root[f])) for (i, _), f in zip(src, fps))
+    assert counted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_dedup(df).collect()) == want
+
+
+def test_drop_near_copies(spark):
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(r.choices(words, k=300)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for i in range(10):  # near copies: one word in 300 changed
+        w = texts[i].split()
+        w[150] = "changed"
+        rows.append((100 + i, " ".join(w)))
+    rows += [(200, texts[0]), (201, None), (202, ""), (203, texts[29]), (203, texts[29])]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")))
+    assert kept.columns == ["doc_id", "text", "fp"]
+    assert sorted(x.doc_id for x in kept.collect()) == [*range(30), 201]
+
+
+def test_drop_near_copies_of_one_large_group(spark):
+    r = random.Random(2)
+    base = [f"w{r.randrange(5000)}" for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        w = list(base)
+        w[r.randrange(400)] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    assert [x.doc_id for x in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+# ------------------------------------------------------------ 2 language ID
+
+
+SAMPLES = {"en": "the cat and the dog ran over the hill " * 20, "de": "der hund und die katze liefen über den berg " * 20}
+
+
+def test_phrases_against_substring_search():
+    m = language_id.Model(SAMPLES)
+    texts = ["The hill and the katze", "über 12 日本 x", "q" * 3000, "a"]
+
+    def brute(text, sample):
+        s, b, n = bytes(m.alphabet.symbols(sample)), bytes(m.alphabet.symbols(text)), 0
+        for at in range(0, len(b), language_id.BLOCK):
+            x, i = b[at : at + language_id.BLOCK], 0
+            while i < len(x):
+                j = i + 1
+                while j <= len(x) and x[i:j] in s:
+                    j += 1
+                i, n = max(i + 1, j - 1), n + 1
+        return n
+
+    assert m.phrases(texts).tolist() == [[brute(t, SAMPLES[k]) for k in m.languages] for t in texts]
+
+
+def test_predictions_of_odd_texts():
+    m = language_id.Model(SAMPLES)
+    assert m.predict([None, "", "12 !!", "the dog", "die katze"])[0] == ["und", "und", "und", "en", "de"]
+    assert m.predict([None])[1] == [0.0]
+    assert language_id.Model({}).predict(["text"]) == (["und"], [0.0])
+    assert language_id.Model({"en": "abc"}).predict(["abc"]) == (["en"], [1.0])
+
+
+def test_language_id_held_out(docs, rows):
+    got = {r.doc_id: r for r in language_id.evaluate(docs).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in rows)
+    out = [(got[i].lang_pred, lang) for i, _, lang in rows if got[i].held_out]
+    assert sum(a == b for a, b in out) >= 0.95 * len(out)
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_language_id_ignores_held_out_labels(docs, rows):
+    wrong = docs.withColumn("lang", F.when(language_id.held_out(), F.lit("xx")).otherwise(F.col("lang")))
+    a, b = ({r.doc_id: r.lang_pred for r in language_id.evaluate(x).collect()} for x in (docs, wrong))
+    assert a == b
+
+
+def test_language_id_odd(odd, empty):
+    got = language_id.evaluate(odd).collect()
+    assert len(got) == len(ODD) and sum(r.lang_pred == "und" for r in got) == 4
+    assert language_id.evaluate(empty).collect() == []
+
+
+# ------------------------------------------------------------ 3 token files
+
+
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return t
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "empty"])
+def test_token_files_round_trip(request, spark, tmp_path, table):
+    df = request.getfixturevalue(table)
+    where = f"file://{tmp_path}/tokens"
+    manifest = token_files.write(df, where, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    got = sorted(token_files.read(spark, where).collect(), key=lambda r: r.start)
+    t = tokenizer()
+    src = [(r.doc_id, t.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in df.select("doc_id", "text").collect()]
+    assert counted((r.doc_id, tuple(np.frombuffer(r.ids, "<u4"))) for r in got) == counted((i, tuple(x)) for i, x in src)
+    assert [r.doc_id is None or r.doc_id for r in got] == [i is None or i for i, _ in sorted(src, key=lambda x: (x[0] is not None, x[0] or 0))]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert all(r.ids_crc32 == zlib.crc32(r.ids) and r.n_tokens == len(r.ids) // 4 for r in got)
+    assert manifest["n_tokens"] == sum(len(x) for _, x in src)
+    if manifest["files"]:  # a document alone, by its offset
+        dictionary = (tmp_path / "tokens/dictionary.zdict").read_bytes()
+        f = token_files.TokenFile(f"{where}/{manifest['files'][0]['file']}", dictionary)
+        assert f.document(len(f.ids) - 1).tolist() == list(f.frames())[-1].tolist()
+        with pytest.raises(ValueError):
+            token_files.TokenFile(f"{where}/{manifest['files'][0]['file']}", b"another dictionary")
+
+
+def test_word_encoder_equals_the_library():
+    t = token_files.WordEncoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    texts = [x[1] for x in ODD] + ["don't  stop'll 1²3\t é\xa0ñ", "  ", "<|endoftext|>", "a\x1cb", "　x"]
+    plain = tokenizer()
+    assert t.encode(texts) == [np.array(plain.encode(x or "", add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
+
+
+# -------------------------------------------------------------------- 4 BPE
+
+
+def encoding():
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("table,tail", [("docs", "heap"), ("odd", "heap"), ("odd", "fold"), ("empty", "heap")])
+def test_bpe_equals_tiktoken(request, table, tail):
+    df = request.getfixturevalue(table)
+    ranks, enc = encoding()
+    src = [(r.doc_id, enc.encode_ordinary(r.text or ""), r.text) for r in df.select("doc_id", "text").collect()]
+    got = bpe.round_trip(df, ranks, tail=tail).collect()
+    assert counted(got) == counted((i, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), sha(t)) for i, x, t in src)
+
+
+def test_merges_of_long_words():
+    ranks, enc = encoding()
+    for w in ("a" * 500, "thequickbrown" * 60, "é" * 333, "\n" * 1000):
+        want = enc.encode_ordinary(w)
+        assert bpe.heap_merge(w.encode(), ranks) == want == bpe.merge(w.encode(), ranks)
+
+
+# ------------------------------------------------------------ 5 exact dedup
+
+
+def brute_groups(src, pick):
+    groups = defaultdict(list)
+    for i, t in src:
+        groups[t or ""].append(i)
+    out = Counter()
+    for t, ids in groups.items():
+        keep = pick(ids)
+        first = True
+        for i in ids:
+            kept = i == keep and first
+            first = first and not kept
+            out[(i, keep, len(ids), kept, sha(t))] += 1
+    return out
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "empty"])
+def test_exact_dedup_against_brute_force(request, table):
+    df = request.getfixturevalue(table)
+    src = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    largest = lambda ids: max((i for i in ids if i is not None), default=None)
+    assert counted(exact_dedup.exact_dedup(df).collect()) == brute_groups(src, largest)
+    kept = exact_dedup.drop_exact_copies(df)
+    assert kept.columns == df.columns
+    assert counted((r.doc_id, r.text or "") for r in kept.collect()) == counted((largest([i for i, t in src if (t or "") == x]), x) for x in {t or "" for _, t in src})
+
+
+def test_exact_dedup_splits_colliding_hashes(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "c")], "doc_id long, text string")
+    real = exact_dedup._clashes
+    assert real(df, exact_dedup.groups(df).select("digest", "group_size").distinct()).count() == 0
+    monkeypatch.setattr(exact_dedup, "_clashes", lambda rows, by_hash: by_hash.select("digest"))
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df).collect()) == [(1, 2, 2), (2, 2, 2), (3, 4, 2), (4, 4, 2), (5, 5, 1)]
+
+
+# ------------------------------------------------------------------- 6 WARC
+
+
+def test_audit_finds_planted_damage(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r.status for r in warc.audit(pages, queries.damaged_replica(pages)).collect()}
+    ids = [r.page_id for r in pages.select("page_id").collect()]
+    want = {i: "missing" if i % 211 == 13 else "damaged" if i % 101 == 7 else "intact" for i in ids} | {max(ids) + 1: "added"}
+    assert got == want
+    assert {r.status for r in warc.audit(pages, pages.repartition(3)).collect()} == {"intact"}
+
+
+def test_audit_of_odd_pages(spark):
+    rows = [(1, "u", "h"), (1, "u", "h"), (2, None, None), (None, "u", "x"), (-5, "u", "é"), (10**12, "u", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0))
+    out = warc.audit(pages, pages).collect()
+    assert len(out) == 6 and {r.status for r in out} == {"intact"}
+    by_place = sorted(out, key=lambda r: r.offset)
+    assert [r.offset for r in by_place] == np.cumsum([0, *(r.length for r in by_place)])[:-1].tolist() and by_place[0].page_id is None
+    once = pages.dropDuplicates(["page_id"])
+    assert {r.page_id: r.status for r in warc.audit(pages, once).collect()} == {1: "damaged", 2: "intact", None: "intact", -5: "intact", 10**12: "intact"}
+    assert warc.audit(pages.limit(0), pages.limit(0)).collect() == []
+    assert {r.status for r in warc.audit(pages, pages.limit(0)).collect()} == {"missing"}
+
+
+# ----------------------------------------------------------------- 7 mixing
+
+
+def test_raking_meets_its_targets():
+    import pandas as pd
+
+    r = np.random.default_rng(0)
+    cells = pd.DataFrame([(f"s{i}", f"l{j}", f"t{k}", int(r.integers(1, 1000))) for i in range(5) for j in range(3) for k in range(2)], columns=["source", "language", "topic", "tokens"])
+    t = mixing.Targets(source={"s0": 0.5}, language={"l0": 0.2, "l1": 0.3}, topic={"t1": 0.9}, temper=0.0)
+    cells["raked"] = mixing.rake(cells, t)
+    assert cells.groupby("source").raked.sum().round(6).tolist() == [0.5, 0.125, 0.125, 0.125, 0.125]
+    assert cells.groupby("language").raked.sum().round(6).tolist() == [0.2, 0.3, 0.5]
+    assert cells.groupby("topic").raked.sum().round(6).tolist() == [0.1, 0.9]
+    w = (cells.raked / cells.tokens).to_numpy()
+    rate = mixing.common_rate(cells.tokens.to_numpy(float), w, 0.3)
+    assert (cells.tokens * np.minimum(1, rate * w)).sum() == pytest.approx(0.3 * cells.tokens.sum())
+
+
+def test_raking_by_joins_is_the_same(spark, docs):
+    import pandas as pd
+
+    t = queries.MIX
+    labelled = mixing._labelled(docs.select(F.col("text").alias("t"), F.col("source").alias("s"), F.col("lang").alias("l")), [*mixing.AXES, "tokens"], F.col("s"), F.col("l"), F.col("t"))
+    cells = labelled.groupBy(*mixing.AXES).agg(F.sum("tokens").alias("tokens")).filter("source in ('src0', 'src1', 'src2')")
+    local = cells.toPandas().sort_values(list(mixing.AXES), ignore_index=True)
+    short = mixing.ROUNDS
+    mixing.ROUNDS = 4
+    try:
+        want = mixing.rake(local, t)
+        got = mixing.rake_cells(cells, t).toPandas().sort_values(list(mixing.AXES), ignore_index=True)
+    finally:
+        mixing.ROUNDS = short
+    assert isinstance(got, pd.DataFrame) and np.allclose(got.raked, want)
+
+
+def test_sampling(odd, empty, docs):
+    plan = mixing.plan(docs, queries.MIX).collect()
+    assert len(plan) == docs.count()
+    taken = {r.doc_id for r in plan if r.selected}
+    assert {r.doc_id for r in mixing.sample(docs.repartition(7), queries.MIX).collect()} == taken
+    assert sum(r.n_tokens * r.probability for r in plan) == pytest.approx(queries.MIX.share * sum(r.n_tokens for r in plan), rel=1e-6)
+    assert len(mixing.plan(odd, queries.MIX).collect()) == len(ODD)
+    assert mixing.sample(odd, queries.MIX).columns == odd.columns
+    assert mixing.plan(empty, queries.MIX).collect() == [] and mixing.sample(empty, queries.MIX).collect() == []
+
+
+# -------------------------------------------------------------------- 8 PII
+
+PRIVATE = {
+    "email": "jo.hn7@mail3.example.com", "card": "4539 1488 0343 6467", "ip": "213.174.22.103", "phone": "+1 (017) 555-7713", "ssn": "536-90-4399", "iban": "DE89 3704 0044 0532 0130 00", "date": "1987-02-28",
+}
+
+
+@pytest.mark.parametrize("kind", PRIVATE)
+def test_pseudonyms_keep_format_and_come_back(kind):
+    f = pii.Feistel(b"k")
+    v = PRIVATE[kind]
+    text = f"Erste {v}, dann {v}!"
+    out, spans = pii.pseudonymise(text, f)
+    assert [(k, text[a:z]) for k, a, z in spans] == [(kind, v)] * 2
+    new = out[6 : 6 + len(v)]
+    assert v not in out and out == f"Erste {new}, dann {new}!" or kind == "ip"
+    assert v not in out and pii.restore(out, f) == text
+    assert out != pii.pseudonymise(text, pii.Feistel(b"other"))[0]
+    shape = lambda s: "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in s)
+    if kind != "ip":
+        assert shape(new) == shape(v)
+
+
+def test_invalid_and_clean_text_stay():
+    f = pii.Feistel(b"k")
+    for t in ("4539148803436468", "2024-02-30", "999.1.2.3", "Version 1.2 of 3.4 in 1999", "no numbers", "", None, "000-12-3456", "100,000 and 12/5"):
+        assert pii.pseudonymise(t, f) == (t, [])
+
+
+def test_feistel_is_a_permutation():
+    f = pii.Feistel(b"k")
+    assert sorted(f.below(i, 1000, "t") for i in range(1000)) == list(range(1000))
+    assert all(f.below(f.below(i, 77, "t"), 77, "t", back=True) == i for i in range(77))
+    assert len({tuple(f.digits([a, b, c], 10, "t")) for a in range(10) for b in range(10) for c in range(10)}) == 1000
+
+
+def test_pseudonyms_of_tables(docs, odd, empty):
+    out = {r.doc_id: r for r in pii.pseudonyms(docs, b"k").collect()}
+    f = pii.Feistel(b"k")
+    src = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert all(pii.restore(out[i].text, f) == t and (out[i].n_replaced > 0) == (out[i].text != t) for i, t in src.items())
+    assert any(r.n_replaced for r in out.values())
+    assert counted((r.doc_id, r.text) for r in pii.pseudonyms(odd, b"k").collect()) == counted((i, t) for i, t, *_ in ODD)
+    assert pii.pseudonyms(empty, b"k").collect() == []
+
+
+# ---------------------------------------------------------- 9 fingerprints
+
+
+def true_likeness(a, b):
+    x, y = (set(shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_likeness_is_near_jaccard():
+    r = random.Random(0)
+    words = [f"w{i}" for i in range(2000)]
+    off = []
+    for _ in range(60):
+        a = r.choices(words, k=r.choice([3, 8, 40, 300, 2000]))
+        b = list(a)
+        for _ in range(r.randrange(1 + len(a) // 10)):
+            b[r.randrange(len(b))] = "x"
+        a, b = " ".join(a), " ".join(b)
+        off.append(minhash.likeness(minhash.fingerprint(a), minhash.fingerprint(b)) - true_likeness(a, b))
+    assert abs(np.mean(off)) < 0.02 and np.sqrt(np.mean(np.square(off))) < 0.05
+    assert minhash.fingerprint(None) == minhash.fingerprint(" ") == b"" and minhash.likeness(b"", b"") == 1.0
+    assert minhash.likeness(minhash.fingerprint("a"), b"") == 0.0 and len(minhash.fingerprint("a")) == minhash.BINS * minhash.BITS // 8
+
+
+def test_densification_takes_only_full_bins():
+    full = np.zeros(minhash.BINS, bool)
+    full[[3, 77]] = True
+    values = np.arange(minhash.BINS, dtype=np.uint64)
+    out = minhash.densify(values, full)
+    assert set(out.tolist()) == {3, 77} and abs((out == 3).mean() - 0.5) < 0.1
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "empty"])
+def test_edit_study_against_brute_force(request, table):
+    df = request.getfixturevalue(table)
+    src = [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+    src.sort(key=lambda x: x[1], reverse=True)
+    src.sort(key=lambda x: (x[0] is not None, x[0] or 0), reverse=True)
+    want = Counter()
+    for i, (d, t) in enumerate(src):
+        after, k = src[(i + 1) % len(src)][1], len(t) // 3
+        edited = t[: len(t) - k] + after[:k]
+        a, b, c = map(minhash.fingerprint, (t, edited, after))
+        want[(d, len(t), sha(edited), a.hex(), b.hex(), minhash.likeness(a, b), minhash.likeness(a, c))] += 1
+    assert counted(minhash.edit_study(df).collect()) == want
+
+
+# ------------------------------------------------------------ 10 line dedup
+
+
+def brute_lines(src, least_docs, least_chars=1):
+    strip = " \t\n\v\f\r"
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(strip).translate(low)
+    held = Counter(k for _, t in src for k in {key(x) for x in (t or "").split("\n")} if len(k) >= least_chars)
+    out = Counter()
+    for i, t in src:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if held[key(x)] < least_docs or len(key(x)) < least_chars]
+        out[(i, len(lines), len(lines) - len(kept), "\n".join(kept))] += 1
+    return out
+
+
+@pytest.mark.parametrize("table,least", [("docs", 3), ("odd", 2), ("empty", 2)])
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+def test_line_dedup_against_brute_force(request, table, least, broadcast):
+    df = request.getfixturevalue(table)
+    src = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    assert counted(line_dedup.dedup_lines(df, least, 1, broadcast_keys=broadcast).collect()) == brute_lines(src, least)
+
+
+def test_line_counts_are_reversible(spark, docs):
+    first, second = docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id % 3 = 0")
+    before = line_dedup.line_counts(first)
+    after = line_dedup.change_counts(before, second, 1)
+    table = lambda c: {tuple(r) for r in c.collect()}
+    assert table(after) == table(line_dedup.line_counts(docs))
+    assert table(line_dedup.change_counts(after, second, -1)) == table(before)
+    filters = line_dedup.build_filters(before, 3, 4)
+    grown = line_dedup.change_filters(filters, before, after, 3, 4)
+    shrunk = line_dedup.change_filters(grown, after, before, 3, 4)
+    for f, counts in ((grown, after), (shrunk, before)):
+        held = {r.shard: cuckoo.CuckooFilter.from_bytes(bytes(r.body)) for r in f.collect()}
+        keys = [(r.hi, r.lo) for r in counts.filter("n_docs >= 3").collect()]
+        assert keys and all(held[lo % 4].contains(np.array([hi], np.int64).view(np.uint64))[0] for hi, lo in keys)
+    size = lambda f: sum(int((np.frombuffer(r.body, np.uint16) > 0).sum()) for r in f.collect())
+    assert size(shrunk) == before.filter("n_docs >= 3").count() and size(grown) == after.filter("n_docs >= 3").count()
+
+
+def test_cuckoo_filter():
+    r = np.random.default_rng(0)
+    keys, others = (r.integers(0, 1 << 63, 20_000).astype(np.uint64) for _ in range(2))
+    f = cuckoo.built(keys)
+    assert f.contains(keys).all() and f.contains(others).mean() < 0.001
+    f.delete(keys[:10_000])
+    assert f.contains(keys[10_000:]).all() and f.contains(keys[:10_000]).mean() < 0.001
+    assert (cuckoo.CuckooFilter.from_bytes(f.to_bytes()).table == f.table).all()
