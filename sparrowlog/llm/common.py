@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LONG_MIN = -(2**63)
+SLICE = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,22 +52,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+    """``mapInArrow`` with a function of one batch, of SLICE rows at most, so that Python holds few texts at once."""
+    rows = SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
-                yield out
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                if (out := f(whole.slice(at, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
 
-def per_process(name: str, make: Callable[[], object]) -> object:
-    """What ``make`` gives, once for each worker process, whose tasks follow one another."""
-    store = sys.modules.setdefault("_sparrowlog_process", types.ModuleType("_sparrowlog_process"))
-    if name not in store.__dict__:
-        store.__dict__[name] = make()
-    return store.__dict__[name]
+def per_process(kind: str, key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gave for this key, if it was the last of its kind in this worker process; else made anew."""
+    store = sys.modules.setdefault("_sparrowlog_process", types.ModuleType("_sparrowlog_process")).__dict__
+    if store.get(kind, (None,))[0] != key:
+        store.pop(kind, None)
+        store[kind] = (key, make())
+    return store[kind][1]
 
 
 def lower_ascii_words(text: str | None) -> list[bytes]:

@@ -20,6 +20,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import SLICE
+
 #: Bounds of the sample: documents a language, characters of each, characters a language.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 200, 2_000, 24_000
 #: Letters that are told apart: the commonest of the samples.
@@ -211,8 +213,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2_000):
-                batch = whole.slice(at, 2_000)
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 lang, score = sent.value.predict(batch.column(1).to_pylist())
                 yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *(batch.column(2 + i) for i in range(len(carry)))], names=["doc_id", "lang_pred", "score", *carry])
 
@@ -225,7 +227,10 @@ def language_column(model: Model, sc):
 
     @F.pandas_udf("string")
     def predicted(text: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.predict([t if isinstance(t, str) else None for t in text])[0], dtype="object")
+        found: list[str] = []
+        for at in range(0, len(text), SLICE):
+            found += sent.value.predict([t if isinstance(t, str) else None for t in text.iloc[at : at + SLICE]])[0]
+        return pd.Series(found, dtype="object")
 
     return predicted
 

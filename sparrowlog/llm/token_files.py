@@ -165,7 +165,7 @@ def write(docs: DataFrame, where: str, tokenizer_file: str, end_id: int, id_col:
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         definition, dictionary = sent.value
-        encoder = per_process(f"encoder-{hashlib.sha256(definition.encode()).hexdigest()}", lambda: WordEncoder(definition))
+        encoder = per_process("token-files", definition, lambda: WordEncoder(definition))
         packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **_codec(dictionary))
         for whole in batches:
             for batch in _slices(whole):
