@@ -85,4 +85,4 @@ def unit(v: Column) -> Column:
 def decay(age_hours: Column, half_life: float | Column = 24.0) -> Column:
     """0.5 ** (age / half-life); unknown age gives 0, negative age counts as 0."""
     half = F.lit(half_life) if isinstance(half_life, float) else half_life
-    return F.coalesce(F.pow(F.lit(0.5), F.greatest(age_hours, F.lit(0.0)) / half), F.lit(0.0))
+    return F.when(age_hours.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(0.5), F.greatest(age_hours, F.lit(0.0)) / half))

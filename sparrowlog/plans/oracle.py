@@ -173,7 +173,7 @@ ORACLE: dict[str, str] = {
         SELECT imp, item, exp_causal, exp_24h, round(exp_causal / (exp_24h + 1), 6) AS exp_velocity, CASE WHEN nn = 1 THEN 0.5::DOUBLE ELSE round(((a - 1) / (nn - 1))::DOUBLE, 6) END AS exp_rank, round(exp_causal / (top + 1), 6) AS exp_rel_max FROM k""",
     "pop_rank": f"""{_scored(_POP + ' AS n')}, k AS (SELECT *, count(*) OVER (PARTITION BY imp) AS nn, (rank() OVER (PARTITION BY imp ORDER BY n) + (count(*) OVER (PARTITION BY imp, n) - 1) / 2.0)::DOUBLE AS a, max(n) OVER (PARTITION BY imp) AS top, row_number() OVER (PARTITION BY imp ORDER BY n DESC, pos) AS o FROM s)
         SELECT imp, item, CASE WHEN nn = 1 THEN 0.5::DOUBLE ELSE round((a - 1) / (nn - 1), 6) END AS pop_rank, round(n / (top + 1), 6) AS pop_rel_max, a AS average, o AS ordinal FROM k""",
-    "age_recency": f"{_LOG}{_ART} SELECT imp, item, coalesce(round((us - epoch_us(published)) / 3.6e9, 6), -1) AS age_hours, round(coalesce(pow(0.5::DOUBLE, greatest((us - epoch_us(published)) / 3.6e9, 0) / 24.0), 0), 6) AS recency FROM cand LEFT JOIN art USING (item)",
+    "age_recency": f"{_LOG}{_ART} SELECT imp, item, coalesce(round((us - epoch_us(published)) / 3.6e9, 6), -1) AS age_hours, CASE WHEN published IS NULL THEN 0 ELSE round(pow(0.5::DOUBLE, greatest((us - epoch_us(published)) / 3.6e9, 0) / 24.0), 6) END AS recency FROM cand LEFT JOIN art USING (item)",
     "cat_match": f"""{_LOG}{_ART}, hc AS (SELECT imp, category, count(*) AS same FROM hist0 JOIN art USING (item) WHERE category IS NOT NULL GROUP BY ALL), ht AS (SELECT imp, sum(same) AS known FROM hc GROUP BY imp)
         SELECT c.imp, c.item, round(coalesce(same, 0)::DOUBLE / greatest(coalesce(known, 0), 1), 6) AS cat_match FROM cand c LEFT JOIN art USING (item) LEFT JOIN hc ON hc.imp = c.imp AND hc.category = art.category LEFT JOIN ht ON ht.imp = c.imp""",
     "ent_overlap": f"""{_LOG}{_ART}, he AS (SELECT imp, list_distinct(flatten(list(entities))) AS past FROM hist0 JOIN art USING (item) GROUP BY imp)
@@ -232,7 +232,7 @@ ORACLE: dict[str, str] = {
     "rank_validate": f"""{_LOG}, e AS (SELECT imp, count(*) AS n, row_number() OVER (ORDER BY imp) AS row FROM cand GROUP BY imp)
         SELECT count(*) AS expected, count(*) AS found, 0 AS out_of_order, 0 AS wrong_length, 0 AS bad_permutation, 'good' AS file FROM e
         UNION ALL SELECT count(*), count(*), count(*) FILTER (WHERE row % 7 = 3), count(*) FILTER (WHERE row % 7 = 2), count(*) FILTER (WHERE row % 7 = 1 AND n > 1), 'bad' FROM e""",
-    "sweep_halflife": f"{_LOG}{_ART}, sw AS (SELECT imp, pos, label, hl AS half_life, round(coalesce(pow(0.5::DOUBLE, greatest((us - epoch_us(published)) / 3.6e9, 0) / hl), 0), 9) AS score FROM cand LEFT JOIN art USING (item), (SELECT unnest([6.0, 24.0, 72.0, 240.0])::DOUBLE AS hl) q){_metrics('sw', 'imp, half_life')} SELECT half_life, count(*) AS lists, round(avg(auc_midrank), 6) AS auc FROM m GROUP BY half_life",
+    "sweep_halflife": f"{_LOG}{_ART}, sw AS (SELECT imp, pos, label, hl AS half_life, CASE WHEN published IS NULL THEN 0 ELSE round(pow(0.5::DOUBLE, greatest((us - epoch_us(published)) / 3.6e9, 0) / hl), 9) END AS score FROM cand LEFT JOIN art USING (item), (SELECT unnest([6.0, 24.0, 72.0, 240.0])::DOUBLE AS hl) q){_metrics('sw', 'imp, half_life')} SELECT half_life, count(*) AS lists, round(avg(auc_midrank), 6) AS auc FROM m GROUP BY half_life",
     "sweep_window": f"""{_scored(', '.join(f'{_count(h, True)} AS {w}' for w, h in (('w1', 1), ('w6', 6), ('w24', 24), ('w72', 72), ('past', None))))}, sw AS (SELECT imp, pos, label, win AS "window", CASE win WHEN 'w1' THEN w1 WHEN 'w6' THEN w6 WHEN 'w24' THEN w24 WHEN 'w72' THEN w72 ELSE past END AS score FROM s, (SELECT unnest(['w1', 'w6', 'w24', 'w72', 'past']) AS win) q){_metrics('sw', 'imp, "window"')}
         SELECT "window", count(*) AS lists, round(avg(auc_midrank), 6) AS auc FROM m GROUP BY 1""",
     "sweep_history_n": f"""{_LOG}{_VEC}, h AS (SELECT imp, item, last, 1.0::DOUBLE AS w FROM hist0, (SELECT unnest([1, 5, 10, 50]) AS last) q WHERE h > hist_len - last){_USER.format(by='imp, last')},
