@@ -13,7 +13,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter go, and a null lang is filled in."""
     model = language_id.learn(docs)
     (told,) = fresh(docs, "lang_pred__")
-    found = docs.withColumn(told, language_id.language_column(model, spark.sparkContext)(F.col("text").cast("string")))
+    found = language_id.tagged(docs, model, told)
     return found.filter(F.col(told) != language_id.UNDETERMINED).withColumn("lang", F.coalesce("lang", told)).select(*docs.columns)
 
 

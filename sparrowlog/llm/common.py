@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import ctypes
 import sys
 import tempfile
 import types
@@ -61,7 +62,32 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 if (out := f(whole.slice(at, rows))) is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return text_map(df, run, schema)
+
+
+def text_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` over rows with long values: small batches, and memory goes back to the system after each task.
+
+    A session with Spark's default of 10,000 rows a batch gets 2,000.  Unless
+    ``run`` ``keeps`` what earlier tasks left by ``per_process``, it is let go.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps and "_sparrowlog_process" in sys.modules:
+            sys.modules["_sparrowlog_process"].__dict__.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return df.mapInArrow(tidy, schema)
 
 
 def per_process(kind: str, key: object, make: Callable[[], object]) -> object:

@@ -16,11 +16,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import SLICE
+from .common import SLICE, text_map
 
 #: Bounds of the sample: documents a language, characters of each, characters a language.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 200, 2_000, 24_000
@@ -218,21 +217,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 lang, score = sent.value.predict(batch.column(1).to_pylist())
                 yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *(batch.column(2 + i) for i in range(len(carry)))], names=["doc_id", "lang_pred", "score", *carry])
 
-    return rows.mapInArrow(run, ", ".join(["doc_id long", "lang_pred string", "score double", *(f"`{c}` {types[c]}" for c in carry)]))
+    return text_map(rows, run, ", ".join(["doc_id long", "lang_pred string", "score double", *(f"`{c}` {types[c]}" for c in carry)]))
 
 
-def language_column(model: Model, sc):
-    """A column function that gives the predicted language of a text column."""
-    sent = sc.broadcast(model)
+def tagged(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with the predicted language of each row."""
+    sent, at_text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
 
-    @F.pandas_udf("string")
-    def predicted(text: pd.Series) -> pd.Series:
-        found: list[str] = []
-        for at in range(0, len(text), SLICE):
-            found += sent.value.predict([t if isinstance(t, str) else None for t in text.iloc[at : at + SLICE]])[0]
-        return pd.Series(found, dtype="object")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                told = sent.value.predict(batch.column(at_text).to_pylist())[0]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.string())], names=[*batch.schema.names, name])
 
-    return predicted
+    return text_map(docs, run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, materialise, row_digest
+from .common import arrow_map, materialise, row_digest, text_map
 from .cuckoo import CuckooFilter, built
 
 #: Frequent keys of a shard, about.
@@ -145,7 +145,7 @@ def drop_lines(docs: DataFrame, counts: DataFrame, least_docs: int = 10, least_c
                     drop[i] = h[i].tobytes() in exact
                 yield _rebuilt(batch, texts, drop, least_chars)
 
-        return rows.mapInArrow(run, schema)
+        return text_map(rows, run, schema)
     keys = materialise(document_keys(docs, text_col, least_chars).distinct().join(frequent, ["hi", "lo"], "left_semi"))
     per_text = keys.groupBy("digest").agg(F.collect_list(F.struct("hi", "lo")).alias("keys"))
     joined = rows.withColumn("digest", row_digest(F.col("text"))).join(materialise(per_text), "digest", "left").select("doc_id", "text", F.transform("keys", lambda k: k.hi).alias("hi"), F.transform("keys", lambda k: k.lo).alias("lo"))

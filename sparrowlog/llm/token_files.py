@@ -32,7 +32,7 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import LONG_MIN, chunk_count, chunks_of, order_splits, per_process
+from .common import LONG_MIN, chunk_count, chunks_of, order_splits, per_process, text_map
 
 MAGIC = b"TOKFRAM1"
 HEAD = len(MAGIC) + 33
@@ -186,7 +186,7 @@ def write(docs: DataFrame, where: str, tokenizer_file: str, end_id: int, id_col:
         if done:
             yield pa.record_batch([pa.array(x) for x in zip(*done)], names=["chunk", "file", "n_docs", "n_tokens", "bytes"])
 
-    framed = rows.mapInArrow(frames, "doc_id long, chunk int, n long, frame binary").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
+    framed = text_map(rows, frames, "doc_id long, chunk int, n long, frame binary", keeps=True).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
     parts = framed.sortWithinPartitions("chunk", F.col("doc_id").asc_nulls_first(), "frame").mapInArrow(files, "chunk long, file string, n_docs long, n_tokens long, bytes long")
     listed = sorted((r.asDict() for r in parts.collect()), key=lambda r: r["chunk"])
     start = 0
