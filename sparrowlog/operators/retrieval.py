@@ -127,7 +127,7 @@ def exact_knn(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query
 
     def f(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "item": [], "score": []})
+            return pd.DataFrame({"query": [], "item": [], "score": []}, dtype="object")
         right = right.sort_values("item", ignore_index=True)
         m, out = np.stack(right.v.to_numpy()), []
         for at in range(0, len(left), 1024):

@@ -201,6 +201,17 @@ ORACLE: dict[str, str] = {
         j AS (SELECT cs.imp, cs.item, round(emb, 9) AS emb, round(CASE WHEN len(entities) > 0 AND len(past) > 0 THEN len(list_intersect(entities, past))::DOUBLE / len(list_distinct(list_concat(entities, past))) ELSE 0 END, 9) AS ent FROM cs LEFT JOIN art USING (item) LEFT JOIN he ON he.imp = cs.imp)
         SELECT imp, item, round(0.3::DOUBLE * ({_z('ent')}) + (1 - 0.3::DOUBLE) * ({_z('emb')}), 5) + 0.0 AS score FROM j""",
     "leaky_arm": f"{_scored(_POP + ' AS n')}{_ART}, j AS (SELECT imp, s.item, n::DOUBLE AS n, ln(1 + coalesce(total_inviews, 0)) AS p FROM s LEFT JOIN art USING (item)) SELECT imp, item, round({_z('n')} + {_z('p')}, 5) + 0.0 AS leaky FROM j",
+    "leaky_totals": f"{_LOG}{_ART} SELECT imp, c.item, round(ln(1 + coalesce(CASE WHEN CAST(art.item AS INT) % 3 <> 0 AND CAST(art.item AS INT) < 90 THEN total_inviews END, 0)), 6) AS log_total_inviews FROM cand c LEFT JOIN art ON art.item = c.item",
+    "block_history": f"""{_LOG}, r AS (SELECT user_id, CASE WHEN ts >= TIMESTAMP '2024-01-25' THEN 'test' ELSE 'early' END AS block, count(*) AS clicks FROM ev WHERE click GROUP BY ALL), i AS (SELECT *, {_SPLIT.format(t='ts')} AS split, CASE WHEN ts >= TIMESTAMP '2024-01-25' THEN 'test' ELSE 'early' END AS block FROM imps)
+        SELECT imp, split, i.block, clicks FROM i LEFT JOIN r ON r.user_id = i.user_id AND r.block = i.block""",
+    "constant_check": "SELECT TRUE AS bm25, TRUE AS emb, FALSE AS exp_causal, FALSE AS exp_rank",
+    "bm25_fields_ablation": f"""WITH one AS (SELECT 1){_ART}, tx AS (SELECT item, title AS text FROM art){_bm25("tx", "item", "text")}, a AS (SELECT count(DISTINCT doc) AS docs, count(DISTINCT term) AS terms, count(*) AS postings, round(sum(weight), 3) AS weight, 'title' AS variant FROM post),
+        ty AS (SELECT item, title || ' ' || body AS text FROM art){_bm25("ty", "item", "text").replace("toks", "toks2").replace(", tf AS", ", tf2 AS").replace("FROM tf ", "FROM tf2 ").replace("dl AS (", "dl2 AS (").replace("dfs AS (", "dfs2 AS (").replace("FROM dl)", "FROM dl2)").replace("JOIN dfs USING", "JOIN dfs2 USING").replace("JOIN dl USING", "JOIN dl2 USING").replace(", sz AS", ", sz2 AS").replace("USING (doc), sz", "USING (doc), sz2").replace(", post AS", ", post2 AS")}
+        SELECT * FROM a UNION ALL SELECT count(DISTINCT doc), count(DISTINCT term), count(*), round(sum(weight), 3), 'title and body' FROM post2""",
+    "candidate_pools": f"""{_LOG}{_VEC}{_ART}, p AS (SELECT a.item AS query, b.item AS item, list_dot_product(a.v, b.v) AS s FROM vec a, vec b WHERE CAST(a.item AS INT) < 100 AND CAST(a.item AS INT) % 20 = 0 AND CAST(b.item AS INT) < 100), dense AS (SELECT query, item FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, item) AS r FROM p) WHERE r <= 10)
+        {_bm25("art", "item", "body")}, qt AS (SELECT query, term, count(*) AS qtf FROM (SELECT title AS query, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_\\p{{M}}]{{2,}}')) AS term FROM (SELECT DISTINCT title FROM art WHERE CAST(item AS INT) % 20 = 0)) GROUP BY ALL),
+        sc AS (SELECT query, doc, sum(qtf * weight) AS score FROM qt JOIN post USING (term) GROUP BY ALL), lx AS (SELECT art.item AS query, doc AS item FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS r FROM sc) k JOIN art ON art.title = k.query AND CAST(art.item AS INT) % 20 = 0 WHERE r <= 10)
+        SELECT query, count(*) AS pool FROM (SELECT * FROM dense UNION SELECT * FROM lx) GROUP BY query""",
     "ranking_metrics": f"{_scored(_DAY + ' AS score')}{_metrics('s')} SELECT imp, n, n_pos, {_ROUNDED} FROM m",
     "auc_summary": f"{_scored(_POP + ' AS score')}{_metrics('s')} SELECT 'pop' AS system, count(*) AS lists, {_MEANS} FROM m",
     "ranking_metrics_l2": f"{_L2}, s AS (SELECT imp, pos, label, price AS score FROM cand){_metrics('s')} SELECT 'price' AS system, count(*) AS lists, {_MEANS} FROM m",

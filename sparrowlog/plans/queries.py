@@ -184,9 +184,36 @@ def n_cands_hist_len(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
+    """All features; what several of them read is kept, as the pipeline keeps it in tables between its stages."""
     ev, c = _log(spark, sf)
-    t = features.feature_table(c, _scores(spark, sf), ev, _history(spark, sf)[1], U.articles(spark, sf), U.vectors(spark, sf), L1)
-    return t
+    c, h = c.persist(), _history(spark, sf)[1].persist()
+    scores = _emb(spark, sf, base=(c, h)).join(_bm25(spark, sf, base=(c, h)).select("imp", "item", "bm25"), ["imp", "item"]).persist()
+    return features.feature_table(c, scores, ev.persist(), h, U.articles(spark, sf).persist(), U.vectors(spark, sf).persist(), L1)
+
+
+@query
+def leaky_totals(spark: SparkSession, sf: str) -> DataFrame:
+    _, c = _log(spark, sf)
+    a = U.articles(spark, sf).withColumn("total_inviews", F.when(F.col("article_id").cast("int") % 3 != 0, F.col("total_inviews")))
+    return features.leaky_features(c, a.filter("cast(article_id as int) < 90")).select("imp", "item", F.round("log_total_inviews", 6).alias("log_total_inviews"))
+
+
+@query
+def block_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Engagement of each impression's user from the block its split may read: the early clicks, or for test its own."""
+    ev, c = _log(spark, sf)
+    imps = c.select("imp", "user_id", "ts").distinct().withColumn("split", splits.split_of(F.col("ts"), L1))
+    block = F.when(splits.split_of(F.col("ts"), L1) == "test", "test").otherwise("early")
+    records = ev.filter("click").withColumn("block", block).groupBy("user_id", "block").agg(F.count("*").alias("clicks"))
+    return features.block_history(imps, records).select("imp", "split", "block", "clicks")
+
+
+@query
+def constant_check(spark: SparkSession, sf: str) -> DataFrame:
+    ev, c = _log(spark, sf)
+    p = features.popularity(c, ev, 6.0, "exp").withColumn("bm25", F.lit(0.0)).withColumn("emb", F.lit(None).cast("double"))
+    names = ("bm25", "emb", "exp_causal", "exp_rank")
+    return p.agg(*((F.countDistinct(F.round(n, 9)) <= 1).alias(n) for n in names))
 
 
 # ----------------------------------------------------------- vectors and BM25
@@ -206,9 +233,9 @@ def user_vector_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("imp", *(F.round(F.get("u", F.lit(i)), 6).alias(f"u{i}") for i in (0, 1, 63)))
 
 
-def _emb(spark: SparkSession, sf: str, last: int = 10) -> DataFrame:
-    _, c = _log(spark, sf)
-    h = _history(spark, sf)[1].filter(F.col("h") > F.col("hist_len") - last)
+def _emb(spark: SparkSession, sf: str, last: int = 10, base: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    c, h = base or (_log(spark, sf)[1], _history(spark, sf)[1])
+    h = h.filter(F.col("h") > F.col("hist_len") - last)
     v = U.vectors(spark, sf)
     return retrieval.pair_cosine(c, retrieval.user_vectors(h, v, None, "imp"), v)
 
@@ -261,12 +288,12 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return b.join(top, "query").select("item_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _bm25(spark: SparkSession, sf: str, last: int = 5) -> DataFrame:
+def _bm25(spark: SparkSession, sf: str, last: int = 5, base: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Candidates with the BM25 score of the titles of the last clicks; 0 where no term is shared."""
-    _, c = _log(spark, sf)
+    c, h = base or (_log(spark, sf)[1], _history(spark, sf)[1])
     a = U.articles(spark, sf)
     index = retrieval.postings(a, "article_id", F.col("body"))
-    h = _history(spark, sf)[1].filter(F.col("h") > F.col("hist_len") - last).join(a.select(F.col("article_id").alias("item"), "title"), "item")
+    h = h.filter(F.col("h") > F.col("hist_len") - last).join(a.select(F.col("article_id").alias("item"), "title"), "item")
     q = h.groupBy("imp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "title"))), lambda x: x.title), " ").alias("query"))
     scores = retrieval.bm25_scores(q, index).withColumnRenamed("doc_id", "item")
     return c.join(q, "imp", "left").join(scores, ["query", "item"], "left").withColumn("bm25", F.coalesce("score", F.lit(0.0))).drop("query", "score")
@@ -285,6 +312,30 @@ def bm25_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.hit_rate(lists.withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<bigint>"))).select(F.col("retrieved").cast("array<string>").alias("retrieved"), F.col("clicked").cast("array<string>").alias("clicked"))).select("lists", F.round("hit_rate", 6).alias("hit_rate"))
 
 
+@query
+def bm25_fields_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, terms and postings of two variants of an index: titles alone, and titles with bodies."""
+    a = U.articles(spark, sf)
+    out = None
+    for name, fields in (("title", ("title",)), ("title and body", ("title", "abstract", "body"))):
+        i = retrieval.postings(retrieval.fields_variant(a, fields), "article_id", F.col("text"))
+        row = i.agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("term").alias("terms"), F.count("*").alias("postings"), F.round(F.sum("weight"), 3).alias("weight")).withColumn("variant", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def candidate_pools(spark: SparkSession, sf: str) -> DataFrame:
+    """Size of the pool that lexical and dense retrieval make together, for each hundredth vector as a query."""
+    v = U.vectors(spark, sf).filter("cast(item as int) < 100")
+    ask = v.filter("cast(item as int) % 20 = 0").select(F.col("item").alias("query"), "v")
+    dense = retrieval.exact_knn(ask, v, 10)
+    a = U.articles(spark, sf)
+    q = a.filter("cast(article_id as int) % 20 = 0").select(F.col("article_id").alias("asked"), F.col("title").alias("query"))
+    lexical = q.join(retrieval.top_k(retrieval.bm25_scores(q, retrieval.postings(a, "article_id", F.col("body"))), 10, "query"), "query").select(F.col("asked").alias("query"), F.col("doc_id").alias("item"))
+    return retrieval.union_pools(dense, lexical).groupBy("query").agg(F.count("*").alias("pool"))
+
+
 @query
 def bm25_stemmed_topk(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.stemming import stopwords
