@@ -8,39 +8,46 @@ task's work: keys are cut into time buckets, running counts are made within
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOUR = 3_600_000_000
 BUCKET = 24 * HOUR
+#: Hours or None, or such with the name of a weight.
+Window_ = float | None | tuple[float | None, str]
 
 
-def causal_counts(probes: DataFrame, events: DataFrame, key: str, windows: dict[str, float | None], probe_us: str = "us", event_us: str = "us", bucket: int = BUCKET) -> DataFrame:
+def causal_counts(probes: DataFrame, events: DataFrame, key: str, windows: dict[str, Window_], weights: dict[str, Column] | None = None, probe_us: str = "us", event_us: str = "us", bucket: int = BUCKET) -> DataFrame:
     """``probes`` with one long column for each window: name -> hours, or None for all the past.
 
     Strictly before the probe; the lower bound is inclusive.  Probes with a
-    null key or time count 0.  Probe rows may repeat.
+    null key or time count 0.  Probe rows may repeat.  With ``weights`` (name
+    -> what each event counts for) a window may be (hours, weight): several
+    kinds of events are then counted in the same pass.
     """
-    bounds = {None: 0} | {h: round(h * HOUR) for h in windows.values() if h is not None}
+    weights = weights or {"n": F.lit(1)}
+    first = next(iter(weights))
+    asked_for = {name: w if isinstance(w, tuple) else (w, first) for name, w in windows.items()}
+    bounds = {None: 0} | {h: round(h * HOUR) for h, _ in asked_for.values() if h is not None}
     points = F.explode(F.array_distinct(F.array(*(F.col(probe_us) - F.lit(w) for w in bounds.values()))))
     asked = probes.select(F.col(key).alias("k"), points.alias("x")).filter("k is not null and x is not null").distinct()
-    happened = events.select(F.col(key).alias("k"), F.col(event_us).alias("x")).filter("k is not null and x is not null").groupBy("k", "x").agg(F.count("*").alias("n"))
-    both = asked.select("k", "x", F.lit(0).cast("long").alias("n"), F.lit(True).alias("probe")).unionByName(happened.select("k", "x", "n", F.lit(False).alias("probe")))
+    happened = events.select(F.col(key).alias("k"), F.col(event_us).alias("x"), *(w.cast("long").alias(f"w_{n}") for n, w in weights.items())).filter("k is not null and x is not null")
+    happened = happened.groupBy("k", "x").agg(*(F.sum(f"w_{n}").alias(f"w_{n}") for n in weights))
+    both = asked.select("k", "x", *(F.lit(0).cast("long").alias(f"w_{n}") for n in weights), F.lit(True).alias("probe")).unionByName(happened.withColumn("probe", F.lit(False)))
     both = both.withColumn("b", F.floor(F.col("x") / F.lit(bucket)).cast("long"))
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("k", "b").orderBy("x").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = both.withColumn("within", within).filter("probe").select("k", "b", "x", "within")
-    totals = both.groupBy("k", "b").agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = inside.join(totals.select("k", "b", before.alias("before")), ["k", "b"]).select("k", "x", (F.col("within") + F.col("before")).alias("c"))
-    out = probes
-    for i, (hours, w) in enumerate(bounds.items()):
-        if i and hours is None:
-            continue
-        at = counted.select(F.col("k").alias(f"__k{i}"), F.col("x").alias(f"__x{i}"), F.col("c").alias(f"__c{i}"))
-        out = out.join(at, (F.col(key) == F.col(f"__k{i}")) & ((F.col(probe_us) - F.lit(w)) == F.col(f"__x{i}")), "left")
+    earlier = Window.partitionBy("k", "b").orderBy("x").rangeBetween(Window.unboundedPreceding, -1)
+    inside = both.withColumns({f"in_{n}": F.coalesce(F.sum(f"w_{n}").over(earlier), F.lit(0)) for n in weights}).filter("probe").select("k", "b", "x", *(f"in_{n}" for n in weights))
+    totals = both.groupBy("k", "b").agg(*(F.sum(f"w_{n}").alias(f"w_{n}") for n in weights))
+    whole = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("k", "b", *(F.coalesce(F.sum(f"w_{n}").over(whole), F.lit(0)).alias(f"be_{n}") for n in weights))
+    counted = inside.join(before, ["k", "b"]).select("k", "x", *((F.col(f"in_{n}") + F.col(f"be_{n}")).alias(n) for n in weights))
+    # One row for each (key, time) asked, with the counts at all its bounds, so the probes are joined once.
+    times = probes.select(F.col(key).alias("k"), F.col(probe_us).alias("t")).filter("k is not null and t is not null").distinct()
+    spread = times.select("k", "t", F.posexplode(F.array(*(F.col("t") - F.lit(w) for w in bounds.values()))).alias("i", "x"))
     place = {h: i for i, h in enumerate(bounds)}
-    all_past = F.coalesce(F.col("__c0"), F.lit(0))
-    made = [(all_past if h is None else all_past - F.coalesce(F.col(f"__c{place[h]}"), F.lit(0))).cast("long").alias(name) for name, h in windows.items()]
-    return out.select(*probes.columns, *made)
+    found = spread.join(counted, ["k", "x"]).groupBy("k", "t").agg(*(F.max(F.when(F.col("i") == i, F.col(n))).alias(f"c_{n}_{i}") for i in place.values() for n in weights))
+    out = probes.join(found, (F.col(key) == F.col("k")) & (F.col(probe_us) == F.col("t")), "left")
+    count = lambda h, n: F.coalesce(F.col(f"c_{n}_0"), F.lit(0)) - (F.lit(0) if h is None else F.coalesce(F.col(f"c_{n}_{place[h]}"), F.lit(0)))
+    return out.select(*probes.columns, *(count(h, n).cast("long").alias(name) for name, (h, n) in asked_for.items()))
 
 
 def latest_before(probes: DataFrame, events: DataFrame, key: str, probe_us: str = "us", event_us: str = "us") -> DataFrame:

@@ -599,7 +599,7 @@ def sweep_scroll(spark: SparkSession, sf: str) -> DataFrame:
 
 def _trainable(spark: SparkSession, sf: str) -> DataFrame:
     ev, c = _log(spark, sf)
-    p = features.popularity(features.popularity(c, ev.filter("click"), None, "pop"), ev, 24.0, "exp")
+    p = features.popularities(c, ev, None)
     a = U.articles(spark, sf)
     p = features.leaky_features(features.freshness(p, a), a).withColumn("n_cands", F.count("*").over(Window.partitionBy("imp")))
     return p.withColumn("split", splits.split_of(F.col("ts"), L1))
