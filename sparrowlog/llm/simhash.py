@@ -132,6 +132,8 @@ SIGNATURE_WORDS = 6
 #: Differing bits, of 384, up to which two wide signatures count as near: about what five-word
 #: shingles with a Jaccard similarity of 0.8 differ in (angle 0.475 of pi, 15 %), and one and a half deviations.
 SIGNATURE_BITS = 70
+#: Differing bits up to which fingerprints over words are candidates: texts of such a similarity differ in few words.
+WORD_BITS = 10
 
 
 def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
@@ -177,22 +179,29 @@ def similar_links(nodes: DataFrame) -> DataFrame:
     """(u, v) links between nodes whose wide signatures differ in SIGNATURE_BITS or fewer.
 
     ``nodes``: node long, fp and the signature.  Candidates share a pair of
-    Golay keys.  Keys with more than PAIRED_NODES nodes compare their nodes
-    with LEADERS leaders each, dealt by hash, in place of all pairs.
+    Golay keys and have fingerprints within WORD_BITS; of a key with two nodes
+    the exclusive or of all fingerprints is already that of the pair.  Keys
+    with more than PAIRED_NODES nodes compare their nodes with LEADERS leaders
+    each, dealt by hash, in place of all pairs.
     """
-    extra = _signature()
-    keyed = _keyed(nodes, golay.fuzzy_pair_keys, [])
-    held = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).filter("n > 1"))
+    keyed = _keyed(nodes.withColumn("f", F.col("fp")), golay.fuzzy_pair_keys, ["f"])
+    held = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("f").alias("x"))
+    held = materialise(held.filter("n > 1").filter((F.col("n") > 2) | (F.bit_count("x") <= WORD_BITS)))
     twos = held.filter("n = 2").select("u", "v")
-    some = keyed.join(held.filter(f"n > 2 and n <= {PAIRED_NODES}").select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    some = keyed.join(held.filter(f"n > 2 and n <= {PAIRED_NODES}").select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "f"))).alias("m"))
     m = F.col("m")
-    pairs = some.select(F.explode(F.flatten(F.transform(m, lambda a, i: F.transform(F.slice(m, i + 2, F.size(m)), lambda b: F.struct(a.alias("u"), b.alias("v")))))).alias("p")).select("p.u", "p.v")
-    hot = keyed.join(held.filter(f"n > {PAIRED_NODES}").select("key"), "key", "left_semi")
-    leaders = hot.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(F.min("node").alias("leader"))
-    leaders = leaders.groupBy("key").agg(F.collect_list("leader").alias("leaders"))
-    led = hot.join(materialise(leaders), "key").select("node", F.explode("leaders").alias("leader")).filter("node <> leader").select(F.greatest("node", "leader").alias("v"), F.least("node", "leader").alias("u"))
-    candidates = twos.unionByName(pairs).unionByName(led.select("u", "v")).distinct()
-    s = nodes.select("node", F.struct(*extra).alias("s"))
+    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= WORD_BITS
+    pairs = F.transform(m, lambda a, i: F.transform(F.filter(F.slice(m, i + 2, F.size(m)), lambda b: close(a.f, b.f)), lambda b: F.struct(a.node.alias("u"), b.node.alias("v"))))
+    paired = some.select(F.explode(F.flatten(pairs)).alias("p")).select("p.u", "p.v")
+    hot_keys = held.filter(f"n > {PAIRED_NODES}").select("key")
+    hot = keyed.join(hot_keys, "key", "left_semi")
+    chosen = hot.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(F.min("node").alias("leader"))
+    chosen = chosen.join(nodes.select(F.col("node").alias("leader"), F.col("fp").alias("lf")), "leader")
+    leaders = materialise(chosen.groupBy("key").agg(F.collect_list(F.struct("leader", "lf")).alias("leaders")))
+    near = F.filter("leaders", lambda x: close(F.col("f"), x.lf) & (x.leader != F.col("node")))
+    led = hot.join(leaders, "key").select("node", F.explode(F.transform(near, lambda x: x.leader)).alias("leader")).select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"))
+    candidates = twos.unionByName(paired).unionByName(led).distinct()
+    s = nodes.select("node", F.struct(*_signature()).alias("s"))
     left = candidates.join(s.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
     both = left.join(s.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     return both.filter(_apart("a", "b") <= SIGNATURE_BITS).select("u", "v")
