@@ -16,6 +16,7 @@ after a lost executor does no harm.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -40,7 +41,7 @@ HEAD = len(MAGIC) + 33
 TRAIN_DOCS, TRAIN_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 1 << 16
 LEVEL = 3
 #: Words whose ids a task keeps.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_500_000
 #: Documents, and code points of them, that are encoded at once.
 BATCH, BATCH_CHARS = 2_000, 6_000_000
 #: Letters, numbers and white space below U+0250, where UNCOMMON characters are left out.
@@ -167,11 +168,13 @@ def write(docs: DataFrame, where: str, tokenizer_file: str, end_id: int, id_col:
         definition, dictionary = sent.value
         encoder = per_process("token-files", definition, lambda: WordEncoder(definition))
         packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **_codec(dictionary))
+        gc.disable()  # words and ids make no cycles, and there are many to trace
         for whole in batches:
             for batch in _slices(whole):
                 ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
                 chunk = last - chunks_of(splits, batch.column(0).fill_null(LONG_MIN).to_numpy(zero_copy_only=False))
                 yield pa.record_batch([batch.column(0), pa.array(chunk.astype(np.int32)), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(map(packer.compress, ids), pa.binary())], names=["doc_id", "chunk", "n", "frame"])
+        gc.enable()
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = hashlib.sha256(sent.value[1]).digest()
