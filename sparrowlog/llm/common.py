@@ -81,15 +81,20 @@ def text_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            trim_memory()
 
     return df.mapInArrow(tidy, schema)
 
 
+def trim_memory() -> None:
+    """Gives memory that is free in this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def per_process(kind: str, key: object, make: Callable[[], object]) -> object:
     """What ``make`` gave for this key, if it was the last of its kind in this worker process; else made anew."""
     store = sys.modules.setdefault("_sparrowlog_process", types.ModuleType("_sparrowlog_process")).__dict__
