@@ -78,8 +78,8 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """v over its length, EPS added so that zero stays zero."""
-    return F.transform(v, lambda x: x / (norm(v) + F.lit(EPS)))
+    """v over its length, EPS added so that zero stays zero; the length is computed once a vector."""
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / (n + F.lit(EPS)))), F.lit(0))
 
 
 def decay(age_hours: Column, half_life: float | Column = 24.0) -> Column:

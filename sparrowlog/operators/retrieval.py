@@ -12,7 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import dot, norm
+from ..functions.columns import dot, unit
 from ..functions.stemming import stem
 
 K1, B = 1.5, 0.75
@@ -102,7 +102,7 @@ def user_vectors(history: DataFrame, vectors: DataFrame, weight: Column | None =
     value = F.when(F.col("ws") > 0, F.col("wx") / F.col("ws")).otherwise(F.col("plain"))
     u = F.transform(F.array_sort(F.collect_list(F.struct("d", value.alias("x")))), lambda s: s.x)
     mean = per.groupBy(*by).agg(u.alias("m"))
-    return mean.select(*by, F.transform("m", lambda x: x / (norm(F.col("m")) + F.lit(1e-9))).alias("u"))
+    return mean.select(*by, unit(F.col("m")).alias("u"))
 
 
 def pair_cosine(pairs: DataFrame, users: DataFrame, vectors: DataFrame, name: str = "emb", by: str = "imp") -> DataFrame:
