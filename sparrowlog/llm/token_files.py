@@ -43,7 +43,7 @@ LEVEL = 3
 #: Words whose ids a task keeps.
 CACHED_WORDS = 1_500_000
 #: Documents, and code points of them, that are encoded at once.
-BATCH, BATCH_CHARS = 2_000, 6_000_000
+BATCH, BATCH_CHARS = 4_000, 14_000_000
 #: Letters, numbers and white space below U+0250, where UNCOMMON characters are left out.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \xa0"
 #: How byte-level BPE splits a text before merging, for these characters.
@@ -169,7 +169,7 @@ def write(docs: DataFrame, where: str, tokenizer_file: str, end_id: int, id_col:
         encoder = per_process("token-files", definition, lambda: WordEncoder(definition))
         packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **_codec(dictionary))
         gc.disable()  # words and ids make no cycles, and there are many to trace
-        for whole in batches:
+        for whole in _gathered(batches):
             for batch in _slices(whole):
                 ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
                 chunk = last - chunks_of(splits, batch.column(0).fill_null(LONG_MIN).to_numpy(zero_copy_only=False))
@@ -201,6 +201,18 @@ def write(docs: DataFrame, where: str, tokenizer_file: str, end_id: int, id_col:
     return manifest
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have BATCH rows or BATCH_CHARS bytes: words repeat more in many documents."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= BATCH or sum(b.nbytes for b in held) >= BATCH_CHARS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch (doc_id, text) in parts of up to BATCH rows and about BATCH_CHARS bytes, one row at least."""
     sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
