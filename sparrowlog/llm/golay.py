@@ -91,24 +91,14 @@ def exact_and_fuzzy_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarr
     as they are, with the Golay keys of the segment after it.
     """
     seg = segments(fingerprints)
-    return _paired([(np.stack([seg[i]] * 6, axis=1), np.zeros((len(fingerprints), 6), bool) | (np.arange(6) == 0), *keys(seg[(i + 1) % 3])) for i in range(3)], single=True)
+    return _paired([(seg[i], *keys(seg[(i + 1) % 3])) for i in range(3)])
 
 
-def fuzzy_pair_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) pairs that any two fingerprints within five bits share, and most of those some bits farther.
-
-    Five errors leave at least two of the three segments with two or fewer.
-    """
-    k = [keys(s) for s in segments(fingerprints)]
-    return _paired([(*k[i], *k[j]) for i, j in ((0, 1), (1, 2), (0, 2))], single=False)
-
-
-def _paired(parts: list, single: bool) -> tuple[np.ndarray, np.ndarray]:
+def _paired(parts: list) -> tuple[np.ndarray, np.ndarray]:
     rows, out = [], []
-    for at, (a, has_a, b, has_b) in enumerate(parts):
-        for x in range(1 if single else 6):
-            for y in range(6):
-                on = np.flatnonzero(has_a[:, x] & has_b[:, y])
-                rows.append(on)
-                out.append((at << 40) | (a[on, x] << INDEX_BITS) | b[on, y])
+    for at, (exact, index, has) in enumerate(parts):
+        for y in range(6):
+            on = np.flatnonzero(has[:, y])
+            rows.append(on)
+            out.append((at << 40) | (exact[on] << INDEX_BITS) | index[on, y])
     return np.concatenate(rows), np.concatenate(out)

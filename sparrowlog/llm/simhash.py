@@ -58,27 +58,23 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), f, "doc_id long, fp long")
 
 
-def _keyed(nodes: DataFrame, keys, extra: list[str], sized: str | None = None) -> DataFrame:
-    """(key, node, *extra) for each key of each node's fingerprint ``fp``.
+def _keyed(nodes: DataFrame, columns: list[str], carry: bool = False) -> DataFrame:
+    """(key, node) for each Golay key of each fingerprint of each node; with ``carry`` also f, the fingerprint.
 
-    ``sized``: a column of word counts, to be added to the keys in bands of
-    BAND on a scale of logarithms; a node is in the band of its own count and
-    in that of a count SLACK higher, so counts within SLACK share a band.
+    Keys of different fingerprint columns never meet.
     """
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, key = keys(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        if sized:
-            size = np.log(np.maximum(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), 1))
-            own, higher = ((x / BAND).astype(np.int64)[rows] for x in (size, size + SLACK))
-            two = own != higher
-            rows, key = np.concatenate([rows, rows[two]]), np.concatenate([key << 8 | own, key[two] << 8 | higher[two]])
-        took = pa.array(rows)
-        return pa.record_batch([pa.array(key), *(batch.column(i).take(took) for i in range(1, 2 + len(extra)))], names=["key", "node", *extra])
+        parts = []
+        for k in range(len(columns)):
+            fp = batch.column(1 + k).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows, key = golay.exact_and_fuzzy_keys(fp.view(np.uint64))
+            parts.append((key | k << 44, rows, fp[rows]))
+        key, rows, fp = (np.concatenate(x) for x in zip(*parts))
+        out = [pa.array(key), batch.column(0).take(pa.array(rows)), pa.array(fp)]
+        return pa.record_batch(out if carry else out[:2], names=["key", "node", "f"][: len(out) if carry else 2])
 
-    kept = nodes.select("fp", "node", *extra, *([sized] if sized else []))
-    types = dict(kept.dtypes)
-    return arrow_map(kept, f, ", ".join(["key long", "node long", *(f"{c} {types[c]}" for c in extra)]))
+    return arrow_map(nodes.select("node", *columns), f, "key long, node long" + ", f long" * carry)
 
 
 def links_within_two(nodes: DataFrame) -> DataFrame:
@@ -86,7 +82,7 @@ def links_within_two(nodes: DataFrame) -> DataFrame:
 
     ``nodes`` has one column ``fp``, without repeats.
     """
-    keyed = _keyed(nodes.select("fp", F.col("fp").alias("node")), golay.exact_and_fuzzy_keys, [])
+    keyed = _keyed(nodes.select("fp", F.col("fp").alias("node")), ["fp"])
     held = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).filter("n > 1"))
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2
     twos = held.filter("n = 2").filter(close).select("u", "v")
@@ -143,12 +139,11 @@ SIGNATURE_WORDS = 6
 #: Differing bits, of 384, up to which two wide signatures count as near: about what five-word
 #: shingles with a Jaccard similarity of 0.8 differ in (angle 0.475 of pi, 15 %), and one and a half deviations.
 SIGNATURE_BITS = 70
-#: Differing bits up to which fingerprints over words are candidates: texts of such a similarity differ in few words.
+#: Fingerprints over words, each of hashes of its own, that are decoded: near copies differ in some bits of each, and
+#: need one of them to be within two.
+FINGERPRINTS = 4
+#: Differing bits up to which such fingerprints are candidates: texts of such a similarity differ in few words.
 WORD_BITS = 10
-#: Such texts also have nearly as many distinct words: bands of the count, and the slack, in natural logarithms.
-BAND, SLACK = 0.2, 0.1
-#: Nodes of a key up to which ``similar_links`` compares all their pairs.
-SIMILAR_NODES = 64
 
 
 def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
@@ -160,26 +155,31 @@ def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
 
 
 def signed_documents(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, words, fp, s0, s1, ...): fp over distinct words, whose number is ``words``, the signature over distinct shingles.
+    """(doc_id, digest, f0, f1, ..., s0, s1, ...): fingerprints over distinct words, the signature over distinct shingles.
 
-    Few words differ between near copies, so the fingerprint that is decoded
-    is taken over words; the signature that verifies is taken over shingles.
+    Few words differ between near copies, so the fingerprints that are decoded
+    are taken over words; the signature that verifies is taken over shingles.
     """
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        out, count = np.zeros((1 + SIGNATURE_WORDS, n), np.uint64), np.zeros(n, np.int32)
+        out = np.zeros((FINGERPRINTS + SIGNATURE_WORDS, n), np.uint64)
         for i, text in enumerate(batch.column(2).to_pylist()):
             words = set(lower_ascii_words(text))
-            count[i] = len(words)
-            out[0, i] = majority(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
             shingles = np.unique(shingle_hashes(text, width))
-            for k in range(SIGNATURE_WORDS if len(shingles) else 0):
-                out[1 + k, i] = majority(_mixed(shingles, k))
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(count), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", "digest", "words", "fp", *_signature()])
+            for k in range(FINGERPRINTS if words else 0):
+                out[k, i] = majority(_mixed(hashes, k))
+            for k in range(SIGNATURE_WORDS if words else 0):
+                out[FINGERPRINTS + k, i] = majority(_mixed(shingles, k))
+        return pa.record_batch([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", "digest", *_prints(), *_signature()])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_digest(F.col(text_col)).alias("digest"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(rows, f, "doc_id long, digest binary, words int, fp long, " + ", ".join(f"{c} long" for c in _signature()))
+    return arrow_map(rows, f, "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in [*_prints(), *_signature()]))
+
+
+def _prints() -> list[str]:
+    return [f"f{k}" for k in range(FINGERPRINTS)]
 
 
 def _signature() -> list[str]:
@@ -194,25 +194,24 @@ def _apart(a: str, b: str):
 def similar_links(nodes: DataFrame) -> DataFrame:
     """(u, v) links between nodes whose wide signatures differ in SIGNATURE_BITS or fewer.
 
-    ``nodes``: node long, words, fp and the signature.  Candidates share a pair
-    of Golay keys and a band of their numbers of words, and have fingerprints within WORD_BITS; of a key with two nodes
-    the exclusive or of all fingerprints is already that of the pair.  Keys
-    with more than SIMILAR_NODES nodes compare their nodes with LEADERS leaders
-    each, dealt by hash, in place of all pairs.
+    ``nodes``: node long, the fingerprints and the signature.  Candidates share
+    a Golay key of a fingerprint, in which they are within WORD_BITS; of a key
+    with two nodes the exclusive or of all fingerprints is already that of the
+    pair.  Keys with more than PAIRED_NODES nodes compare their nodes with
+    LEADERS leaders each, dealt by hash, in place of all pairs.
     """
-    keyed = _keyed(nodes.withColumn("f", F.col("fp")), golay.fuzzy_pair_keys, ["f"], "words")
+    keyed = _keyed(nodes, _prints(), carry=True)
     held = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("f").alias("x"))
     held = materialise(held.filter("n > 1").filter((F.col("n") > 2) | (F.bit_count("x") <= WORD_BITS)))
     twos = held.filter("n = 2").select("u", "v")
-    some = keyed.join(held.filter(f"n > 2 and n <= {SIMILAR_NODES}").select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "f"))).alias("m"))
+    some = keyed.join(held.filter(f"n > 2 and n <= {PAIRED_NODES}").select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "f"))).alias("m"))
     m = F.col("m")
     close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= WORD_BITS
     pairs = F.transform(m, lambda a, i: F.transform(F.filter(F.slice(m, i + 2, F.size(m)), lambda b: close(a.f, b.f)), lambda b: F.struct(a.node.alias("u"), b.node.alias("v"))))
     paired = some.select(F.explode(F.flatten(pairs)).alias("p")).select("p.u", "p.v")
-    hot_keys = held.filter(f"n > {SIMILAR_NODES}").select("key")
+    hot_keys = held.filter(f"n > {PAIRED_NODES}").select("key")
     hot = keyed.join(hot_keys, "key", "left_semi")
-    chosen = hot.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(F.min("node").alias("leader"))
-    chosen = chosen.join(nodes.select(F.col("node").alias("leader"), F.col("fp").alias("lf")), "leader")
+    chosen = hot.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(F.min("node").alias("leader"), F.min_by("f", "node").alias("lf"))
     leaders = materialise(chosen.groupBy("key").agg(F.collect_list(F.struct("leader", "lf")).alias("leaders")))
     near = F.filter("leaders", lambda x: close(F.col("f"), x.lf) & (x.leader != F.col("node")))
     led = hot.join(leaders, "key").select("node", F.explode(F.transform(near, lambda x: x.leader)).alias("leader")).select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"))
@@ -231,9 +230,9 @@ def drop_near_copies(docs: DataFrame, width: int = 5, id_col: str = "doc_id", te
     another.  Ids used twice are told apart by their texts.
     """
     thin = materialise(signed_documents(docs, width, id_col, text_col))
-    node = F.xxhash64("fp", *_signature())
+    node = F.xxhash64(*_prints(), *_signature())
     rows = thin.withColumn("node", node)
-    nodes = materialise(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("words").alias("words"), *(F.min(c).alias(c) for c in _signature()), F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("n")))
+    nodes = materialise(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in [*_prints(), *_signature()]), F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("n")))
     tree = components(similar_links(nodes))
     rooted = materialise(nodes.join(tree, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     top = rooted.groupBy("root").agg(F.min("first").alias("stays"))
