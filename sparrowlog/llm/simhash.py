@@ -11,7 +11,8 @@ never paired out:
   fingerprints are within two bits if and only if they share one of their 65
   (the word itself and each single-bit flip), so every group of equal variants
   is a star of true links;
-* with wide signatures, its nodes are compared with a few leaders.
+* near copies by Jaccard similarity are verified by their shingles, and what the
+  keys miss is found by prefixes of rare shingles (see ``similar_links``).
 """
 
 from __future__ import annotations
@@ -22,13 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import golay
-from .common import arrow_map, keep_rows, lower_ascii_words, materialise, row_digest, shingle_hashes
+from .common import LONG_MIN, arrow_map, keep_rows, lower_ascii_words, materialise, row_digest, shingle_hashes
 from .components import components
 
 #: Nodes of a key up to which all their pairs are compared.
 PAIRED_NODES = 24
-#: Leaders with which the nodes of a larger key are compared.
-LEADERS = 8
 _CHUNK = 1 << 15
 
 
@@ -134,106 +133,202 @@ def near_dedup(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col
 # ------------------------------------------------------------------ similarity
 
 
-#: 64-bit words of a wide signature.
-SIGNATURE_WORDS = 6
-#: Differing bits, of 384, up to which two wide signatures count as near: about what five-word
-#: shingles with a Jaccard similarity of 0.8 differ in (angle 0.475 of pi, 15 %), and one and a half deviations.
-SIGNATURE_BITS = 70
-#: Fingerprints over words, each of hashes of its own, that are decoded: near copies differ in some bits of each, and
-#: need one of them to be within two.
-FINGERPRINTS = 4
-#: Differing bits up to which such fingerprints are candidates: texts of such a similarity differ in few words.
+#: Fingerprints over distinct words that are decoded for the first links; what they miss is found by ``rest_links``.
+FINGERPRINTS = 1
+#: Differing bits up to which such fingerprints are candidates of the first links.
 WORD_BITS = 10
+#: Counts of a document's distinct shingles by hash.
+BINS = 256
+#: Documents whose shingles are counted, and counts kept, to order shingles by how common they are. Any order gives the same links.
+ORDER_DOCS, ORDER_SHINGLES = 5_000, 1 << 16
+#: Nodes up to which those to be verified are broadcast to the texts (under 100 bytes each); beyond, a join.
+BROADCAST_NODES = 200_000
 
 
-def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
-    """Another 64-bit hash from each hash (the finaliser of splitmix64)."""
-    z = hashes + np.uint64(0x9E3779B97F4A7C15 * (turn + 1) % 2**64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+def _node(shingles: np.ndarray) -> int:
+    """Signed 64-bit hash of a set of shingles, rising."""
+    h = xxhash.xxh64_intdigest(shingles.tobytes(), 7)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def signed_documents(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, f0, f1, ..., s0, s1, ...): fingerprints over distinct words, the signature over distinct shingles.
-
-    Few words differ between near copies, so the fingerprints that are decoded
-    are taken over words; the signature that verifies is taken over shingles.
-    """
+    """(doc_id, digest, node, size, bins, f0, ...): node and size are of the set of shingles, bins counts it by hash, f0, ... are over distinct words."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        out = np.zeros((FINGERPRINTS + SIGNATURE_WORDS, n), np.uint64)
+        node, size, bins, out = [], [], [], np.zeros((FINGERPRINTS, n), np.uint64)
         for i, text in enumerate(batch.column(2).to_pylist()):
             words = set(lower_ascii_words(text))
             hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
             shingles = np.unique(shingle_hashes(text, width))
+            node.append(_node(shingles))
+            size.append(len(shingles))
+            counts = np.bincount((shingles % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+            bins.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
             for k in range(FINGERPRINTS if words else 0):
                 out[k, i] = majority(_mixed(hashes, k))
-            for k in range(SIGNATURE_WORDS if words else 0):
-                out[FINGERPRINTS + k, i] = majority(_mixed(shingles, k))
-        return pa.record_batch([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", "digest", *_prints(), *_signature()])
+        own = [pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(bins, pa.binary())]
+        return pa.record_batch([batch.column(0), batch.column(1), *own, *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", "digest", "node", "size", "bins", *_prints()])
+
+    return arrow_map(_rows(docs, id_col, text_col), f, "doc_id long, digest binary, node long, size long, bins binary, " + ", ".join(f"{c} long" for c in _prints()))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_digest(F.col(text_col)).alias("digest"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(rows, f, "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in [*_prints(), *_signature()]))
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_digest(F.col(text_col)).alias("digest"), F.col(text_col).cast("string").alias("text"))
+
+
+def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Another 64-bit hash from each hash (the finaliser of splitmix64)."""
+    z = hashes + np.uint64(0x9E3779B97F4A7C15 * (turn + 1) % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def _prints() -> list[str]:
     return [f"f{k}" for k in range(FINGERPRINTS)]
 
 
-def _signature() -> list[str]:
-    return [f"s{k}" for k in range(SIGNATURE_WORDS)]
+def first_candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v) nodes that share a Golay key of a fingerprint and are within WORD_BITS in it; of a key with many nodes only those with its least.
+
+    These only shorten ``rest_candidates``, which is complete.
+    """
+    keyed = _keyed(nodes, _prints(), carry=True)
+    held = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("node", "f"), "node").alias("u"), F.max("node").alias("v")).filter("n > 1"))
+    stars = keyed.join(held.select("key", "u"), "key").filter((F.col("node") != F.col("u.node")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("u.f"))) <= WORD_BITS))
+    return stars.select(F.col("u.node").alias("u"), F.col("node").alias("v")).distinct()
+
+
+def common_shingles(docs: DataFrame, n: int, width: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a bounded sample of documents hold, rising, and their counts."""
+    turns = max(1, n // ORDER_DOCS)
 
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(2).to_pylist()]
+        return pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["key"])
 
-def _apart(a: str, b: str):
-    """Differing bits of two structs with wide signatures."""
-    return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _signature()), F.lit(0))
+    some = _rows(docs, id_col, text_col).filter(F.pmod(F.xxhash64("digest"), F.lit(turns)) == 0)
+    counts = arrow_map(some, f, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "key").limit(ORDER_SHINGLES).toPandas()
+    key = counts.key.to_numpy(np.int64).view(np.uint64)
+    at = np.argsort(key)
+    return key[at], counts.n.to_numpy(np.int64)[at]
 
 
-def similar_links(nodes: DataFrame) -> DataFrame:
-    """(u, v) links between nodes whose wide signatures differ in SIGNATURE_BITS or fewer.
+def prefix_keys(docs: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray], id_col: str, text_col: str) -> DataFrame:
+    """(key, node, size, at): the first shingles of each set, rarest first; ``at`` is the place in that order.
 
-    ``nodes``: node long, the fingerprints and the signature.  Candidates share
-    a Golay key of a fingerprint, in which they are within WORD_BITS; of a key
-    with two nodes the exclusive or of all fingerprints is already that of the
-    pair.  Keys with more than PAIRED_NODES nodes compare their nodes with
-    LEADERS leaders each, dealt by hash, in place of all pairs.
+    Sets of m <= n shingles with a similarity of 4/5 share more than 4/9 (m + n),
+    so the first one they share is among the first n - ceil(4n / 5) + 1 of the
+    larger and the first m - ceil(8m / 9) + 1 of the smaller.
     """
-    keyed = _keyed(nodes, _prints(), carry=True)
-    held = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("f").alias("x"))
-    held = materialise(held.filter("n > 1").filter((F.col("n") > 2) | (F.bit_count("x") <= WORD_BITS)))
-    twos = held.filter("n = 2").select("u", "v")
-    some = keyed.join(held.filter(f"n > 2 and n <= {PAIRED_NODES}").select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "f"))).alias("m"))
-    m = F.col("m")
-    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= WORD_BITS
-    pairs = F.transform(m, lambda a, i: F.transform(F.filter(F.slice(m, i + 2, F.size(m)), lambda b: close(a.f, b.f)), lambda b: F.struct(a.node.alias("u"), b.node.alias("v"))))
-    paired = some.select(F.explode(F.flatten(pairs)).alias("p")).select("p.u", "p.v")
-    hot_keys = held.filter(f"n > {PAIRED_NODES}").select("key")
-    hot = keyed.join(hot_keys, "key", "left_semi")
-    chosen = hot.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("class")).agg(F.min("node").alias("leader"), F.min_by("f", "node").alias("lf"))
-    leaders = materialise(chosen.groupBy("key").agg(F.collect_list(F.struct("leader", "lf")).alias("leaders")))
-    near = F.filter("leaders", lambda x: close(F.col("f"), x.lf) & (x.leader != F.col("node")))
-    led = hot.join(leaders, "key").select("node", F.explode(F.transform(near, lambda x: x.leader)).alias("leader")).select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"))
-    candidates = twos.unionByName(paired).unionByName(led).distinct()
-    s = nodes.select("node", F.struct(*_signature()).alias("s"))
-    left = candidates.join(s.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
-    both = left.join(s.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    return both.filter(_apart("a", "b") <= SIGNATURE_BITS).select("u", "v")
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known, counts = common
+        parts = []
+        for text in batch.column(2).to_pylist():
+            s = np.unique(shingle_hashes(text, width))
+            n = len(s)
+            if not n:
+                continue
+            often = np.zeros(n, np.int64)
+            if len(known):
+                where = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                often = np.where(known[where] == s, counts[where], 0)
+            first = s[np.lexsort((s, often))][: n + (-4 * n // 5) + 1]
+            parts.append((first.view(np.int64), np.full(len(first), _node(s)), np.full(len(first), n), np.arange(len(first))))
+        columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
+        return pa.record_batch([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32))], names=["key", "node", "size", "at"])
+
+    return arrow_map(_rows(docs, id_col, text_col), f, "key long, node long, size int, at int")
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key several nodes have, each once; keys that no smaller set has among its first go."""
+    short = F.col("at") <= F.col("size") - F.ceil(8 * F.col("size") / 9)
+    held = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max(short).alias("s")).filter("a <> b and s").select("key")
+    return materialise(keyed.join(held, "key", "left_semi").distinct())
+
+
+def _may_link(a, b):
+    """Of two structs with size and at, whether the rest of both sets can hold enough: 9 common >= 4 (m + n)."""
+    return 9 * F.least(a["size"] - a["at"], b["size"] - b["at"]) >= 4 * (a["size"] + b["size"])
+
+
+def star_candidates(shared: DataFrame) -> DataFrame:
+    """(u, v) of each node of a key with the key's least and greatest node, where the key has more than PAIRED_NODES."""
+    x = F.struct("node", "size", "at")
+    ends = shared.groupBy("key").agg(F.min_by(x, "node").alias("lo"), F.max_by(x, "node").alias("hi"), F.count("*").alias("n")).filter(f"n > {PAIRED_NODES}").drop("n")
+    both = shared.join(ends, "key").select(x.alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
+    return both.filter((F.col("x.node") != F.col("y.node")) & _may_link(F.col("x"), F.col("y"))).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+
+
+def rest_candidates(shared: DataFrame, tree: DataFrame) -> DataFrame:
+    """(u, v) of all nodes that share a key, may be similar and are not yet in one component of ``tree``."""
+    rooted = shared.join(tree, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "size", "at")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    rows = materialise(rooted.join(mixed, "key", "left_semi"))
+    lists = rows.groupBy("key", "root").agg(F.collect_list(F.struct("node", "size", "at")).alias("m"))
+    a, b = lists.select("key", F.col("root").alias("ra"), F.col("m").alias("ma")), lists.select("key", F.col("root").alias("rb"), F.col("m").alias("mb"))
+    near = F.flatten(F.transform("ma", lambda x: F.transform(F.filter("mb", lambda y: _may_link(x, y)), lambda y: F.struct(F.least(x.node, y.node).alias("u"), F.greatest(x.node, y.node).alias("v")))))
+    return a.join(b, "key").filter("ra < rb").select(F.explode(near).alias("p")).select("p.u", "p.v").distinct()
+
+
+def similar(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """The candidates whose sets of shingles have a Jaccard similarity of 0.8 or more: exact, by the sets.
+
+    Counts by hash go first: they differ by no more than the sets do, so no similar pair is lost.
+    """
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, BINS).astype(np.int16) for k in (4, 5))
+        near = 9 * np.abs(a - b).sum(axis=1, dtype=np.int64) <= size
+        return pa.record_batch([c.filter(pa.array(near)) for c in batch.columns[:4]], names=["u", "v", "m", "n"])
+
+    s = nodes.select("node", "size", "bins")
+    two = candidates.join(s.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("bins").alias("a")), "u").join(s.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("bins").alias("b")), "v")
+    left = materialise(arrow_map(two.select("u", "v", "m", "n", "a", "b"), f, "u long, v long, m long, n long"))
+    asked = left.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    where = materialise(nodes.join(asked, "node", "left_semi").select("node", F.coalesce("first.doc_id", F.lit(LONG_MIN)).alias("doc_id"), F.col("first.digest").alias("digest")))
+    small = where.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    texts = _rows(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LONG_MIN))).join(F.broadcast(where) if small else where, ["doc_id", "digest"])
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
+        return pa.record_batch([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "s"])
+
+    held = materialise(arrow_map(texts.select("node", "text"), sets, "node long, s array<long>").dropDuplicates(["node"]))
+    pairs = left.join(held.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    return materialise(pairs.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.col("m") + F.col("n"))).select("u", "v"))
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(u, v) links whose components are those of all pairs of nodes with a Jaccard similarity of 0.8 or more.
+
+    First come pairs by the fingerprints' Golay keys.  Then rare shingles
+    give all others (``prefix_keys``): a key with many nodes compares them with
+    two of them, and at last every pair that isn't in one component by then.
+    """
+    check = lambda pairs: similar(pairs, nodes, docs, width, id_col, text_col)
+    links = check(first_candidates(nodes))
+    common = common_shingles(docs, nodes.count(), width, id_col, text_col)
+    shared = shared_keys(prefix_keys(docs, width, common, id_col, text_col))
+    links = links.unionByName(check(star_candidates(shared)))
+    return links.unionByName(check(rest_candidates(shared, components(links))))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with the least doc_id of each group of near copies.
 
-    Near: five-word shingles with a similarity of about 0.8 or more, as their
-    wide SimHash signatures tell.  Texts without words are exact copies of one
-    another.  Ids used twice are told apart by their texts.
+    Near: distinct five-word shingles with a Jaccard similarity of 0.8 or
+    more, and what such pairs connect.  Texts without words are exact copies of
+    one another.  Ids used twice are told apart by their texts.
     """
-    thin = materialise(signed_documents(docs, width, id_col, text_col))
-    node = F.xxhash64(*_prints(), *_signature())
-    rows = thin.withColumn("node", node)
-    nodes = materialise(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in [*_prints(), *_signature()]), F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("n")))
-    tree = components(similar_links(nodes))
+    rows = materialise(signed_documents(docs, width, id_col, text_col))
+    nodes = materialise(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ["size", "bins", *_prints()]), F.min(F.struct("doc_id", "digest")).alias("first")))
+    tree = components(similar_links(nodes, docs, width, id_col, text_col))
     rooted = materialise(nodes.join(tree, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     top = rooted.groupBy("root").agg(F.min("first").alias("stays"))
     named = materialise(rooted.join(top, "root").select("node", "stays"))

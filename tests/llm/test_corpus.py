@@ -178,6 +178,40 @@ def test_drop_near_copies_of_one_large_group(spark):
     assert [x.doc_id for x in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
+def edited(r, words, edits, tag):
+    w = list(words)
+    for k, at in enumerate(r.sample(range(len(w)), edits)):
+        w[at] = f"{tag}x{k}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("pages", [60, 400])
+def test_drop_near_copies_against_brute_force(spark, pages):
+    """Pairs at J about 0.75 to 0.9, a group in which few pairs are near, and pages of one template at J about 0.5."""
+    r = random.Random(11)
+    texts = [" ".join(f"w{r.randrange(4000)}" for _ in range(r.randrange(60, 300))) for _ in range(60)]
+    texts += [edited(r, t.split(), max(1, len(t.split()) * k // 200), f"e{i}") for i, t in enumerate(texts) for k in (3, 4, 5)]
+    group = [f"g{k}" for k in range(200)]
+    texts += [edited(r, group, 5, f"h{i}") for i in range(80)]
+    page = [f"p{k}" for k in range(200)]
+    fixed = [edited(random.Random(9), page, 0, "")]
+    for i in range(pages):
+        w = fixed[0].split()
+        for k in range(16):
+            w[12 * k] = f"fill{i}x{k}"
+        texts.append(" ".join(w))
+        if i < 30:
+            texts.append(edited(r, w, 4, f"q{i}"))
+    texts += ["short text", "SHORT  text", "", "one two three four five six", None]
+    sets = [set(shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    near += [(i, j) for i in range(len(sets)) for j in range(i) if not sets[i] and not sets[j]]
+    root = forest(near)
+    want = {min((j for j in root if root[j] == root[i]), default=i) if i in root else i for i in range(len(texts))}
+    got = {x.doc_id for x in simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert (sorted(want - got), sorted(got - want)) == ([], [])  # wrongly removed, missed
+
+
 # ------------------------------------------------------------ 2 language ID
 
 
