@@ -28,7 +28,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with the target weights of sources, languages and topics."""
+    """A sample raked towards the target weights of sources, languages and topics, without repeats; rare cells fall short of them."""
     return mixing.sample(docs, MIX)
 
 

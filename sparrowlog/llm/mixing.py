@@ -4,9 +4,11 @@ Token counts are summed over cells of source, language and topic.  Raking
 scales the cells in turn to each marginal's targets until all hold.  A
 document's weight is what its cell was scaled by; its probability is its
 weight times a common rate, at most 1, the rate chosen so that the expected
-tokens are the wanted share of all.  A document is taken if a hash of its id
-and text lies under its probability, so the sample doesn't depend on
-partitioning and can be made again.
+tokens are the wanted share of all.  Where cells are cut at 1 the targets don't
+hold (``marginals`` tells by how much); with ``repeat`` nothing is cut: a
+probability over 1 is so many whole copies, and one more by the fraction.  A
+document is taken if a hash of its id and text lies under its probability, so
+the sample doesn't depend on partitioning and can be made again.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ class Targets:
     topic: dict[str, float] = field(default_factory=dict)
     temper: float = 0.5
     share: float = 0.6
+    repeat: bool = False
     seed: int = 42
 
 
@@ -144,7 +147,7 @@ def _labelled(docs: DataFrame, names: list[str], source: Column, language: Colum
 
 
 def cell_table(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """Cells with tokens, raked share, weight and probability."""
+    """Cells with tokens, raked share, weight and probability; with ``repeat`` the probability is the copies of a document to expect."""
     labelled = _labelled(docs.select(F.col(text_col).alias("t"), F.col(source_col).alias("s"), F.col(lang_col).alias("l")), [*AXES, "tokens"], F.col("s"), F.col("l"), F.col("t"))
     cells = materialise(labelled.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")))
     n = cells.count()
@@ -167,7 +170,8 @@ def cell_table(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_c
             low, high = (mid, high) if cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(mid) * weight))).first()[0] < targets.share * total else (low, mid)
         rate = high
     weight = F.col("raked") / (F.col("tokens") / F.lit(total))
-    return cells.withColumn("weight", weight).withColumn("probability", F.least(F.lit(1.0), F.lit(rate) * F.col("weight")))
+    probability = F.lit(float(targets.share)) * F.col("weight") if targets.repeat else F.least(F.lit(1.0), F.lit(rate) * F.col("weight"))
+    return cells.withColumn("weight", weight).withColumn("probability", probability)
 
 
 def chance(id_col: Column, text: Column, seed: int) -> Column:
@@ -176,16 +180,30 @@ def chance(id_col: Column, text: Column, seed: int) -> Column:
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
+def copies(expected: Column, u: Column) -> Column:
+    """Whole copies of a document, and one more if its number ``u`` lies under the fraction."""
+    return (F.floor(expected) + (u < expected - F.floor(expected)).cast("long")).cast("int")
+
+
+def marginals(plan: DataFrame) -> DataFrame:
+    """(axis, value, natural, expected, achieved): shares of tokens in all documents, of those to expect, and of those taken."""
+    rows = plan.select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in AXES))).alias("x"), "n_tokens", "probability", "copies")
+    sums = rows.groupBy("x.axis", "x.value").agg(F.sum("n_tokens").alias("natural"), F.sum(F.col("n_tokens") * F.col("probability")).alias("expected"), F.sum(F.col("n_tokens") * F.col("copies")).alias("achieved"))
+    whole = sums.groupBy("axis").agg(*(F.sum(c).alias(f"all_{c}") for c in ("natural", "expected", "achieved")))
+    return sums.join(whole, "axis").select("axis", "value", *((F.col(c) / F.col(f"all_{c}")).alias(c) for c in ("natural", "expected", "achieved")))
+
+
 def plan(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """One row per input row: doc_id, source, language, topic, n_tokens, weight, probability, selected.
+    """One row per input row: doc_id, source, language, topic, n_tokens, weight, probability, selected, copies.
 
+    ``copies`` is how often the row is taken: 0 or 1, or more with ``repeat``.
     Null sources and languages are the value "(none)"; null texts count as
     empty; an empty table gives an empty table.  Repeated rows share one fate.
     """
     table = cell_table(docs, targets, id_col, text_col, source_col, lang_col).select(*AXES, "weight", "probability")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), F.col(source_col).alias("s"), F.col(lang_col).alias("l"))
     labelled = _labelled(rows, [*AXES, "n_tokens"], F.col("s"), F.col("l"), F.col("t")).withColumn("u", chance(F.col("doc_id"), F.col("t"), targets.seed)).drop("t", "s", "l")
-    return _with_cells(labelled, table).select("doc_id", *AXES, "n_tokens", "weight", "probability", (F.col("u") < F.col("probability")).alias("selected"))
+    return _with_cells(labelled, table).select("doc_id", *AXES, "n_tokens", "weight", "probability", copies(F.col("probability"), F.col("u")).alias("copies")).withColumn("selected", F.col("copies") > 0).select("doc_id", *AXES, "n_tokens", "weight", "probability", "selected", "copies")
 
 
 def _with_cells(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -194,10 +212,11 @@ def _with_cells(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, that the plan selects."""
+    """The rows of ``docs``, all columns, that the plan selects, each as often as it says."""
     table = cell_table(docs, targets, id_col, text_col, source_col, lang_col)
-    s, l, t, n, p = fresh(docs, "mix_source__", "mix_language__", "mix_topic__", "mix_tokens__", "mix_p__")
+    s, l, t, n, p, k = fresh(docs, "mix_source__", "mix_language__", "mix_topic__", "mix_tokens__", "mix_p__", "mix_copies__")
     labelled = _labelled(docs, [s, l, t, n], F.col(source_col), F.col(lang_col), F.col(text_col))
     small = table.select(F.col("source").alias(s), F.col("language").alias(l), F.col("topic").alias(t), F.col("probability").alias(p))
     joined = labelled.join(F.broadcast(small) if small.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS else small, [s, l, t])
-    return joined.filter(chance(F.col(id_col), F.col(text_col), targets.seed) < F.col(p)).select(*docs.columns)
+    taken = joined.withColumn(k, copies(F.col(p), chance(F.col(id_col), F.col(text_col), targets.seed))).filter(F.col(k) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(k))).alias(k)).select(*docs.columns)

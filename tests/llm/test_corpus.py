@@ -438,6 +438,18 @@ def test_sampling(odd, empty, docs):
     assert mixing.plan(empty, queries.MIX).collect() == [] and mixing.sample(empty, queries.MIX).collect() == []
 
 
+def test_sample_has_the_target_weights(spark):
+    """Topics that are rare, so that weights are over 1: they must be repeated."""
+    text = lambda i: ("Licensed under " if i % 50 == 0 else "a | b " if i % 50 == 1 else "") + "word " * (100 + i % 7)
+    df = spark.createDataFrame([(i, text(i), "en" if i % 3 else "da", f"src{i % 2}") for i in range(3000)], "doc_id long, text string, lang string, source string")
+    t = mixing.Targets(language={"en": 0.5}, topic={"table": 0.1, "licence": 0.2}, temper=1.0, share=0.6, repeat=True)
+    plan = mixing.plan(df, t)
+    shares = {(r.axis, r.value): r for r in mixing.marginals(plan).collect()}
+    for key, want in {("topic", "licence"): 0.2, ("topic", "table"): 0.1, ("language", "en"): 0.5}.items():
+        assert shares[key].expected == pytest.approx(want, abs=1e-6) and shares[key].achieved == pytest.approx(want, abs=0.02)
+    assert Counter(r.doc_id for r in mixing.sample(df, t).collect()) == {r.doc_id: r.copies for r in plan.filter("selected").collect()}
+
+
 # -------------------------------------------------------------------- 8 PII
 
 PRIVATE = {
