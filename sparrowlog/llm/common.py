@@ -40,6 +40,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``materialise`` as Parquet, for many narrow rows that are read more than once."""
+    where = scratch(df.sparkSession, what)
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import golay
-from .common import LONG_MIN, arrow_map, keep_rows, lower_ascii_words, materialise, row_digest, shingle_hashes
+from .common import LONG_MIN, arrow_map, keep_rows, lower_ascii_words, materialise, row_digest, shingle_hashes, stored
 from .components import components
 
 #: Nodes of a key up to which all their pairs are compared.
@@ -77,18 +77,18 @@ def _keyed(nodes: DataFrame, columns: list[str], carry: bool = False) -> DataFra
 
 
 def links_within_two(nodes: DataFrame) -> DataFrame:
-    """(u, v) links whose components are those of all pairs of fingerprints within two bits.
+    """(u, v), u < v, each once: links whose components are those of all pairs of fingerprints within two bits.
 
     ``nodes`` has one column ``fp``, without repeats.
     """
-    keyed = _keyed(nodes.select("fp", F.col("fp").alias("node")), ["fp"])
+    keyed = stored(_keyed(nodes.select("fp", F.col("fp").alias("node")), ["fp"]), "golay-keys")
     held = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).filter("n > 1"))
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2
     twos = held.filter("n = 2").filter(close).select("u", "v")
     some = keyed.join(held.filter(f"n > 2 and n <= {PAIRED_NODES}").select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("m"))
     pairs = some.select(F.explode(_pairs_within("m", 2)).alias("p")).select("p.u", "p.v")
     hot = keyed.join(held.filter(f"n > {PAIRED_NODES}").select("key"), "key", "left_semi").select("node").distinct()
-    return twos.unionByName(pairs).unionByName(_stars(hot)).distinct()
+    return twos.unionByName(pairs).unionByName(_stars(hot)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _pairs_within(column: str, bits: int):
@@ -108,14 +108,13 @@ def _stars(nodes: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fingerprint, component_id, links.
+    """One row per input row: doc_id, fingerprint, component_id.
 
     fingerprint: 16 hex digits.  component_id: the least doc_id reachable over
     fingerprints that differ in two bits or fewer (null only if no document of
-    the component has an id).  links: how many other distinct fingerprints
-    are linked to this one by the links that were kept.  Null, empty and
-    wordless texts have fingerprint zero and are linked like any other.
-    Repeated rows come out repeated; other columns are not read.
+    the component has an id).  Null, empty and wordless texts have fingerprint
+    zero and are linked like any other.  Repeated rows come out repeated; an
+    empty table gives an empty table; other columns are not read.
     """
     thin = materialise(fingerprints(docs, width, id_col, text_col))
     groups = materialise(thin.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -125,9 +124,7 @@ def near_dedup(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col
     rooted = materialise(rooted)
     top = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialise(rooted.join(top, "root").select("fp", "component_id"))
-    degree = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("links"))
-    named = materialise(named.join(degree, named.fp == degree.u, "left").select("fp", "component_id", F.coalesce("links", F.lit(0).cast("long")).alias("links")))
-    return thin.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "links")
+    return thin.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # ------------------------------------------------------------------ similarity
@@ -141,6 +138,9 @@ WORD_BITS = 10
 BINS = 256
 #: Documents whose shingles are counted, and counts kept, to order shingles by how common they are. Any order gives the same links.
 ORDER_DOCS, ORDER_SHINGLES = 5_000, 1 << 16
+#: While more pairs than so many a row are open and at least one in so many is a link, each key's nodes are compared with
+#: one more centre; then all that are left are paired out. The links' components are the same whatever these are.
+PAIRS_A_ROW, TRIED_A_LINK = 8, 50
 #: Nodes up to which those to be verified are broadcast to the texts (under 100 bytes each); beyond, a join.
 BROADCAST_NODES = 200_000
 
@@ -255,23 +255,39 @@ def _may_link(a, b):
     return 9 * F.least(a["size"] - a["at"], b["size"] - b["at"]) >= 4 * (a["size"] + b["size"])
 
 
-def star_candidates(shared: DataFrame) -> DataFrame:
-    """(u, v) of each node of a key with the key's least and greatest node, where the key has more than PAIRED_NODES."""
-    x = F.struct("node", "size", "at")
-    ends = shared.groupBy("key").agg(F.min_by(x, "node").alias("lo"), F.max_by(x, "node").alias("hi"), F.count("*").alias("n")).filter(f"n > {PAIRED_NODES}").drop("n")
-    both = shared.join(ends, "key").select(x.alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
-    return both.filter((F.col("x.node") != F.col("y.node")) & _may_link(F.col("x"), F.col("y"))).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
-
-
-def rest_candidates(shared: DataFrame, tree: DataFrame) -> DataFrame:
-    """(u, v) of all nodes that share a key, may be similar and are not yet in one component of ``tree``."""
+def undecided(shared: DataFrame, tree: DataFrame) -> DataFrame:
+    """(key, root, node, size, at) of the keys that nodes of several components of ``tree`` share."""
     rooted = shared.join(tree, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "size", "at")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    rows = materialise(rooted.join(mixed, "key", "left_semi"))
-    lists = rows.groupBy("key", "root").agg(F.collect_list(F.struct("node", "size", "at")).alias("m"))
-    a, b = lists.select("key", F.col("root").alias("ra"), F.col("m").alias("ma")), lists.select("key", F.col("root").alias("rb"), F.col("m").alias("mb"))
-    near = F.flatten(F.transform("ma", lambda x: F.transform(F.filter("mb", lambda y: _may_link(x, y)), lambda y: F.struct(F.least(x.node, y.node).alias("u"), F.greatest(x.node, y.node).alias("v")))))
-    return a.join(b, "key").filter("ra < rb").select(F.explode(near).alias("p")).select("p.u", "p.v").distinct()
+    return materialise(rooted.join(mixed, "key", "left_semi"))
+
+
+def cross_pairs(rows: DataFrame) -> int:
+    """How many pairs of nodes of different components share a key, each counted for every key."""
+    own = rows.groupBy("key", "root").agg(F.count("*").cast("double").alias("n"))
+    row = own.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()
+    return int(row[0] or 0)
+
+
+def centres(rows: DataFrame) -> DataFrame:
+    """(key, c): each key's centre, the node whose share of shingles rarer than the key is least.
+
+    Copies of one text that were each edited apart are nearer to the one with the fewest edits than to one another.
+    """
+    return rows.groupBy("key").agg(F.min_by(F.struct("node", "root", "size", "at"), F.struct(F.col("at") / F.col("size"), "node")).alias("c"))
+
+
+def star_candidates(rows: DataFrame, centre: DataFrame) -> DataFrame:
+    """(u, v) of each key's centre and the key's nodes of other components."""
+    both = rows.join(centre, "key").filter((F.col("root") != F.col("c.root")) & _may_link(F.struct("node", "root", "size", "at"), F.col("c")))
+    return both.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
+
+
+def rest_candidates(rows: DataFrame) -> DataFrame:
+    """(u, v) of all nodes of different components that share a key and may be similar."""
+    a, b = (rows.select("key", F.struct("node", "root", "size", "at").alias(c)) for c in "ab")
+    pairs = a.join(b, "key").filter((F.col("a.root") < F.col("b.root")) & _may_link(F.col("a"), F.col("b")))
+    return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
 def similar(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -308,15 +324,28 @@ def similar_links(nodes: DataFrame, docs: DataFrame, width: int = 5, id_col: str
     """(u, v) links whose components are those of all pairs of nodes with a Jaccard similarity of 0.8 or more.
 
     First come pairs by the fingerprints' Golay keys.  Then rare shingles
-    give all others (``prefix_keys``): a key with many nodes compares them with
-    two of them, and at last every pair that isn't in one component by then.
+    give all others (``prefix_keys``): first each key's nodes with the key's
+    centre, in rounds with another centre each, and at last every pair that
+    isn't in one component by then.
     """
-    check = lambda pairs: similar(pairs, nodes, docs, width, id_col, text_col)
+    def check(pairs: DataFrame) -> DataFrame:
+        return similar(pairs, nodes, docs, width, id_col, text_col)
+
     links = check(first_candidates(nodes))
     common = common_shingles(docs, nodes.count(), width, id_col, text_col)
-    shared = shared_keys(prefix_keys(docs, width, common, id_col, text_col))
-    links = links.unionByName(check(star_candidates(shared)))
-    return links.unionByName(check(rest_candidates(shared, components(links))))
+    shared = shared_keys(stored(prefix_keys(docs, width, common, id_col, text_col), "prefixes"))
+    rows, used = undecided(shared, components(links)), None
+    while cross_pairs(rows) > PAIRS_A_ROW * rows.count():
+        centre = materialise(centres(rows))
+        tried = materialise(star_candidates(rows, centre))
+        found = check(tried)
+        links = links.unionByName(found)
+        own = centre.select("key", F.col("c.node").alias("node"))
+        used = own if used is None else used.unionByName(own)
+        rows = undecided(shared.join(used, ["key", "node"], "left_anti"), components(links))
+        if found.count() * TRIED_A_LINK < tried.count():
+            break
+    return links.unionByName(check(rest_candidates(rows)))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
