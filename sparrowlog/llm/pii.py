@@ -9,7 +9,10 @@ values of a kind to different ones, and ``restore`` takes them back.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import itertools
 import re
+from collections.abc import Callable
 from datetime import date, timedelta
 
 import pyarrow as pa
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_map
 
-ROUNDS = 10
+ROUNDS, BLOCK = 10, 64
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 
@@ -32,8 +35,10 @@ class Feistel:
         return int.from_bytes(hashlib.blake2b(f"{tweak}|{i}|{shape}|{half}".encode(), key=self.key, digest_size=32).digest(), "big")
 
     def digits(self, value: list[int], radix: int, tweak: str, back: bool = False) -> list[int]:
-        """A permutation of the number lists of this length and radix."""
+        """A permutation of the number lists of this length and radix; of each BLOCK of a long one, for a round's hash has 256 bits."""
         n = len(value)
+        if n > BLOCK:
+            return [x for at in range(0, n, BLOCK) for x in self.digits(value[at : at + BLOCK], radix, f"{tweak}@{at}", back)]
         if n < 2:  # one digit alone is turned by an amount the tweak fixes
             turn = self._round(tweak, 0, (n, radix), 0)
             return [(x + (-turn if back else turn)) % radix for x in value]
@@ -123,6 +128,13 @@ def _ssn(f: Feistel, value: str, back: bool) -> str | None:
     return f"{areas[n // 9999 // 99]:03d}-{n // 9999 % 99 + 1:02d}-{n % 9999 + 1:04d}"
 
 
+def _walked(value: str, turn: Callable[[str], str], valid: Callable[[str], bool]) -> str:
+    """``turn`` until the value is valid again: a permutation of the valid ones."""
+    while not valid(value := turn(value)):
+        pass
+    return value
+
+
 def _phone(f: Feistel, value: str, back: bool) -> str | None:
     lead = re.match(r"\+\d{1,3}(?=[ .(-])", value)
     start = lead.end() if lead else 0
@@ -130,54 +142,153 @@ def _phone(f: Feistel, value: str, back: bool) -> str | None:
     return value[:start] + f.text(value[start:], "phone", back) if 7 <= n <= 12 else None
 
 
+def _compact_phone(f: Feistel, value: str, back: bool) -> str | None:
+    """+ and 8 to 15 digits; a country code of one digit (1 or 7), else the first two, stays."""
+    start = 2 if value[1] in "17" else 3
+    return value[:start] + f.text(value[start:], f"phone{value[:start]}", back)
+
+
+def _area_phone(f: Feistel, value: str, back: bool) -> str | None:
+    """Area, exchange and number: the first two begin with 2 to 9."""
+    def valid(x: str) -> bool:
+        return x[0] in "23456789" and x[4] in "23456789"
+
+    return _walked(value, lambda x: f.text(x, "area", back), valid) if valid(value) and value[3] == value[7] else None
+
+
 def _email(f: Feistel, value: str, back: bool) -> str | None:
+    """The local part; letters differ by case only if the address does, so one person's spellings stay linked."""
     local, _, domain = value.rpartition("@")
-    return f"{f.text(local, f'email{len(local)}', back)}@{domain}"
+    if not any(c.isalnum() for c in local):
+        return None
+    turned = f.text(local.lower(), f"email{len(local)}", back)
+    return "".join(t.upper() if c.isupper() else t for c, t in zip(local, turned)) + f"@{domain}"
+
+
+def _hex(f: Feistel, value: str, tweak: str, back: bool) -> str:
+    """Hexadecimal digits of one case among themselves; of both, letters and digits each among themselves."""
+    low, high = value == value.lower(), value == value.upper()
+    if not low and not high:
+        out = list(value)
+        for name, alphabet in (("d", DIGITS), ("l", HEX[10:]), ("u", HEX[10:].upper())):
+            at = [i for i, c in enumerate(value) if c in alphabet]
+            for i, x in zip(at, f.digits([alphabet.index(value[i]) for i in at], len(alphabet), f"{tweak}.{name}", back)):
+                out[i] = alphabet[x]
+        return "".join(out)
+
+    def turn(x: str) -> str:
+        return "".join(HEX[d] for d in f.digits([HEX.index(c) for c in x], 16, tweak, back))
+
+    if low:
+        return turn(value)
+    return _walked(value.lower(), turn, lambda x: not x.isdigit()).upper()  # digits alone would read as small letters
+
+
+_IS_HEX = re.compile("[0-9A-Fa-f]+").fullmatch
 
 
 def _secret(f: Feistel, value: str, back: bool) -> str | None:
-    low = value.lower()
-    turned = "".join(HEX[x] for x in f.digits([HEX.index(c) for c in low], 16, "secret", back))
-    return turned if value == low else turned.upper() if value == value.upper() else None
+    return _hex(f, value, "secret", back) if _IS_HEX(value) else _walked(value, lambda x: f.text(x, "secret", back), lambda x: not _IS_HEX(x))
+
 
+def _key(f: Feistel, value: str, back: bool) -> str | None:
+    """A key with a public prefix, which stays."""
+    start = re.match(r"AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|AIza|[sr]k_(?:live|test)_", value).end()
+    return value[:start] + f.text(value[start:], "key", back)
 
-def _day(f: Feistel, year: str, month: str, day: str, back: bool) -> date | None:
+
+def _web_token(f: Feistel, value: str, back: bool) -> str | None:
+    return "eyJ" + f.text(value[3:], "token", back)
+
+
+def _address6(f: Feistel, value: str, back: bool) -> str | None:
+    """The digits of the groups as they are spelled; a zero group left out stays left out."""
     try:
-        d = date(int(year), int(month), int(day))
+        ipaddress.IPv6Address(value)
     except ValueError:
         return None
-    if not FIRST_DAY <= d <= LAST_DAY:
+    groups = [g for g in value.split(":") if g]
+    if len(groups) < 8 and (len(groups) < 3 and not re.match("(?i)fe80:|f[cd]|2", value) or not any(map(str.isdigit, value))):
+        return None  # "::" between two names is no address
+    return _refill(value, _hex(f, value.replace(":", ""), f"ip6{len(groups)}", back))
+
+
+def _days(d: date) -> tuple[date, date]:
+    """The span a date is permuted in: 1900 to 2099, or its own hundred years."""
+    if FIRST_DAY <= d <= LAST_DAY:
+        return FIRST_DAY, LAST_DAY
+    first = max(1, d.year // 100 * 100)
+    return date(first, 1, 1), date(d.year // 100 * 100 + 99, 12, 31)
+
+
+def _day(f: Feistel, year: str, month: str, day: str, back: bool, late: bool = False) -> date | None:
+    """The date's pseudonym; ``late``: among the dates with a day over 12."""
+    try:
+        d = date(int(year), int(month), int(day))
+    except ValueError:
         return None
-    return FIRST_DAY + timedelta(f.below((d - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, "date", back))
+    first, last = _days(d)
+    count = (last - first).days + 1
+    while True:
+        d = first + timedelta(f.below((d - first).days, count, "late" if late else "date", back))
+        if not late or d.day > 12:
+            return d
 
 
 def _iso_date(f: Feistel, value: str, back: bool) -> str | None:
     s = value[4]
-    d = _day(f, value[:4], value[5:7], value[8:], back) if value[7] == s else None
-    return d and d.strftime(f"%Y{s}%m{s}%d")
+    d = _day(f, value[:4], value[5:7], value[8:], back) if value[7] == s and (s != "." or value[:2] in ("19", "20")) else None
+    return d and f"{d.year:04d}{s}{d.month:02d}{s}{d.day:02d}"
 
 
 def _day_first(f: Feistel, value: str, back: bool) -> str | None:
+    """Day, month and year; if that is no date, month, day and year."""
     s = value[2]
-    d = _day(f, value[6:], value[3:5], value[:2], back) if value[5] == s else None
-    return d and d.strftime(f"%d{s}%m{s}%Y")
+    if value[5] != s or s == "." and value[6:8] not in ("19", "20"):
+        return None
+    if d := _day(f, value[6:], value[3:5], value[:2], back):
+        return f"{d.day:02d}{s}{d.month:02d}{s}{d.year:04d}"
+    d = _day(f, value[6:], value[:2], value[3:5], back, late=True) if int(value[3:5]) > 12 else None
+    return d and f"{d.month:02d}{s}{d.day:02d}{s}{d.year:04d}"
 
 
-#: Kinds in order of precedence: name, pattern, permutation (None: not valid, left alone).
+#: Words after which a quoted value, or a long unquoted one, is a secret.
+_NAMED = r"(?:token|secret|api[_-]?key|access[_-]?key|private[_-]?key|password|passwd)"
+#: Kinds in order of precedence: name, pattern, permutation (None: not valid, left alone).  The value is group v or else all.
+#: Each pattern begins where its run of characters does or reaches a bounded way, so a search is linear in the text.
 KINDS = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
-    ("secret", r"(?:(?<=token = [\"'])|(?<=TOKEN = [\"'])|(?<=secret = [\"'])|(?<=SECRET = [\"'])|(?<=api_key = [\"']))[0-9A-Fa-f]{16,128}", _secret),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+", _email),
+    ("secret", rf"(?i:(?<![a-z]){_NAMED}[\"']? ?[=:] ?)(?:\"(?P<v>[^\s\"']{{8,}}+)\"|'(?P<v>[^\s\"']{{8,}}+)'|(?P<v>[0-9A-Fa-f]{{16,}}+)(?![A-Za-z0-9]))", _secret),
+    ("key", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])", _key),
+    ("token", r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", _web_token),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    ("date", r"(?<![\d/.-])(?:19|20)\d\d[-/.]\d\d[-/.]\d\d(?![\d/-]|\.\d)", _iso_date),
-    ("date", r"(?<![\d/.-])\d\d[-/.]\d\d[-/.](?:19|20)\d\d(?![\d/-]|\.\d)", _day_first),
+    ("date", r"(?<![\d/.-])\d{4}[-/.]\d\d[-/.]\d\d(?![\d/-]|\.\d)", _iso_date),
+    ("date", r"(?<![\d/.-])\d\d[-/.]\d\d[-/.]\d{4}(?![\d/-]|\.\d)", _day_first),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _address),
+    ("ip", r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{2,39}+(?![0-9A-Za-z:])", _address6),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
+    ("phone", r"(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]|\.\d)", _area_phone),
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)", _card),
     ("card", r"(?<![\d.-])\d{13,19}(?![\d-]|\.\d)", _card),
     ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)", _phone),
+    ("phone", r"(?<![\d+A-Za-z/=])\+[1-9]\d{7,14}(?![\dA-Za-z/=+])", _compact_phone),
 )
-_ANY = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p, _) in enumerate(KINDS)))
-_MAY = re.compile("[0-9@]")
+
+
+def _numbered(pattern: str, i: int) -> str:
+    """``pattern`` with group v as groups of its own names: v<i>x0, v<i>x1, ..."""
+    count = itertools.count()
+    return re.sub(r"\?P<v>", lambda _: f"?P<v{i}x{next(count)}>", pattern)
+
+
+_PATTERNS = [re.compile(_numbered(p, i)) for i, (_, p, _) in enumerate(KINDS)]
+_ANY = re.compile("|".join(f"(?P<k{i}>{_numbered(p, i)})" for i, (_, p, _) in enumerate(KINDS)))
+_VALUES = [[g for g in p.groupindex if g.startswith("v")] for p in _PATTERNS]
+_MAY = re.compile(r"[0-9@]|[tT][oO][kK][eE][nN]|[sS][eE][cC][rR]|[pP][aA][sS][sS]|[kK][eE][yY]")
+
+
+def _kind_of(m: re.Match) -> int:
+    return next(i for i in range(len(KINDS)) if m.start(f"k{i}") >= 0)
 
 
 def pseudonymise(text: str | None, feistel: Feistel, back: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
@@ -186,13 +297,17 @@ def pseudonymise(text: str | None, feistel: Feistel, back: bool = False) -> tupl
         return text, []
     out, spans, at, seek = [], [], 0, 0
     while m := _ANY.search(text, seek):
-        new = None
-        for i, (kind, pattern, permute) in enumerate(KINDS):  # a match that isn't valid for one kind may be for a later one
-            own = m if m.lastgroup == f"k{i}" else re.compile(pattern).match(text, m.start()) if i > int(m.lastgroup[1:]) else None
-            if own and (new := permute(feistel, own.group(), back)) is not None:
-                out += [text[at : own.start()], new]
-                spans.append((kind, own.start(), own.end()))
-                at = seek = own.end()
+        new, first = None, _kind_of(m)
+        for i in range(first, len(KINDS)):  # a match that isn't valid for one kind may be for a later one
+            kind, _, permute = KINDS[i]
+            own = m if i == first else _PATTERNS[i].match(text, m.start())
+            if not own:
+                continue
+            a, z = next((own.span(g) for g in _VALUES[i] if own.start(g) >= 0), own.span(f"k{i}") if own is m else own.span())
+            if (new := permute(feistel, text[a:z], back)) is not None:
+                out += [text[at:a], new]
+                spans.append((kind, a, z))
+                at = seek = z
                 break
         if new is None:
             seek = m.start() + 1
@@ -208,7 +323,10 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     """One row per input row: doc_id, text with pseudonyms, n_replaced, spans.
 
     spans: array of (kind, start, end), code points of the text given.  Null
-    texts stay null with no spans; other columns are not read.
+    texts stay null with no spans; an empty table gives an empty table;
+    repeated rows come out repeated, alike; other columns are not read.  E-mail
+    addresses that differ by case only get pseudonyms that do; other values are
+    equal if they are spelled alike.
     """
     feistel = Feistel(key)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
