@@ -13,16 +13,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LONG_MIN = -(2**63)
 SLICE = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only where the session names none and all run in this process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="sparrowlog-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -47,6 +49,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.parquet(where)
 
 
+def discard(spark: SparkSession, where: str) -> None:
+    """Removes a folder of ``scratch`` that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def among_least(h: Column, n: int | Column, wanted: int) -> Column:
+    """Whether a signed 64-bit hash is among about the 4 ``wanted`` least of n: a threshold that lets few rows on, before the least are ordered."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    return h.cast("double") <= F.lit(-(2.0**63)) + F.lit(2.0**64) / F.greatest(F.lit(1.0), n / F.lit(4.0 * wanted))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}
