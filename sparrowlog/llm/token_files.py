@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import LONG_MIN, chunk_count, chunks_of, order_splits, per_process, text_map
+from .common import LONG_MIN, among_least, chunk_count, chunks_of, order_splits, per_process, text_map
 
 MAGIC = b"TOKFRAM1"
 HEAD = len(MAGIC) + 33
@@ -154,7 +154,8 @@ def write(docs: DataFrame, where: str, tokenizer_file: str, end_id: int, id_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     h = F.xxhash64("doc_id")
-    chosen = [r.doc_id for r in rows.select("doc_id").orderBy(h, "doc_id").limit(TRAIN_DOCS).collect() if r.doc_id is not None]
+    few = rows.select("doc_id").filter(among_least(h, docs.count(), TRAIN_DOCS))
+    chosen = [r.doc_id for r in few.orderBy(h, "doc_id").limit(TRAIN_DOCS).collect() if r.doc_id is not None]
     sample = rows.filter(F.col("doc_id").isin(chosen)).select(h.alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text")).orderBy("h", "text").limit(TRAIN_DOCS)
     dictionary = train_dictionary([x + end for x in encoder.encode([r.text for r in sample.collect()])] if chosen else [])
     fs, path = _fs(where)
@@ -169,12 +170,14 @@ def write(docs: DataFrame, where: str, tokenizer_file: str, end_id: int, id_col:
         encoder = per_process("token-files", definition, lambda: WordEncoder(definition))
         packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **_codec(dictionary))
         gc.disable()  # words and ids make no cycles, and there are many to trace
-        for whole in _gathered(batches):
-            for batch in _slices(whole):
-                ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
-                chunk = last - chunks_of(splits, batch.column(0).fill_null(LONG_MIN).to_numpy(zero_copy_only=False))
-                yield pa.record_batch([batch.column(0), pa.array(chunk.astype(np.int32)), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(map(packer.compress, ids), pa.binary())], names=["doc_id", "chunk", "n", "frame"])
-        gc.enable()
+        try:
+            for whole in _gathered(batches):
+                for batch in _slices(whole):
+                    ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
+                    chunk = last - chunks_of(splits, batch.column(0).fill_null(LONG_MIN).to_numpy(zero_copy_only=False))
+                    yield pa.record_batch([batch.column(0), pa.array(chunk.astype(np.int32)), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(map(packer.compress, ids), pa.binary())], names=["doc_id", "chunk", "n", "frame"])
+        finally:
+            gc.enable()
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = hashlib.sha256(sent.value[1]).digest()
