@@ -13,47 +13,55 @@ anew, so that one numpy step advances every block of a batch in every language.
 
 from __future__ import annotations
 
+import itertools
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import SLICE, text_map
+from .common import SLICE, among_least, text_map
 
 #: Bounds of the sample: documents a language, characters of each, characters a language.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 200, 2_000, 24_000
-#: Letters that are told apart: the commonest of the samples.
-LETTERS = 60
+#: Letters that are told apart: the commonest of each language in turn, up to so many in all; others by so many classes of code points.
+LETTERS, CLASSES = 180, 64
 BLOCK = 1_024
 UNDETERMINED = "und"
-#: Symbols besides letters: other letters, digits, all else, padding.
-_OTHER, _DIGIT, _SPACE, _PAD = range(4)
-_CODES = 0x3000
+#: Symbols besides letters: digits, all else, padding; then the classes of other letters.
+_DIGIT, _SPACE, _PAD, _CLASS = range(4)
 
 
 class Alphabet:
-    """Maps characters to few symbols, letters without regard to case."""
+    """Maps every character to one of at most 250 symbols, letters without regard to case.
+
+    Letters that aren't common in any sample fall into classes by code point,
+    so that scripts with more letters than symbols are told apart too.
+    """
 
     def __init__(self, samples: list[str]):
-        counts: dict[str, int] = {}
-        for ch in "".join(samples).lower():
+        ranked = []
+        for sample in samples:
+            counts = Counter(ch for ch in sample.lower() if ch.isalpha())
+            ranked.append(sorted(counts, key=lambda c: (-counts[c], c)))
+        turns = itertools.chain.from_iterable(itertools.zip_longest(*ranked))
+        common = list(dict.fromkeys(c for c in turns if c))
+        # few letters in all need no classes: those the samples lack are one symbol
+        classes = CLASSES if len(common) > LETTERS else 1
+        self.letters = {c: _CLASS + classes + i for i, c in enumerate(common[:LETTERS])}
+        self.size = _CLASS + classes + len(self.letters)
+        self.table = np.full(sys.maxunicode + 1, _SPACE, np.uint8)
+        for code in range(sys.maxunicode + 1):
+            ch = chr(code)
             if ch.isalpha():
-                counts[ch] = counts.get(ch, 0) + 1
-        common = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        self.letters = {c: 4 + i for i, c in enumerate(common)}
-        self.size = 4 + len(common)
-        table = [self._symbol(chr(code)) for code in range(_CODES)]
-        self.table = np.array([*table, _OTHER], np.uint8)
-
-    def _symbol(self, ch: str) -> int:
-        if ch.isalpha():
-            return self.letters.get(ch.lower(), _OTHER)
-        return _DIGIT if ch.isdigit() else _SPACE
+                self.table[code] = self.letters.get(ch.lower(), _CLASS + code % classes)
+            elif ch.isdigit():
+                self.table[code] = _DIGIT
 
     def symbols(self, text: str) -> np.ndarray:
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        return self.table[np.minimum(codes, _CODES)]
+        return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -191,7 +199,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     rows = rows.filter("label is not null and doc_id is not null")
     h = F.xxhash64("doc_id")
     order = Window.partitionBy("label").orderBy("h", "doc_id")
-    ids = rows.select("label", "doc_id", h.alias("h")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE_DOCS).select("doc_id").distinct()
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    few = rows.select("label", "doc_id", h.alias("h")).join(sizes, "label").filter(among_least(F.col("h"), F.col("n"), SAMPLE_DOCS))
+    ids = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE_DOCS).select("doc_id").distinct()
     wanted = [r.doc_id for r in ids.collect()]
     if not wanted:
         return Model({})
