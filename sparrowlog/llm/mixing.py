@@ -1,14 +1,16 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
 Token counts are summed over cells of source, language and topic.  Raking
-scales the cells in turn to each marginal's targets until all hold.  A
-document's weight is what its cell was scaled by; its probability is its
-weight times a common rate, at most 1, the rate chosen so that the expected
-tokens are the wanted share of all.  Where cells are cut at 1 the targets don't
-hold (``marginals`` tells by how much); with ``repeat`` nothing is cut: a
-probability over 1 is so many whole copies, and one more by the fraction.  A
-document is taken if a hash of its id and text lies under its probability, so
-the sample doesn't depend on partitioning and can be made again.
+scales the cells in turn to each marginal's targets until all hold.  Without
+``repeat`` a cell's probability is at most 1, so a value can't have more of the
+sample than it has tokens: such targets are cut to what is reachable, the
+others take up the difference in proportion, and raking runs under the bound:
+cells at 1 stay there while the others are scaled.  With ``repeat`` nothing is
+cut: a probability over 1 is so many whole copies, and one more by the
+fraction.  ``marginals`` gives targets, what of them is reachable, and what is
+expected and taken.  A document is taken if a hash of its id and text lies
+under its probability, so the sample doesn't depend on partitioning and can be
+made again.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .common import LONG_MIN, fresh, materialise
 #: Cells up to which raking runs on the driver (under 100 bytes each); beyond, the same steps run as DataFrame joins.
 DRIVER_CELLS = 200_000
 ROUNDS, TOLERANCE = 200, 1e-9
+#: Rounds of raking under the bound, and the decimals of probabilities: either way of raking gives the same ones.
+BOUND_ROUNDS, BOUND_TOLERANCE, DECIMALS = 200, 1e-7, 7
 AXES = ("source", "language", "topic")
 NONE = "(none)"
 
@@ -98,23 +102,70 @@ def rake(cells: pd.DataFrame, targets: Targets) -> np.ndarray:
     return share
 
 
+def reachable(mass: np.ndarray, want: np.ndarray, goal: float) -> np.ndarray:
+    """What each value can have of ``goal`` in all, wanted in the proportions ``want``, if it has no more than its ``mass``."""
+    by, cut = 1.0, np.zeros(len(mass), bool)
+    while True:
+        now = by * want * goal >= mass
+        if now.all() or (now == cut).all() and by != 1.0 or not now.any():
+            return np.where(now, mass, by * want * goal)
+        cut = now
+        by = max(by, (goal - mass[cut].sum()) / max(want[~cut].sum() * goal, 1e-300))
+
+
+def bounded(cells: pd.DataFrame, targets: Targets) -> np.ndarray:
+    """Each cell's probability: raked to the reachable targets, none over 1."""
+    if not len(cells):
+        return np.zeros(0)
+    tokens = cells.tokens.to_numpy(float)
+    goal = targets.share * tokens.sum()
+    codes, aims = [], []
+    for axis in AXES:
+        code, values = pd.factorize(cells[axis], sort=True)
+        mass = np.bincount(code, tokens)
+        table = _target_table(dict(zip(values, mass / tokens.sum())), getattr(targets, axis), targets.temper)
+        codes.append(code)
+        aims.append(reachable(mass, np.array([table[v] for v in values]), goal))
+    p = np.full(len(tokens), float(targets.share))
+    for _ in range(BOUND_ROUNDS):
+        off = 0.0
+        for code, aim in zip(codes, aims):
+            full = p >= 1
+            m, held = np.bincount(code, tokens * p, len(aim)), np.bincount(code, tokens * full, len(aim))
+            off = max(off, np.abs(m - aim).max() / goal)
+            up, down = (aim - held) / np.maximum(m - held, 1e-300), aim / m
+            p = np.minimum(1.0, np.where((m > aim)[code], p * down[code], np.where(full, 1.0, p * up[code])))
+        if off < BOUND_TOLERANCE:
+            break
+    for _ in range(BOUND_ROUNDS):  # targets that contradict one another leave the whole a little off
+        m, held = (tokens * p).sum(), tokens[p >= 1].sum()
+        if abs(m - goal) <= 1e-12 * goal or m == held:
+            break
+        p = np.minimum(1.0, p * (goal / m)) if m > goal else np.where(p >= 1, 1.0, np.minimum(1.0, p * ((goal - held) / (m - held))))
+    return p
+
+
+def _wanted(cells: DataFrame, targets: Targets, axis: str) -> DataFrame:
+    """(axis, m, want): ``_target_table`` as DataFrame; m is the value's share of tokens."""
+    total = cells.agg(F.sum("tokens")).first()[0]
+    mass = cells.groupBy(axis).agg((F.sum("tokens") / F.lit(float(total or 1))).alias("m"))
+    named = getattr(targets, axis)
+    keys = F.create_map(*[F.lit(x) for kv in named.items() for x in kv]) if named else F.create_map().cast("map<string,double>")
+    mass = mass.withColumn("given", F.try_element_at(keys, F.col(axis)).cast("double")).withColumn("soft", F.when(F.col("given").isNull(), F.pow("m", F.lit(targets.temper))))
+    sums = mass.agg(F.sum("soft").alias("rest"), F.min("soft").alias("least"), F.sum(F.pow("m", F.lit(targets.temper))).alias("every")).first()
+    left = max(0.0, 1.0 - sum(named.values())) if sums.rest else 0.0
+    if sums.rest and left == 0.0:
+        left = sums.least / sums.every
+    table = mass.select(axis, "m", F.coalesce("given", F.lit(left) * F.col("soft") / F.lit(sums.rest or 1.0)).alias("want"))
+    whole = table.agg(F.sum("want")).first()[0]
+    return materialise(table.withColumn("want", F.col("want") / F.lit(whole or 1.0)))
+
+
 def rake_cells(cells: DataFrame, targets: Targets) -> DataFrame:
     """``rake`` as DataFrame joins: ``cells`` with a column ``raked``."""
     total = cells.agg(F.sum("tokens")).first()[0]
     now = cells.withColumn("raked", F.col("tokens") / F.lit(float(total or 1)))
-    wanted = {}
-    for axis in AXES:
-        mass = now.groupBy(axis).agg(F.sum("raked").alias("m"))
-        named = getattr(targets, axis)
-        keys = F.create_map(*[F.lit(x) for kv in named.items() for x in kv]) if named else F.create_map().cast("map<string,double>")
-        mass = mass.withColumn("given", F.try_element_at(keys, F.col(axis)).cast("double")).withColumn("soft", F.when(F.col("given").isNull(), F.pow("m", F.lit(targets.temper))))
-        all_soft = mass.agg(F.sum("soft").alias("rest"), F.min("soft").alias("least"), F.sum(F.pow("m", F.lit(targets.temper))).alias("every")).first()
-        left = max(0.0, 1.0 - sum(named.values())) if all_soft.rest else 0.0
-        if all_soft.rest and left == 0.0:
-            left = all_soft.least / all_soft.every
-        table = mass.select(axis, F.coalesce("given", F.lit(left) * F.col("soft") / F.lit(all_soft.rest or 1.0)).alias("want"))
-        whole = table.agg(F.sum("want")).first()[0]
-        wanted[axis] = materialise(table.withColumn("want", F.col("want") / F.lit(whole or 1.0)))
+    wanted = {axis: _wanted(cells, targets, axis) for axis in AXES}
     for _ in range(ROUNDS):
         off = 0.0
         for axis in AXES:
@@ -128,17 +179,42 @@ def rake_cells(cells: DataFrame, targets: Targets) -> DataFrame:
     return now
 
 
-def common_rate(tokens: np.ndarray, weights: np.ndarray, share: float) -> float:
-    """The rate at which sum(tokens * min(1, rate * weight)) is the share of all tokens, by bisection."""
-    goal = share * tokens.sum()
-    low, high = 0.0, 1.0 / max(weights.min(), 1e-300)
-    for _ in range(200):
-        mid = (low + high) / 2
-        if (tokens * np.minimum(1.0, mid * weights)).sum() < goal:
-            low = mid
-        else:
-            high = mid
-    return high
+def _reachable_cells(table: DataFrame, axis: str, goal: float, total: float) -> DataFrame:
+    """(axis, aim): ``reachable`` as DataFrame."""
+    mass, want, by, cut = F.col("m") * F.lit(total), F.col("want") * F.lit(goal), 1.0, -1
+    while True:
+        full = F.lit(by) * want >= mass
+        row = table.agg(F.sum(full.cast("long")).alias("n"), F.coalesce(F.sum(F.when(full, mass)), F.lit(0.0)).alias("held"), F.coalesce(F.sum(F.when(~full, want)), F.lit(0.0)).alias("free")).first()
+        if not row.free or row.n in (cut, 0):
+            return materialise(table.select(axis, F.when(full, mass).otherwise(F.lit(by) * want).alias("aim")))
+        cut, by = row.n, max(by, (goal - row.held) / row.free)
+
+
+def bounded_cells(cells: DataFrame, targets: Targets) -> DataFrame:
+    """``bounded`` as DataFrame joins: ``cells`` with a column ``p``."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
+    goal = targets.share * total
+    aims = {axis: _reachable_cells(_wanted(cells, targets, axis), axis, goal, total) for axis in AXES}
+    now = cells.withColumn("p", F.lit(float(targets.share)))
+    for _ in range(BOUND_ROUNDS):
+        off = 0.0
+        for axis in AXES:
+            m, held = F.sum(F.col("tokens") * F.col("p")), F.sum(F.col("tokens") * (F.col("p") >= 1).cast("int"))
+            scale = materialise(now.groupBy(axis).agg(m.alias("m"), held.cast("double").alias("held")).join(aims[axis], axis))
+            off = max(off, scale.agg(F.max(F.abs(F.col("m") - F.col("aim")))).first()[0] / goal)
+            up, down = (F.col("aim") - F.col("held")) / F.greatest(F.col("m") - F.col("held"), F.lit(1e-300)), F.col("aim") / F.col("m")
+            scaled = F.when(F.col("m") > F.col("aim"), F.col("p") * down).when(F.col("p") >= 1, F.lit(1.0)).otherwise(F.col("p") * up)
+            now = now.join(scale, axis).withColumn("p", F.least(F.lit(1.0), scaled)).drop("m", "held", "aim")
+        now = materialise(now)
+        if off < BOUND_TOLERANCE:
+            break
+    for _ in range(BOUND_ROUNDS):
+        row = now.agg(F.sum(F.col("tokens") * F.col("p")).alias("m"), F.sum(F.col("tokens") * (F.col("p") >= 1).cast("int")).cast("double").alias("held")).first()
+        if abs(row.m - goal) <= 1e-12 * goal or row.m == row.held:
+            break
+        by = F.lit(goal / row.m) if row.m > goal else F.when(F.col("p") >= 1, F.lit(1.0)).otherwise(F.lit((goal - row.held) / (row.m - row.held)))
+        now = materialise(now.withColumn("p", F.least(F.lit(1.0), F.col("p") * by)))
+    return now
 
 
 def _labelled(docs: DataFrame, names: list[str], source: Column, language: Column, text: Column) -> DataFrame:
@@ -147,31 +223,26 @@ def _labelled(docs: DataFrame, names: list[str], source: Column, language: Colum
 
 
 def cell_table(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """Cells with tokens, raked share, weight and probability; with ``repeat`` the probability is the copies of a document to expect."""
+    """Cells with tokens, documents, weight and probability; with ``repeat`` the probability is the copies of a document to expect.
+
+    weight: the cell's share of the tokens to expect over its share of all.
+    """
     labelled = _labelled(docs.select(F.col(text_col).alias("t"), F.col(source_col).alias("s"), F.col(lang_col).alias("l")), [*AXES, "tokens"], F.col("s"), F.col("l"), F.col("t"))
     cells = materialise(labelled.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")))
-    n = cells.count()
+    n, share = cells.count(), float(targets.share)
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     if n <= DRIVER_CELLS:
         local = cells.toPandas().sort_values(list(AXES), ignore_index=True)
-        local["raked"] = rake(local, targets)
+        local["p"] = share * total * rake(local, targets) / local.tokens.to_numpy(float) if targets.repeat else bounded(local, targets)
         spark = docs.sparkSession
-        schema = "source string, language string, topic string, tokens long, documents long, raked double"
+        schema = "source string, language string, topic string, tokens long, documents long, p double"
         cells = spark.createDataFrame(local.astype({"tokens": int, "documents": int}).to_dict("records"), schema) if n else spark.createDataFrame([], schema)
-        weights = (local.raked / (local.tokens / local.tokens.sum())).to_numpy(float)
-        rate = common_rate(local.tokens.to_numpy(float), weights, targets.share) if n else 0.0
-        total = float(local.tokens.sum()) if n else 1.0
+    elif targets.repeat:
+        cells = materialise(rake_cells(cells, targets)).withColumn("p", F.lit(share * total) * F.col("raked") / F.col("tokens")).drop("raked")
     else:
-        cells = materialise(rake_cells(cells, targets))
-        total = float(cells.agg(F.sum("tokens")).first()[0])
-        weight = F.col("raked") / (F.col("tokens") / F.lit(total))
-        low, high = 0.0, 1.0 / cells.agg(F.min(weight)).first()[0]
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(mid) * weight))).first()[0] < targets.share * total else (low, mid)
-        rate = high
-    weight = F.col("raked") / (F.col("tokens") / F.lit(total))
-    probability = F.lit(float(targets.share)) * F.col("weight") if targets.repeat else F.least(F.lit(1.0), F.lit(rate) * F.col("weight"))
-    return cells.withColumn("weight", weight).withColumn("probability", probability)
+        cells = bounded_cells(cells, targets)
+    probability = F.round("p", DECIMALS)
+    return cells.withColumn("weight", probability / F.lit(share)).withColumn("probability", probability).drop("p")
 
 
 def chance(id_col: Column, text: Column, seed: int) -> Column:
@@ -185,12 +256,26 @@ def copies(expected: Column, u: Column) -> Column:
     return (F.floor(expected) + (u < expected - F.floor(expected)).cast("long")).cast("int")
 
 
-def marginals(plan: DataFrame) -> DataFrame:
-    """(axis, value, natural, expected, achieved): shares of tokens in all documents, of those to expect, and of those taken."""
-    rows = plan.select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in AXES))).alias("x"), "n_tokens", "probability", "copies")
-    sums = rows.groupBy("x.axis", "x.value").agg(F.sum("n_tokens").alias("natural"), F.sum(F.col("n_tokens") * F.col("probability")).alias("expected"), F.sum(F.col("n_tokens") * F.col("copies")).alias("achieved"))
-    whole = sums.groupBy("axis").agg(*(F.sum(c).alias(f"all_{c}") for c in ("natural", "expected", "achieved")))
-    return sums.join(whole, "axis").select("axis", "value", *((F.col(c) / F.col(f"all_{c}")).alias(c) for c in ("natural", "expected", "achieved")))
+def marginals(plan: DataFrame, targets: Targets) -> DataFrame:
+    """(axis, value, natural, target, reachable, expected, achieved): shares of tokens.
+
+    natural: in all documents; target: wanted; reachable: the most of it that
+    each axis by itself allows; expected: by the probabilities; achieved: taken.
+    """
+    cells = materialise(plan.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("expected"), F.sum(F.col("n_tokens") * F.col("copies")).alias("achieved")))
+    whole = cells.agg(F.sum("tokens").alias("tokens"), F.sum("expected").alias("expected"), F.sum("achieved").alias("achieved")).first()
+    out = None
+    for axis in AXES:
+        want = _wanted(cells, targets, axis)
+        goal = targets.share * float(whole.tokens or 1)
+        aim = want.select(axis, F.col("want") * F.lit(goal)).toDF(axis, "aim") if targets.repeat else _reachable_cells(want, axis, goal, float(whole.tokens or 1))
+        sums = cells.groupBy(axis).agg(F.sum("expected").alias("e"), F.sum("achieved").alias("t"))
+        part = want.join(aim, axis).join(sums, axis).select(
+            F.lit(axis).alias("axis"), F.col(axis).alias("value"), F.col("m").alias("natural"), F.col("want").alias("target"), (F.col("aim") / F.lit(goal)).alias("reachable"),
+            (F.col("e") / F.lit(float(whole.expected or 1))).alias("expected"), (F.col("t") / F.lit(float(whole.achieved or 1))).alias("achieved"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def plan(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -212,7 +297,12 @@ def _with_cells(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, that the plan selects, each as often as it says."""
+    """The rows of ``docs``, all columns, that the plan selects, each as often as it says.
+
+    Null sources and languages are a value of their own, null texts count as
+    empty, an empty table gives an empty table, repeated rows share one fate,
+    and columns of any name go through.
+    """
     table = cell_table(docs, targets, id_col, text_col, source_col, lang_col)
     s, l, t, n, p, k = fresh(docs, "mix_source__", "mix_language__", "mix_topic__", "mix_tokens__", "mix_p__", "mix_copies__")
     labelled = _labelled(docs, [s, l, t, n], F.col(source_col), F.col(lang_col), F.col(text_col))

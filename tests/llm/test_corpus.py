@@ -404,6 +404,31 @@ def test_audit_of_odd_pages(spark):
     assert {r.status for r in warc.audit(pages, pages.limit(0)).collect()} == {"missing"}
 
 
+def test_audit_of_offset_ranges(spark):
+    """A replica that says where its records lie: one lies at the end, one overlaps, one is lost and one was written over."""
+    rows = [(7 * i * i - 3, f"u{i}", f"page {i} " * (i % 5 + 1)) for i in range(300)] + [(10**9, "u", "long " * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    mine = {r.page_id: r for r in warc.placed(warc.records(pages)).collect()}
+    end, ids = max(r.offset + r.length for r in mine.values()), [r[0] for r in rows]
+    at = {i: mine[i].offset for i in ids} | {ids[20]: end, ids[40]: mine[ids[40]].offset - 5}
+    own = [(i, u, "x" + h[1:] if i == ids[80] else h, at[i], "?", 5) for i, u, h in rows if i != ids[60]]
+    replica = spark.createDataFrame(own, "page_id long, url string, html string, place long, status string, node int")
+    for offsets in ("place", "offset"):
+        got = {r.page_id: r.status for r in warc.audit(pages.withColumn("offset", F.lit(3)), replica.withColumnRenamed("place", offsets), offsets).collect()}
+        assert {i: s for i, s in got.items() if s != "intact"} == {ids[20]: "moved", ids[40]: "moved", ids[60]: "missing", ids[80]: "damaged"} and len(got) == len(rows)
+    packed = replica.drop("place").withColumn("offset", F.lit(-1))  # without that column they lie one after another: a shift is no damage
+    assert {r.page_id: r.status for r in warc.audit(pages, packed).collect() if r.status != "intact"} == {ids[60]: "missing", ids[80]: "damaged"}
+
+
+def test_trees_have_few_levels(spark):
+    pages = spark.createDataFrame([(i * 2**50, "u", f"{i}") for i in range(300)], "page_id long, url string, html string")
+    keyed = warc.by_id(warc.placed(warc.records(pages)))
+    levels = warc.tree(keyed.join(warc.numbered(keyed, keyed), "key"))
+    assert [x.count() for x in levels] == [300, 19, 2, 1]
+    top = levels[-1].first()
+    assert (top.n, top.start, top.stop) == (300, 0, warc.records(pages).agg(F.sum("length")).first()[0])
+
+
 # ----------------------------------------------------------------- 7 mixing
 
 
@@ -417,9 +442,71 @@ def test_raking_meets_its_targets():
     assert cells.groupby("source").raked.sum().round(6).tolist() == [0.5, 0.125, 0.125, 0.125, 0.125]
     assert cells.groupby("language").raked.sum().round(6).tolist() == [0.2, 0.3, 0.5]
     assert cells.groupby("topic").raked.sum().round(6).tolist() == [0.1, 0.9]
-    w = (cells.raked / cells.tokens).to_numpy()
-    rate = mixing.common_rate(cells.tokens.to_numpy(float), w, 0.3)
-    assert (cells.tokens * np.minimum(1, rate * w)).sum() == pytest.approx(0.3 * cells.tokens.sum())
+
+
+def test_raking_under_the_bound():
+    """Targets that can be reached hold; one that can't gets all there is, and the others the rest in proportion."""
+    import pandas as pd
+
+    r = np.random.default_rng(1)
+    cells = pd.DataFrame([(f"s{i}", f"l{j}", f"t{k}", int(r.integers(500, 1000) * (0.05 if k == 2 else 1))) for i in range(4) for j in range(3) for k in range(3)], columns=["source", "language", "topic", "tokens"])
+    t = mixing.Targets(source={"s0": 0.3}, language={"l0": 0.4}, topic={"t2": 0.2, "t1": 0.5}, temper=1.0, share=0.5)
+    cells["p"] = mixing.bounded(cells, t)
+    whole = cells.tokens.sum()
+    cells["x"] = cells.tokens * cells.p / (0.5 * whole)
+    assert cells.p.max() <= 1 and cells.x.sum() == pytest.approx(1)
+    rare = cells[cells.topic == "t2"]
+    assert (rare.p > 1 - 1e-4).all()
+    left = 1 - rare.tokens.sum() / (0.5 * whole)
+    by = {axis: cells.groupby(axis).x.sum() for axis in mixing.AXES}
+    assert by["source"]["s0"] == pytest.approx(0.3, abs=1e-5) and by["language"]["l0"] == pytest.approx(0.4, abs=1e-5)
+    assert by["topic"]["t1"] == pytest.approx(left * 0.5 / 0.8, abs=1e-5) and by["topic"]["t0"] == pytest.approx(left * 0.3 / 0.8, abs=1e-5)
+
+
+def test_raking_under_the_bound_by_joins_takes_the_same_documents(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BOUND_ROUNDS", 6)
+    some = docs.filter("source in ('src0', 'src1', 'src2')")
+    taken = lambda: {(r.doc_id, r.probability) for r in mixing.plan(some, queries.MIX).filter("selected").collect()}
+    want = taken()
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    assert want and taken() == want
+
+
+def test_mixing_against_brute_force(spark, docs, rows):
+    """The whole query: tokens, topics, raking, and each document's fate by its hash."""
+    import re
+
+    import pandas as pd
+
+    src = [(r.doc_id, r.text or "", r.source or mixing.NONE, r.lang or mixing.NONE) for r in docs.collect()]
+
+    def topic(x):
+        marks = [(" | " in x, "table"), ("Licensed under" in x or "All rights reserved" in x, "licence"), ("http://" in x or "https://" in x or "@" in x, "contact"), (len(x) < 400, "snippet"), (True, "prose")]
+        return next(name for has, name in marks if has)
+
+    table = pd.DataFrame([(i, s, l, topic(x), max(1, len(re.findall(r"[^ \t\n\x0b\f\r]+", x))), x) for i, x, s, l in src], columns=["doc_id", "source", "language", "topic", "tokens", "text"])
+    cells = table.groupby(list(mixing.AXES), as_index=False).tokens.sum()
+    cells["p"] = mixing.bounded(cells, queries.MIX).round(mixing.DECIMALS)
+    p = {tuple(r[:3]): r[4] for r in cells.itertuples(index=False)}
+
+    def chance(i, x):
+        h = xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(x.encode(), h)
+        return (xxhash.xxh64_intdigest(queries.MIX.seed.to_bytes(4, "little"), h) >> 11) / 2**53
+
+    want = {r.doc_id: (r.tokens, p[(r.source, r.language, r.topic)], chance(r.doc_id, r.text) < p[(r.source, r.language, r.topic)]) for r in table.itertuples()}
+    got = {r.doc_id: (r.n_tokens, r.probability, r.selected) for r in mixing.plan(docs, queries.MIX).collect()}
+    assert got.keys() == want.keys() and all(got[i][::2] == want[i][::2] and got[i][1] == pytest.approx(want[i][1], abs=1e-6) for i in want)
+
+
+def test_marginals_report_what_is_reached(docs):
+    found = {(r.axis, r.value): r for r in mixing.marginals(mixing.plan(docs, queries.MIX), queries.MIX).collect()}
+    assert found["language", "en"].target == pytest.approx(0.5)
+    for r in found.values():
+        assert r.reachable <= r.natural / queries.MIX.share + 1e-9 and r.expected == pytest.approx(r.reachable, abs=0.02)
+    for axis in mixing.AXES:
+        for c in ("natural", "target", "reachable", "expected", "achieved"):
+            assert sum(r[c] for (a, _), r in found.items() if a == axis) == pytest.approx(1)
 
 
 def test_raking_by_joins_is_the_same(spark, docs):
@@ -456,7 +543,7 @@ def test_sample_has_the_target_weights(spark):
     df = spark.createDataFrame([(i, text(i), "en" if i % 3 else "da", f"src{i % 2}") for i in range(3000)], "doc_id long, text string, lang string, source string")
     t = mixing.Targets(language={"en": 0.5}, topic={"table": 0.1, "licence": 0.2}, temper=1.0, share=0.6, repeat=True)
     plan = mixing.plan(df, t)
-    shares = {(r.axis, r.value): r for r in mixing.marginals(plan).collect()}
+    shares = {(r.axis, r.value): r for r in mixing.marginals(plan, t).collect()}
     for key, want in {("topic", "licence"): 0.2, ("topic", "table"): 0.1, ("language", "en"): 0.5}.items():
         assert shares[key].expected == pytest.approx(want, abs=1e-6) and shares[key].achieved == pytest.approx(want, abs=0.02)
     assert Counter(r.doc_id for r in mixing.sample(df, t).collect()) == {r.doc_id: r.copies for r in plan.filter("selected").collect()}
@@ -626,6 +713,15 @@ def test_line_dedup_against_brute_force(request, table, least, broadcast):
     assert counted(line_dedup.dedup_lines(df, least, 1, broadcast_keys=broadcast).collect()) == brute_lines(src, least)
 
 
+def test_only_filter_hits_meet_the_exact_table(docs):
+    counts = line_dedup.line_counts(docs)
+    keys = line_dedup.document_keys(docs).distinct()
+    hits = {(r.hi, r.lo) for r in line_dedup.filter_hits(keys, line_dedup.build_filters(counts, 3, 2), 2).select("hi", "lo").distinct().collect()}
+    frequent = {(r.hi, r.lo) for r in counts.filter("n_docs >= 3").collect()}
+    assert frequent <= hits and len(hits - frequent) <= 0.01 * counts.count()
+    assert line_dedup.KeySet(np.array([(1, 2), (1, 3), (5, 6)], np.int64).tobytes()).contains(np.array([(1, 3), (1, 4), (5, 6), (0, 0)], np.uint64)).tolist() == [True, False, True, False]
+
+
 def test_line_counts_are_reversible(spark, docs):
     first, second = docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id % 3 = 0")
     before = line_dedup.line_counts(first)
