@@ -11,6 +11,7 @@ exact table: only the exact table decides.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, materialise, row_digest, text_map
+from .common import arrow_map, materialise, per_process, row_digest, stored, text_map
 from .cuckoo import CuckooFilter, built
 
 #: Frequent keys of a shard, about.
 SHARD_KEYS = 1 << 15
 #: Frequent keys up to which filters and keys go to every task (16 bytes a key and about 3 of filter: 20 MB).
 BROADCAST_KEYS = 1 << 20
+#: Lines that a task looks up in one shard's filter, about.
+TASK_KEYS = 1 << 18
 
 
 def line_key(line: bytes) -> bytes:
@@ -108,46 +111,85 @@ def shard_count(frequent: int) -> int:
     return max(1, -(-frequent // SHARD_KEYS))
 
 
+class KeySet:
+    """Exact set of 128-bit keys in two sorted arrays."""
+
+    def __init__(self, body: bytes):
+        pairs = np.frombuffer(body, np.int64).reshape(-1, 2).astype(np.uint64)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        self.hi, self.lo = pairs[order, 0], pairs[order, 1]
+
+    def contains(self, h: np.ndarray) -> np.ndarray:
+        a, z = np.searchsorted(self.hi, h[:, 0], "left"), np.searchsorted(self.hi, h[:, 0], "right")
+        out = np.zeros(len(h), bool)
+        once = z - a == 1
+        out[once] = self.lo[a[once]] == h[once, 1]
+        for i in np.flatnonzero(z - a > 1):  # keys that share their first half
+            out[i] = h[i, 1] in self.lo[a[i] : z[i]]
+        return out
+
+
+def filter_hits(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The rows of ``keys`` (digest, hi, lo) that their shard's filter has.
+
+    Keys meet their own shard's filter alone; a shard is dealt over as many
+    tasks as its keys ask for, a common key among them by the texts.
+    """
+    salts = max(1, -(-keys.count() // (shards * TASK_KEYS)))
+    mine = keys.withColumn("shard", _shard(shards)).withColumn("salt", F.pmod(F.xxhash64("digest", "hi"), F.lit(salts)).cast("int"))
+    copies = filters.select("shard", "body", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+
+    def f(key: tuple, lines: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(lines):
+            return lines.iloc[:0][["digest", "hi", "lo"]]
+        held = CuckooFilter.from_bytes(own.body.iloc[0])
+        return lines[held.contains(lines.hi.to_numpy(np.int64).view(np.uint64))][["digest", "hi", "lo"]]
+
+    return mine.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(f, "digest binary, hi long, lo long")
+
+
 def drop_lines(docs: DataFrame, counts: DataFrame, least_docs: int = 10, least_chars: int = 1, filters: DataFrame | None = None, shards: int | None = None, broadcast_keys: int = BROADCAST_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text for each row of ``docs``.
 
     Lines whose key is in ``least_docs`` documents or more by ``counts`` go,
     in every document; the others stay as they are, joined by line feeds.
-    Null and empty texts are one empty line.  Keys shorter than
-    ``least_chars`` never go.  Up to ``broadcast_keys`` frequent keys their
-    filters and the exact keys go to each task; beyond, each text's frequent
-    keys are found by a join with the exact table and joined back to the text.
+    Null and empty texts are one empty line; an empty table gives an empty
+    table; repeated rows come out repeated, each counted as a document of its
+    own; other columns are not read.  Keys shorter than ``least_chars`` never
+    go.  Lines are looked up in their shard's filter, and what it has in the
+    exact table.  Up to ``broadcast_keys`` frequent keys both go to each task;
+    beyond, lines are dealt out by shard to its filter, hits are joined with
+    the exact table, and the keys found are joined back to their texts.
     """
     frequent = counts.filter(F.col("n_docs") >= least_docs).select("hi", "lo")
     n = frequent.count()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_lines long, n_dropped long, kept_text string"
+    shards = shards or shard_count(n)
+    filters = build_filters(counts, least_docs, shards) if filters is None else filters
     if n <= broadcast_keys:
-        shards = shards or shard_count(n)
-        filters = build_filters(counts, least_docs, shards) if filters is None else filters
-        exact = np.array([tuple(r) for r in frequent.collect()], np.int64).tobytes()
-        sent = docs.sparkSession.sparkContext.broadcast((shards, {r.shard: bytes(r.body) for r in filters.collect()}, exact))
+        exact = np.ascontiguousarray(frequent.select("hi", "lo").toPandas().to_numpy(np.int64)).tobytes()
+        sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, shards, {r.shard: bytes(r.body) for r in filters.collect()}, exact))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shards, bodies, body = sent.value
-            held = {k: CuckooFilter.from_bytes(v) for k, v in bodies.items()}
-            exact = {body[i : i + 16] for i in range(0, len(body), 16)}
+            own, shards, bodies, body = sent.value
+            held, exact = per_process("line-filters", own, lambda: ({k: CuckooFilter.from_bytes(v) for k, v in bodies.items()}, KeySet(body)))
             for batch in batches:
                 texts = [_lines(t) for t in batch.column(1).to_pylist()]
                 h = _halves([_digest(line_key(x)) for lines in texts for x in lines])
                 maybe = np.zeros(len(h), bool)
                 where = h[:, 1].astype(np.int64) % shards
                 for k, f in held.items():
-                    own = np.flatnonzero(where == k)
-                    maybe[own] = f.contains(h[own, 0])
+                    own_lines = np.flatnonzero(where == k)
+                    maybe[own_lines] = f.contains(h[own_lines, 0])
+                hits = np.flatnonzero(maybe)
                 drop = np.zeros(len(h), bool)
-                for i in np.flatnonzero(maybe).tolist():
-                    drop[i] = h[i].tobytes() in exact
+                drop[hits] = exact.contains(h[hits])
                 yield _rebuilt(batch, texts, drop, least_chars)
 
-        return text_map(rows, run, schema)
-    keys = materialise(document_keys(docs, text_col, least_chars).distinct().join(frequent, ["hi", "lo"], "left_semi"))
-    per_text = keys.groupBy("digest").agg(F.collect_list(F.struct("hi", "lo")).alias("keys"))
+        return text_map(rows, run, schema, keeps=True)
+    hits = filter_hits(stored(document_keys(docs, text_col, least_chars).distinct(), "line-keys"), filters, shards)
+    per_text = hits.join(frequent, ["hi", "lo"], "left_semi").groupBy("digest").agg(F.collect_list(F.struct("hi", "lo")).alias("keys"))
     joined = rows.withColumn("digest", row_digest(F.col("text"))).join(materialise(per_text), "digest", "left").select("doc_id", "text", F.transform("keys", lambda k: k.hi).alias("hi"), F.transform("keys", lambda k: k.lo).alias("lo"))
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
