@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,11 +35,16 @@ UNDETERMINED = "und"
 _DIGIT, _SPACE, _PAD, _CLASS = range(4)
 
 
+def _script(ch: str) -> str:
+    """The first word of a letter's name: LATIN, CJK, HANGUL, ..."""
+    return unicodedata.name(ch, "").partition(" ")[0]
+
+
 class Alphabet:
     """Maps every character to one of at most 250 symbols, letters without regard to case.
 
-    Letters that aren't common in any sample fall into classes by code point,
-    so that scripts with more letters than symbols are told apart too.
+    Letters that aren't common in any sample fall into classes by script and
+    code point, so that scripts with more letters than symbols are told apart too.
     """
 
     def __init__(self, samples: list[str]):
@@ -48,15 +54,21 @@ class Alphabet:
             ranked.append(sorted(counts, key=lambda c: (-counts[c], c)))
         turns = itertools.chain.from_iterable(itertools.zip_longest(*ranked))
         common = list(dict.fromkeys(c for c in turns if c))
-        # few letters in all need no classes: those the samples lack are one symbol
-        classes = CLASSES if len(common) > LETTERS else 1
-        self.letters = {c: _CLASS + classes + i for i, c in enumerate(common[:LETTERS])}
-        self.size = _CLASS + classes + len(self.letters)
+        # scripts whose letters don't all have a symbol share the classes; all other letters are one symbol
+        rest = sorted({_script(c) for c in common[LETTERS:]})[: CLASSES - 1]
+        each = (CLASSES - 1) // len(rest) if rest else 0
+        first = {script: _CLASS + 1 + i * each for i, script in enumerate(rest)}
+        base = _CLASS + 1 + len(rest) * each
+        self.letters = {c: base + i for i, c in enumerate(common[:LETTERS])}
+        self.size = base + len(self.letters)
         self.table = np.full(sys.maxunicode + 1, _SPACE, np.uint8)
         for code in range(sys.maxunicode + 1):
             ch = chr(code)
             if ch.isalpha():
-                self.table[code] = self.letters.get(ch.lower(), _CLASS + code % classes)
+                own = self.letters.get(ch.lower())
+                if own is None:
+                    own = first[script] + code % each if first and (script := _script(ch)) in first else _CLASS
+                self.table[code] = own
             elif ch.isdigit():
                 self.table[code] = _DIGIT
 
