@@ -10,12 +10,16 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import dot, unit
 from ..functions.stemming import stem
 
 K1, B = 1.5, 0.75
+#: Added to every weight, so that weights of 0 are equal and don't count beside others.
+_LEAST_WEIGHT = 1e-30
 #: Retrieved before the date filter, and kept after it.
 OVERFETCH, KEEP = 600, 200
 
@@ -74,6 +78,21 @@ def bm25_scores(queries: DataFrame, index: DataFrame, query: str = "query", lang
     return q.join(index, "term").groupBy(query, "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
 
+def pair_bm25(pairs: DataFrame, queries: DataFrame, index: DataFrame, by: str = "imp", query: str = "query", item: str = "item", language: str | None = None, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """``pairs`` (by, item, ...) with bm25: the score of the pair's own document for its list's query (by, query); 0 without a shared term.
+
+    Only the pairs' postings are read, so the work follows the pairs and not
+    the documents that share a term with a query.
+    """
+    each = queries.select(by, F.explode(terms(F.col(query), stopwords)).alias("term"))
+    each = stemmed(each, language) if language else each
+    asked = each.groupBy(by, "term").agg(F.count("*").alias("qtf"))
+    shown = pairs.select(by, F.col(item).alias("doc_id")).distinct()
+    mine = index.select("doc_id", "term", "weight").join(shown.select("doc_id").distinct(), "doc_id", "left_semi")
+    scores = shown.join(asked, by).join(mine, ["doc_id", "term"]).groupBy(by, "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25"))
+    return pairs.join(scores.withColumnRenamed("doc_id", item), [by, item], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+
+
 def top_k(scores: DataFrame, k: int, *by: str, item: str = "doc_id", score: str = "score") -> DataFrame:
     """Rows of the k best scores of each group with their rank; ties by item."""
     r = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round(score, 9)), item))
@@ -94,14 +113,13 @@ def overfetch(ranked: DataFrame, published: DataFrame, *by: str, at: str = "ts",
 def user_vectors(history: DataFrame, vectors: DataFrame, weight: Column | None = None, *by: str) -> DataFrame:
     """(by, u): unit mean of the vectors of history rows, weighted if asked; items without vector are skipped.
 
-    Weights that sum to 0 or less count as equal.
+    Weights below 0 count as 0; weights that are all 0 count as equal.  One
+    aggregate over whole vectors, with map-side combining.
     """
     by = by or ("imp",)
-    rows = history.withColumn("w", weight if weight is not None else F.lit(1.0)).join(vectors, "item").select(*by, "w", F.posexplode("v").alias("d", "x"))
-    per = rows.groupBy(*by, "d").agg(F.sum(F.col("w") * F.col("x")).alias("wx"), F.sum("w").alias("ws"), F.avg("x").alias("plain"))
-    value = F.when(F.col("ws") > 0, F.col("wx") / F.col("ws")).otherwise(F.col("plain"))
-    u = F.transform(F.array_sort(F.collect_list(F.struct("d", value.alias("x")))), lambda s: s.x)
-    mean = per.groupBy(*by).agg(u.alias("m"))
+    w = F.greatest(weight, F.lit(0.0)) + F.lit(_LEAST_WEIGHT) if weight is not None else F.lit(1.0)
+    rows = history.withColumn("w", w).join(vectors, "item").select(*by, "w", array_to_vector("v").alias("x"))
+    mean = rows.groupBy(*by).agg(vector_to_array(Summarizer.mean(F.col("x"), F.col("w"))).alias("m"))
     return mean.select(*by, unit(F.col("m")).alias("u"))
 
 
@@ -110,16 +128,19 @@ def pair_cosine(pairs: DataFrame, users: DataFrame, vectors: DataFrame, name: st
     return pairs.join(users, by, "left").join(vectors, "item", "left").withColumn(name, F.coalesce(dot(F.col("u"), F.col("v")), F.lit(0.0))).drop("u", "v")
 
 
-def exact_knn(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", item: str = "item", vector: str = "v", blocks: int = 8, query_blocks: int = 4) -> DataFrame:
+def exact_knn(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", item: str = "item", vector: str = "v", block_rows: int = 20_000) -> DataFrame:
     """(query, item, score, rank): the k greatest inner products, ties by item.
 
     All of the query set against all of the corpus is what exact search is.
-    Both are cut into blocks, whose numbers should follow their sizes so that a
-    pair of blocks fits in a task; each pair meets as matrices in Arrow
-    batches, and only each query's k best of a block go on.
+    Both are cut into blocks of about ``block_rows`` vectors, as many as their
+    sizes ask for, so that a pair of blocks fits in a task; each pair meets as
+    matrices, and only each query's k best of a block go on.
     """
     import numpy as np
 
+    least = max(1, queries.sparkSession.sparkContext.defaultParallelism // 2)
+    blocks = max(2, -(-corpus.count() // block_rows))
+    query_blocks = max(-(-least // blocks) * 2, -(-queries.count() // block_rows))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     dealt = corpus.select(part(item, blocks).alias("block"), F.col(item).alias("item"), F.col(vector).alias("v")).withColumn("part", each(query_blocks))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Dataset
+from ..shared import stored
 
 
 def split_of(ts: Column, dataset: Dataset) -> Column:
@@ -53,7 +54,8 @@ def check_history_past(imps: DataFrame) -> DataFrame:
 
 
 def check_recency(imps: DataFrame) -> DataFrame:
-    return _check(imps, "recency_positive", F.col("recency_seconds").isNotNull(), F.col("recency_seconds") < 0)
+    """Whole seconds since the last event are over 0, or null without any."""
+    return _check(imps, "recency_positive", F.col("recency_seconds").isNotNull(), F.col("recency_seconds") <= 0)
 
 
 def check_clicked_subset(imps: DataFrame) -> DataFrame:
@@ -107,6 +109,22 @@ def require_unique_join(left: DataFrame, right: DataFrame, keys: list[str]) -> D
     return left.join(right, keys, "left")
 
 
+def numbered(df: DataFrame, key: str, name: str = "row") -> DataFrame:
+    """``df`` with each row's place from 1 in order of a unique key.
+
+    Rows are dealt into ranges of the key and numbered within them; what lies
+    before a range is one number a range, summed on the driver.
+    """
+    ranged = stored(df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, key).withColumn("__chunk", F.spark_partition_id()), "numbered")
+    before, bases = 0, []
+    for r in sorted(ranged.groupBy("__chunk").agg(F.count("*").alias("n")).collect()):
+        bases.append((r[0], before))
+        before += r.n
+    base = df.sparkSession.createDataFrame(bases, "__chunk int, __before long")
+    inside = F.row_number().over(Window.partitionBy("__chunk").orderBy(key))
+    return ranged.withColumn(name, inside).join(F.broadcast(base), "__chunk").withColumn(name, F.col(name) + F.col("__before")).drop("__chunk", "__before")
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 13) -> DataFrame:
     """n rows without replacement, by hash of the key and a seed: the same rows however partitioned."""
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)

@@ -23,10 +23,10 @@ WITH ev AS (
 )
 """
 _ART = """, art AS (
-    SELECT CAST(doc_id AS VARCHAR) AS item, substr(text, 1, 80) AS title, text AS body, source AS category, CAST(n_chars AS INT) AS total_inviews,
-           list_distinct(list_filter(list_slice(string_split(lower(text), ' '), 1, 40), lambda w: length(w) > 9)) AS entities,
+    SELECT CAST(doc_id AS VARCHAR) AS item, regexp_extract(text, '^[^.\n]*') AS title, text AS body, source AS category, CAST(n_chars AS INT) AS total_inviews,
+           list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 9)) AS entities,
            CASE WHEN doc_id % 7 <> 0 THEN make_timestamp(1704067200000000 + doc_id * 21600000000) END AS published
-    FROM documents WHERE doc_id < 100
+    FROM documents
 )
 """
 _VEC = """, raw AS (
@@ -111,12 +111,14 @@ _BENCH = """
 , sc AS (SELECT query, doc, sum(qtf * weight) AS score FROM qt JOIN post USING (term) GROUP BY ALL)
 , top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM sc)
 """
-_POOL = f"""
+_POOL_QUERY = """
 , hq AS (SELECT imp, string_agg(title, ' ' ORDER BY h) AS query FROM hist0 JOIN art USING (item) WHERE h > hist_len - 5 GROUP BY imp)
+"""
+_POOL = f"""{_POOL_QUERY}
 {_bm25("art", "item", "body")}
-, qt AS (SELECT query, term, count(*) AS qtf FROM (SELECT query, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_\\p{{M}}]{{2,}}')) AS term FROM (SELECT DISTINCT query FROM hq)) GROUP BY ALL)
-, sc AS (SELECT query, doc, sum(qtf * weight) AS score FROM qt JOIN post USING (term) GROUP BY ALL)
-, bs AS (SELECT c.imp, c.item, coalesce(score, 0) AS bm25 FROM cand c LEFT JOIN hq ON hq.imp = c.imp LEFT JOIN sc ON sc.query = hq.query AND sc.doc = c.item)
+, qt AS (SELECT imp, term, count(*) AS qtf FROM (SELECT imp, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_\\p{{M}}]{{2,}}')) AS term FROM hq) GROUP BY ALL)
+, sc AS (SELECT c.imp, c.item, sum(qtf * weight) AS score FROM cand c JOIN qt ON qt.imp = c.imp JOIN post ON post.doc = c.item AND post.term = qt.term GROUP BY ALL)
+, bs AS (SELECT c.imp, c.item, coalesce(score, 0) AS bm25 FROM cand c LEFT JOIN sc ON sc.imp = c.imp AND sc.item = c.item)
 """
 
 
@@ -144,18 +146,57 @@ _QUALITY = """
            list(c.item ORDER BY pos) AS cands, list(c.item ORDER BY pos) FILTER (WHERE label = 1) AS clicked
     FROM cand c GROUP BY c.imp
 ), logs AS (
-    SELECT 'as it is' AS log, imp, ts, hts, hl, cands, coalesce(clicked, []) AS clicked FROM base
+    SELECT 'as it is' AS log, imp, ts, hts, hl, cands, coalesce(clicked, []) AS clicked, floor((epoch_us(ts) - epoch_us(list_max(hts))) / 1e6) AS since FROM base
     UNION ALL
-    SELECT 'poisoned', imp, ts, CASE WHEN imp % 10 = 0 THEN CASE WHEN hts IS NULL THEN NULL ELSE list_append(hts, ts) END ELSE hts END, hl, cands, CASE WHEN imp % 10 = 1 THEN list_append(coalesce(clicked, []), 'no such') ELSE coalesce(clicked, []) END FROM base
+    SELECT 'poisoned', imp, ts, CASE WHEN imp % 10 = 0 THEN CASE WHEN hts IS NULL THEN NULL ELSE list_append(hts, ts) END ELSE hts END, hl, cands, CASE WHEN imp % 10 = 1 THEN list_append(coalesce(clicked, []), 'no such') ELSE coalesce(clicked, []) END,
+           CASE WHEN imp % 10 = 2 AND hl > 0 THEN 0 ELSE floor((epoch_us(ts) - epoch_us(list_max(hts))) / 1e6) END FROM base
 )
 """
 _RANKS = f"{_scored(_POP + ' AS score')}, rr AS (SELECT imp, pos, row_number() OVER (PARTITION BY imp ORDER BY score DESC, pos) AS r FROM s)"
 
+
+
+def _scaled(x: str) -> str:
+    """Average rank of x within its list, scaled to 0..1."""
+    n = "count(*) OVER (PARTITION BY imp)"
+    return f"CASE WHEN {n} = 1 THEN 0.5::DOUBLE ELSE ((rank() OVER (PARTITION BY imp ORDER BY {x}) + (count(*) OVER (PARTITION BY imp, {x}) - 1) / 2.0::DOUBLE) - 1) / ({n} - 1) END"
+
+
+def _over_max(x: str) -> str:
+    return f"{x}::DOUBLE / (max({x}) OVER (PARTITION BY imp) + 1)"
+
+
+def _feature_sql() -> str:
+    """Every feature of every candidate, from the same parts as their own queries."""
+    counts = f"{_count(6, True)} AS pop_causal, {_count(24, True)} AS pop_24h, {_count(6, False)} AS exp_causal, {_count(24, False)} AS exp_24h"
+    read = _USER.format(by="imp").replace("um AS", "um2 AS").replace("uv AS", "uv2 AS").replace("FROM um", "FROM um2").replace("FROM h JOIN", "FROM h2 JOIN")
+    made = {
+        "bm25": "bm25", "emb": "emb", "pop_causal": "pop_causal", "pop_rank": _scaled("pop_causal"), "emb_rank": _scaled("emb"), "n_cands": "count(*) OVER (PARTITION BY imp)", "pop_rel_max": _over_max("pop_causal"),
+        "pop_24h": "pop_24h", "pop_velocity": "pop_causal::DOUBLE / (pop_24h + 1)", "exp_causal": "exp_causal", "exp_24h": "exp_24h", "exp_velocity": "exp_causal::DOUBLE / (exp_24h + 1)", "exp_rank": _scaled("exp_causal"), "exp_rel_max": _over_max("exp_causal"),
+        "age_hours": "coalesce((us - epoch_us(published)) / 3.6e9, -1)", "recency": "CASE WHEN published IS NULL THEN 0 ELSE pow(0.5::DOUBLE, greatest((us - epoch_us(published)) / 3.6e9, 0) / 24.0) END",
+        "cat_match": "coalesce(same, 0)::DOUBLE / greatest(coalesce(known, 0), 1)", "hist_len": "coalesce(hl, 0)",
+        "ent_overlap": "CASE WHEN len(entities) > 0 AND len(past) > 0 THEN len(list_intersect(entities, past))::DOUBLE / len(list_distinct(list_concat(entities, past))) ELSE 0 END",
+        "user_read": "coalesce(rd, 0)", "user_scroll": "coalesce(sr, 0)", "engage_sim": "es",
+    }
+    return f"""{_user(_LAST10)}{_ART}{_COS}{_POOL}, h2 AS ({_READ}){read}
+, ce AS (SELECT c.imp, c.item, coalesce(sum(uv2.x * dims.x), 0) AS es FROM cand c LEFT JOIN dims ON dims.item = c.item LEFT JOIN uv2 ON uv2.imp = c.imp AND uv2.d = dims.d GROUP BY ALL)
+, hc AS (SELECT imp, category, count(*) AS same FROM hist0 JOIN art USING (item) WHERE category IS NOT NULL GROUP BY ALL), ht AS (SELECT imp, sum(same) AS known FROM hc GROUP BY imp)
+, he AS (SELECT imp, list_distinct(flatten(list(entities))) AS past FROM (SELECT DISTINCT imp, item FROM hist0) JOIN art USING (item) GROUP BY imp)
+, hn AS (SELECT imp, count(*) AS hl, ln(1 + greatest(avg(CASE WHEN isnan(read_time) THEN 0 ELSE coalesce(read_time, 0) END), 0)) AS rd, avg(scroll) AS sr FROM hist0 GROUP BY imp)
+, wide AS (
+    SELECT c.*, {counts}, bm25, emb, es, published, entities, past, same, known, hl, rd, sr
+    FROM cand c JOIN bs ON bs.imp = c.imp AND bs.item = c.item JOIN cs ON cs.imp = c.imp AND cs.item = c.item JOIN ce ON ce.imp = c.imp AND ce.item = c.item LEFT JOIN art ON art.item = c.item
+    LEFT JOIN hc ON hc.imp = c.imp AND hc.category = art.category LEFT JOIN ht ON ht.imp = c.imp LEFT JOIN he ON he.imp = c.imp LEFT JOIN hn ON hn.imp = c.imp
+)
+SELECT imp, item, label::BIGINT AS label, {', '.join(f'round((({x})::FLOAT)::DOUBLE, 4) AS {name}' for name, x in made.items())} FROM wide"""
+
+
+_FEATURES = _feature_sql()
 ORACLE: dict[str, str] = {
     "impressions_normalised": f"""{_LOG} SELECT imp AS impression_id, user_id, ts AS "timestamp", string_agg(item, ',' ORDER BY pos) AS candidates, coalesce(string_agg(item, ',' ORDER BY pos) FILTER (WHERE label = 1), '') AS clicked,
         (SELECT count(*) FROM hist0 WHERE hist0.imp = cand.imp) AS hist_len FROM cand GROUP BY imp, user_id, ts""",
     "impressions_split_counts": f"{_LOG} SELECT {_SPLIT.format(t='ts')} AS split, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM imps GROUP BY 1",
-    "articles_dedup_keep_first": """WITH u AS (SELECT doc_id AS article_id, substr(text, 1, 60) AS title, 0 AS n FROM documents WHERE doc_id < 100 UNION ALL SELECT item_id + 90, substr(text, 1, 60), 1 FROM benchmark)
+    "articles_dedup_keep_first": """WITH u AS (SELECT doc_id AS article_id, text AS title, 0 AS n FROM documents UNION ALL SELECT item_id + 190, text, 1 FROM benchmark)
         SELECT article_id, title FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY n, title) AS r FROM u) WHERE r = 1""",
     "packed_pairs_parse": f"{_L2} SELECT imp, string_agg(item, ',' ORDER BY pos) AS candidates, coalesce(string_agg(item, ',' ORDER BY pos) FILTER (WHERE label = 1), '') AS clicked, count(*) AS n FROM cand GROUP BY imp",
     "json_entities_parse": "SELECT doc_id, CASE WHEN source = lang THEN source WHEN doc_id % 5 <> 0 THEN source || ',' || lang ELSE lang || ',' || source END AS entities, CASE WHEN source = lang THEN 1 ELSE 2 END::BIGINT AS n FROM documents",
@@ -186,9 +227,9 @@ ORACLE: dict[str, str] = {
     "engage_sim": f"{_user(_READ)}{_COS} SELECT imp, item, round(emb, 6) AS engage_sim FROM cs",
     "knn_exact_topk": f"""{_LOG}{_VEC}, p AS (SELECT a.item AS query, b.item AS item, list_dot_product(a.v, b.v) AS s FROM vec a, vec b), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, item) AS rank FROM p)
         SELECT query, item, round(s, 6) AS score, rank FROM k WHERE rank <= 10""",
-    "knn_overfetch_filtered": f"""{_user(_LAST10)}{_ART}, p AS (SELECT imp, dims.item, sum(uv.x * dims.x) AS s FROM uv JOIN dims USING (d) WHERE CAST(dims.item AS INT) < 100 GROUP BY ALL),
-        k AS (SELECT *, row_number() OVER (PARTITION BY imp ORDER BY round(s, 9) DESC, item) AS rank FROM p), f AS (SELECT k.imp, k.item, row_number() OVER (PARTITION BY k.imp ORDER BY rank) AS r FROM k JOIN imps USING (imp) LEFT JOIN art ON art.item = k.item WHERE rank <= 30 AND (published IS NULL OR published <= ts))
-        SELECT imp AS query, count(*) AS n, string_agg(item, ',' ORDER BY r) AS items FROM f WHERE r <= 10 GROUP BY imp""",
+    "knn_overfetch_filtered": f"""{_user(_LAST10)}{_ART}, ul AS (SELECT imp, list(x ORDER BY d) AS u FROM uv GROUP BY imp), p AS (SELECT imp, vec.item, list_dot_product(u, v) AS s FROM ul, vec),
+        k AS (SELECT *, row_number() OVER (PARTITION BY imp ORDER BY round(s, 9) DESC, item) AS rank FROM p), f AS (SELECT k.imp, k.item, row_number() OVER (PARTITION BY k.imp ORDER BY rank) AS r FROM k JOIN imps USING (imp) LEFT JOIN art ON art.item = k.item WHERE rank <= 600 AND (published IS NULL OR published <= ts))
+        SELECT imp AS query, count(*) AS n, md5(string_agg(item, ',' ORDER BY r)) AS items_md5 FROM f WHERE r <= 200 GROUP BY imp""",
     "bm25_postings_stats": f"WITH one AS (SELECT 1){_bm25('documents', 'doc_id', 'text')} SELECT term, max(df) AS df, sum(tf)::BIGINT AS cf, round(max(weight), 6) AS top_weight FROM post GROUP BY term",
     "bm25_topk": f"WITH one AS (SELECT 1){_bm25('documents', 'doc_id', 'text')}{_BENCH} SELECT item_id, doc AS doc_id, round(score, 5) AS score, rank FROM top JOIN benchmark ON text = query WHERE rank <= 20",
     "bm25_pool_scores": f"{_LOG}{_ART}{_POOL} SELECT imp, item, round(bm25, 5) AS bm25 FROM bs",
@@ -201,17 +242,26 @@ ORACLE: dict[str, str] = {
         j AS (SELECT cs.imp, cs.item, round(emb, 9) AS emb, round(CASE WHEN len(entities) > 0 AND len(past) > 0 THEN len(list_intersect(entities, past))::DOUBLE / len(list_distinct(list_concat(entities, past))) ELSE 0 END, 9) AS ent FROM cs LEFT JOIN art USING (item) LEFT JOIN he ON he.imp = cs.imp)
         SELECT imp, item, round(0.3::DOUBLE * ({_z('ent')}) + (1 - 0.3::DOUBLE) * ({_z('emb')}), 5) + 0.0 AS score FROM j""",
     "leaky_arm": f"{_scored(_POP + ' AS n')}{_ART}, j AS (SELECT imp, s.item, n::DOUBLE AS n, ln(1 + coalesce(total_inviews, 0)) AS p FROM s LEFT JOIN art USING (item)) SELECT imp, item, round({_z('n')} + {_z('p')}, 5) + 0.0 AS leaky FROM j",
-    "leaky_totals": f"{_LOG}{_ART} SELECT imp, c.item, round(ln(1 + coalesce(CASE WHEN CAST(art.item AS INT) % 3 <> 0 AND CAST(art.item AS INT) < 90 THEN total_inviews END, 0)), 6) AS log_total_inviews FROM cand c LEFT JOIN art ON art.item = c.item",
+    "feature_table": _FEATURES,
+    "leaky_totals": f"{_LOG}{_ART} SELECT imp, c.item, round(ln(1 + coalesce(CASE WHEN CAST(art.item AS INT) % 3 <> 0 THEN total_inviews END, 0)), 6) AS log_total_inviews FROM cand c LEFT JOIN art ON art.item = c.item",
     "block_history": f"""{_LOG}, r AS (SELECT user_id, CASE WHEN ts >= TIMESTAMP '2024-01-25' THEN 'test' ELSE 'early' END AS block, count(*) AS clicks FROM ev WHERE click GROUP BY ALL), i AS (SELECT *, {_SPLIT.format(t='ts')} AS split, CASE WHEN ts >= TIMESTAMP '2024-01-25' THEN 'test' ELSE 'early' END AS block FROM imps)
         SELECT imp, split, i.block, clicks FROM i LEFT JOIN r ON r.user_id = i.user_id AND r.block = i.block""",
-    "constant_check": "SELECT TRUE AS bm25, TRUE AS emb, FALSE AS exp_causal, FALSE AS exp_rank",
+    "constant_check": f"""{_scored(_count(6, False) + ' AS exp_causal, ' + _count(24, False) + ' AS exp_24h')}, k AS (SELECT *, count(*) OVER (PARTITION BY imp) AS nn, (rank() OVER (PARTITION BY imp ORDER BY exp_causal) + (count(*) OVER (PARTITION BY imp, exp_causal) - 1) / 2.0)::DOUBLE AS a FROM s),
+        t AS (SELECT 0.0::DOUBLE AS bm25, NULL::DOUBLE AS emb, exp_causal, exp_24h, CASE WHEN nn = 1 THEN 0.5::DOUBLE ELSE (a - 1) / (nn - 1) END AS exp_rank FROM k)
+        SELECT {', '.join(f'count(DISTINCT {c}) <= 1 AS {c}' for c in ('bm25', 'emb', 'exp_causal', 'exp_24h', 'exp_rank'))} FROM t""",
     "bm25_fields_ablation": f"""WITH one AS (SELECT 1){_ART}, tx AS (SELECT item, title AS text FROM art){_bm25("tx", "item", "text")}, a AS (SELECT count(DISTINCT doc) AS docs, count(DISTINCT term) AS terms, count(*) AS postings, round(sum(weight), 3) AS weight, 'title' AS variant FROM post),
         ty AS (SELECT item, title || ' ' || body AS text FROM art){_bm25("ty", "item", "text").replace("toks", "toks2").replace(", tf AS", ", tf2 AS").replace("FROM tf ", "FROM tf2 ").replace("dl AS (", "dl2 AS (").replace("dfs AS (", "dfs2 AS (").replace("FROM dl)", "FROM dl2)").replace("JOIN dfs USING", "JOIN dfs2 USING").replace("JOIN dl USING", "JOIN dl2 USING").replace(", sz AS", ", sz2 AS").replace("USING (doc), sz", "USING (doc), sz2").replace(", post AS", ", post2 AS")}
         SELECT * FROM a UNION ALL SELECT count(DISTINCT doc), count(DISTINCT term), count(*), round(sum(weight), 3), 'title and body' FROM post2""",
-    "candidate_pools": f"""{_LOG}{_VEC}{_ART}, p AS (SELECT a.item AS query, b.item AS item, list_dot_product(a.v, b.v) AS s FROM vec a, vec b WHERE CAST(a.item AS INT) < 100 AND CAST(a.item AS INT) % 20 = 0 AND CAST(b.item AS INT) < 100), dense AS (SELECT query, item FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, item) AS r FROM p) WHERE r <= 10)
-        {_bm25("art", "item", "body")}, qt AS (SELECT query, term, count(*) AS qtf FROM (SELECT title AS query, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_\\p{{M}}]{{2,}}')) AS term FROM (SELECT DISTINCT title FROM art WHERE CAST(item AS INT) % 20 = 0)) GROUP BY ALL),
-        sc AS (SELECT query, doc, sum(qtf * weight) AS score FROM qt JOIN post USING (term) GROUP BY ALL), lx AS (SELECT art.item AS query, doc AS item FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS r FROM sc) k JOIN art ON art.title = k.query AND CAST(art.item AS INT) % 20 = 0 WHERE r <= 10)
+    "candidate_pools": f"""{_LOG}{_VEC}{_ART}, p AS (SELECT a.item AS query, b.item AS item, list_dot_product(a.v, b.v) AS s FROM vec a, vec b WHERE CAST(a.item AS INT) % 100 = 0), dense AS (SELECT query, item FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, item) AS r FROM p) WHERE r <= 10)
+        {_bm25("art", "item", "body")}, qt AS (SELECT query, term, count(*) AS qtf FROM (SELECT title AS query, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_\\p{{M}}]{{2,}}')) AS term FROM (SELECT DISTINCT title FROM art WHERE CAST(item AS INT) % 100 = 0)) GROUP BY ALL),
+        sc AS (SELECT query, doc, sum(qtf * weight) AS score FROM qt JOIN post USING (term) GROUP BY ALL), lx AS (SELECT art.item AS query, doc AS item FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS r FROM sc) k JOIN art ON art.title = k.query AND CAST(art.item AS INT) % 100 = 0 WHERE r <= 10)
         SELECT query, count(*) AS pool FROM (SELECT * FROM dense UNION SELECT * FROM lx) GROUP BY query""",
+    "retrieval_track": f"""{_LOG}{_ART}{_POOL_QUERY}, cl AS (SELECT imp, ts, list(DISTINCT item) AS clicked FROM cand WHERE label = 1 GROUP BY ALL), ask AS (SELECT * FROM hq JOIN cl USING (imp))
+        {_bm25("art", "item", "body")}, qt AS (SELECT query, term, count(*) AS qtf FROM (SELECT query, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_\\p{{M}}]{{2,}}')) AS term FROM (SELECT DISTINCT query FROM ask)) GROUP BY ALL),
+        sc AS (SELECT query, doc, sum(qtf * weight) AS score FROM qt JOIN post USING (term) GROUP BY ALL), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM sc) WHERE rank <= 600),
+        f AS (SELECT imp, doc, row_number() OVER (PARTITION BY imp ORDER BY rank) AS r FROM ask JOIN k USING (query) LEFT JOIN art ON art.item = doc WHERE published IS NULL OR published <= ts),
+        n AS (SELECT imp, len(any_value(clicked)) AS n, {', '.join(f'count(DISTINCT doc) FILTER (WHERE r <= {k} AND list_contains(clicked, doc)) AS h{k}' for k in (50, 100, 200))} FROM ask LEFT JOIN f USING (imp) GROUP BY imp)
+        SELECT count(*) AS lists, {', '.join(f'round(avg(h{k}::DOUBLE / n), 6) AS recall_{k}' for k in (50, 100, 200))} FROM n""",
     "ranking_metrics": f"{_scored(_DAY + ' AS score')}{_metrics('s')} SELECT imp, n, n_pos, {_ROUNDED} FROM m",
     "auc_summary": f"{_scored(_POP + ' AS score')}{_metrics('s')} SELECT 'pop' AS system, count(*) AS lists, {_MEANS} FROM m",
     "ranking_metrics_l2": f"{_L2}, s AS (SELECT imp, pos, label, price AS score FROM cand){_metrics('s')} SELECT 'price' AS system, count(*) AS lists, {_MEANS} FROM m",
@@ -219,7 +269,7 @@ ORACLE: dict[str, str] = {
     "diversity": f"""{_TOP.format(k=10)}{_ART}, q AS (SELECT imp, CASE WHEN CAST(art.item AS INT) % 9 <> 0 THEN category END AS category, count(*) AS c FROM top LEFT JOIN art ON art.item = top.item GROUP BY ALL)
         SELECT imp, round(CASE WHEN sum(c) < 2 THEN 0 ELSE 1 - sum(c * (c - 1))::DOUBLE / (sum(c) * (sum(c) - 1)) END, 6) AS diversity FROM q GROUP BY imp""",
     "novelty": f"{_TOP.format(k=10)}{_TRAIN.format(more='AND CAST(item AS INT) % 10 <> 3')}, t AS (SELECT coalesce(sum(tn), 0)::DOUBLE AS total FROM tc) SELECT imp, round(avg(CASE WHEN tn IS NULL THEN log2(total + 1) ELSE -log2(tn / total) END), 6) AS novelty FROM top LEFT JOIN tc ON tc.item = top.item, t GROUP BY imp",
-    "coverage": f"{_TOP.format(k=1)} SELECT {_SPLIT.format(t='ts')} AS split, count(DISTINCT item) AS surfaced, (SELECT count(*) FROM documents WHERE doc_id < 100) AS size, round(count(DISTINCT item)::DOUBLE / (SELECT count(*) FROM documents WHERE doc_id < 100), 6) AS coverage FROM top GROUP BY 1",
+    "coverage": f"{_TOP.format(k=1)} SELECT {_SPLIT.format(t='ts')} AS split, count(DISTINCT item) AS surfaced, (SELECT count(*) FROM documents) AS size, round(count(DISTINCT item)::DOUBLE / (SELECT count(*) FROM documents), 6) AS coverage FROM top GROUP BY 1",
     "slices_cold_warm": f"""{_LOG}, l AS (SELECT imp, (SELECT count(*) FROM hist0 WHERE hist0.imp = imps.imp) AS hl FROM imps), e AS (SELECT quantile_cont(hl, 0.1) AS edge FROM l)
         SELECT CASE WHEN hl = 0 THEN 'zero_history' WHEN hl <= edge THEN 'cold' ELSE 'warm' END AS slice, count(*) AS n, min(hl) AS lo, max(hl) AS hi FROM l, e GROUP BY 1 HAVING count(*) >= 30""",
     "slices_head_tail": f"""{_LOG}{_TRAIN.format(more='')}, p AS (SELECT imp, coalesce(max(CASE WHEN label = 1 THEN coalesce(tn, 0) END), 0) AS popularity FROM cand LEFT JOIN tc ON tc.item = cand.item GROUP BY imp), e AS (SELECT coalesce(quantile_cont(popularity, 0.8), 0) AS edge FROM p WHERE popularity > 0)
@@ -233,16 +283,18 @@ ORACLE: dict[str, str] = {
         SELECT log, 'history_past' AS "check", count(*) FILTER (WHERE len(hts) > 0) AS compared, count(*) FILTER (WHERE list_max(hts) >= ts) AS violations FROM logs GROUP BY log
         UNION ALL SELECT log, 'clicked_subset', count(*) FILTER (WHERE len(clicked) > 0), count(*) FILTER (WHERE len(list_filter(clicked, lambda x: NOT list_contains(cands, x))) > 0) FROM logs GROUP BY log
         UNION ALL SELECT log, 'history_lengths', count(hts), count(*) FILTER (WHERE len(hts) <> hl) FROM logs GROUP BY log
-        UNION ALL SELECT log, 'recency_positive', count(*) FILTER (WHERE hl > 0), 0 FROM logs GROUP BY log""",
+        UNION ALL SELECT log, 'recency_positive', count(since), count(*) FILTER (WHERE since <= 0) FROM logs GROUP BY log""",
     "quality_ids": f"""{_LOG}{_ART}, used AS (SELECT item FROM cand UNION SELECT item FROM hist0), known AS (SELECT item FROM art WHERE CAST(item AS INT) % 20 <> 5)
         SELECT 'ids_resolve' AS "check", count(*) AS compared, count(*) FILTER (WHERE item NOT IN (SELECT item FROM known) OR item = '') AS violations FROM used
         UNION ALL SELECT 'published_after', count(published), count(*) FILTER (WHERE published > (SELECT max(ts) FROM imps)) FROM art""",
     "quality_coverage": f"""{_LOG}, u AS (SELECT DISTINCT item FROM cand), f AS (SELECT item, (SELECT count(*) FROM embeddings WHERE CAST(vec_id AS VARCHAR) = item) > 0 AS f, (SELECT count(*) FROM embeddings WHERE CAST(vec_id AS VARCHAR) = item AND vec_id % 10 <> 0) > 0 AS f9 FROM u)
         SELECT count(*) AS wanted, count(*) FILTER (WHERE f) AS found, count(*) FILTER (WHERE f) >= 0.95 * count(*) AS enough, 'all' AS ids FROM f UNION ALL SELECT count(*), count(*) FILTER (WHERE f9), count(*) FILTER (WHERE f9) >= 0.95 * count(*), 'nine tenths' FROM f""",
     "rank_export": f"{_RANKS} SELECT imp, imp || ' [' || string_agg(r, ',' ORDER BY pos) || ']' AS line FROM rr GROUP BY imp",
-    "rank_validate": f"""{_LOG}, e AS (SELECT imp, count(*) AS n, row_number() OVER (ORDER BY imp) AS row FROM cand GROUP BY imp)
-        SELECT count(*) AS expected, count(*) AS found, 0 AS out_of_order, 0 AS wrong_length, 0 AS bad_permutation, 'good' AS file FROM e
-        UNION ALL SELECT count(*), count(*), count(*) FILTER (WHERE row % 7 = 3), count(*) FILTER (WHERE row % 7 = 2), count(*) FILTER (WHERE row % 7 = 1 AND n > 1), 'bad' FROM e""",
+    "rank_validate": f"""{_RANKS}, e AS (SELECT imp, count(*) AS n, list(r ORDER BY pos) AS ranks, row_number() OVER (ORDER BY imp) AS row FROM rr GROUP BY imp),
+        files AS (SELECT 'good' AS file, row, imp::VARCHAR AS id, imp::VARCHAR AS got, n, ranks FROM e
+            UNION ALL SELECT 'bad', row, imp::VARCHAR, CASE WHEN row % 7 = 3 THEN 'no such' ELSE imp::VARCHAR END, n, CASE WHEN row % 7 = 1 AND n > 1 THEN list_concat([ranks[2]], ranks[2:]) WHEN row % 7 = 2 THEN list_append(ranks, 1) ELSE ranks END FROM e)
+        SELECT count(id) AS expected, count(got) AS found, count(*) FILTER (WHERE id IS DISTINCT FROM got) AS out_of_order, count(*) FILTER (WHERE len(ranks) <> n) AS wrong_length,
+               count(*) FILTER (WHERE len(ranks) = n AND list_sort(ranks) <> range(1, n + 1)) AS bad_permutation, file FROM files GROUP BY file""",
     "sweep_halflife": f"{_LOG}{_ART}, sw AS (SELECT imp, pos, label, hl AS half_life, CASE WHEN published IS NULL THEN 0 ELSE round(pow(0.5::DOUBLE, greatest((us - epoch_us(published)) / 3.6e9, 0) / hl), 9) END AS score FROM cand LEFT JOIN art USING (item), (SELECT unnest([6.0, 24.0, 72.0, 240.0])::DOUBLE AS hl) q){_metrics('sw', 'imp, half_life')} SELECT half_life, count(*) AS lists, round(avg(auc_midrank), 6) AS auc FROM m GROUP BY half_life",
     "sweep_window": f"""{_scored(', '.join(f'{_count(h, True)} AS {w}' for w, h in (('w1', 1), ('w6', 6), ('w24', 24), ('w72', 72), ('past', None))))}, sw AS (SELECT imp, pos, label, win AS "window", CASE win WHEN 'w1' THEN w1 WHEN 'w6' THEN w6 WHEN 'w24' THEN w24 WHEN 'w72' THEN w72 ELSE past END AS score FROM s, (SELECT unnest(['w1', 'w6', 'w24', 'w72', 'past']) AS win) q){_metrics('sw', 'imp, "window"')}
         SELECT "window", count(*) AS lists, round(avg(auc_midrank), 6) AS auc FROM m GROUP BY 1""",

@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..functions.windows import average_rank, ordinal_rank, over_max, scaled_rank
 from ..operators import beyond, export, features, fusion, metrics, ranker, retrieval, splits, stats
 from ..operators.causal import causal_counts, latest_before
+from ..shared import scratch, stored
 from ..streaming.exposure import hourly_exposures, run_to_end
 from . import universe as U
 
@@ -50,8 +51,9 @@ def impressions_split_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def articles_dedup_keep_first(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 100").select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 60).alias("title"))
-    b = spark.read.parquet(f"{sf}/benchmark.parquet").select((F.col("item_id") + 90).alias("article_id"), F.substring("text", 1, 60).alias("title"))
+    """Articles of two sources, the second of which has ids of the first."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("article_id"), F.col("text").alias("title"))
+    b = spark.read.parquet(f"{sf}/benchmark.parquet").select((F.col("item_id") + 190).alias("article_id"), F.col("text").alias("title"))
     return splits.keep_first([d, b], "article_id")
 
 
@@ -184,18 +186,19 @@ def n_cands_hist_len(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    """All features; what several of them read is kept, as the pipeline keeps it in tables between its stages."""
+    """All features; what several of them read is kept in files, as the pipeline keeps it between its stages."""
     ev, c = _log(spark, sf)
-    c, h = c.persist(), _history(spark, sf)[1].persist()
-    scores = _emb(spark, sf, base=(c, h)).join(_bm25(spark, sf, base=(c, h)).select("imp", "item", "bm25"), ["imp", "item"]).persist()
-    return features.feature_table(c, scores, ev.persist(), h, U.articles(spark, sf).persist(), U.vectors(spark, sf).persist(), L1)
+    c, h = stored(c, "candidates"), stored(_history(spark, sf)[1], "history")
+    scores = stored(_bm25(spark, sf, base=(_emb(spark, sf, base=(c, h)), h)).select("imp", "item", "emb", "bm25"), "scores")
+    t = features.feature_table(c, scores, stored(ev, "events"), h, U.articles(spark, sf), U.vectors(spark, sf), L1)
+    return t.select("imp", "item", F.col("label").cast("long").alias("label"), *(F.round(F.col(f).cast("double"), 4).alias(f) for f in L1.features()))
 
 
 @query
 def leaky_totals(spark: SparkSession, sf: str) -> DataFrame:
     _, c = _log(spark, sf)
     a = U.articles(spark, sf).withColumn("total_inviews", F.when(F.col("article_id").cast("int") % 3 != 0, F.col("total_inviews")))
-    return features.leaky_features(c, a.filter("cast(article_id as int) < 90")).select("imp", "item", F.round("log_total_inviews", 6).alias("log_total_inviews"))
+    return features.leaky_features(c, a).select("imp", "item", F.round("log_total_inviews", 6).alias("log_total_inviews"))
 
 
 @query
@@ -210,10 +213,10 @@ def block_history(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def constant_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Which features have one value or none; two are made so."""
     ev, c = _log(spark, sf)
     p = features.popularity(c, ev, 6.0, "exp").withColumn("bm25", F.lit(0.0)).withColumn("emb", F.lit(None).cast("double"))
-    names = ("bm25", "emb", "exp_causal", "exp_rank")
-    return p.agg(*((F.countDistinct(F.round(n, 9)) <= 1).alias(n) for n in names))
+    return features.constant_flags(p, ["bm25", "emb", "exp_causal", "exp_24h", "exp_rank"])
 
 
 # ----------------------------------------------------------- vectors and BM25
@@ -260,15 +263,16 @@ def knn_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def knn_overfetch_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """For each list the nearest vectors of all, cut at 600, and of those the first 200 that were published."""
     _, c = _log(spark, sf)
     v = U.vectors(spark, sf)
     h = _history(spark, sf)[1].filter("h > hist_len - 10")
-    users = retrieval.user_vectors(h, v, None, "imp")
-    found = retrieval.exact_knn(users.select(F.col("imp").alias("query"), F.col("u").alias("v")), v.filter("cast(item as int) < 100"), 30)
+    users = stored(retrieval.user_vectors(h, v, None, "imp"), "users")
+    found = retrieval.exact_knn(users.select(F.col("imp").alias("query"), F.col("u").alias("v")), v, retrieval.OVERFETCH)
     at = c.select(F.col("imp").alias("query"), "ts").distinct()
     dim = U.articles(spark, sf).select(F.col("article_id").alias("item"), "published_time")
-    kept = retrieval.overfetch(found.join(at, "query"), dim, "query", keep=10)
-    return kept.groupBy("query").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x.item), ",").alias("items"))
+    kept = retrieval.overfetch(found.join(at, "query"), dim, "query")
+    return kept.groupBy("query").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x.item), ",").cast("binary")).alias("items_md5"))
 
 
 def _index(spark: SparkSession, sf: str, **more) -> DataFrame:
@@ -295,8 +299,7 @@ def _bm25(spark: SparkSession, sf: str, last: int = 5, base: tuple[DataFrame, Da
     index = retrieval.postings(a, "article_id", F.col("body"))
     h = h.filter(F.col("h") > F.col("hist_len") - last).join(a.select(F.col("article_id").alias("item"), "title"), "item")
     q = h.groupBy("imp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "title"))), lambda x: x.title), " ").alias("query"))
-    scores = retrieval.bm25_scores(q, index).withColumnRenamed("doc_id", "item")
-    return c.join(q, "imp", "left").join(scores, ["query", "item"], "left").withColumn("bm25", F.coalesce("score", F.lit(0.0))).drop("query", "score")
+    return retrieval.pair_bm25(c, q, index)
 
 
 @query
@@ -326,16 +329,34 @@ def bm25_fields_ablation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def candidate_pools(spark: SparkSession, sf: str) -> DataFrame:
-    """Size of the pool that lexical and dense retrieval make together, for each hundredth vector as a query."""
-    v = U.vectors(spark, sf).filter("cast(item as int) < 100")
-    ask = v.filter("cast(item as int) % 20 = 0").select(F.col("item").alias("query"), "v")
+    """Size of the pool that lexical and dense retrieval make together, for each hundredth article as a query to all."""
+    v = U.vectors(spark, sf)
+    ask = v.filter("cast(item as long) % 100 = 0").select(F.col("item").alias("query"), "v")
     dense = retrieval.exact_knn(ask, v, 10)
     a = U.articles(spark, sf)
-    q = a.filter("cast(article_id as int) % 20 = 0").select(F.col("article_id").alias("asked"), F.col("title").alias("query"))
+    q = a.filter("cast(article_id as long) % 100 = 0").select(F.col("article_id").alias("asked"), F.col("title").alias("query"))
     lexical = q.join(retrieval.top_k(retrieval.bm25_scores(q, retrieval.postings(a, "article_id", F.col("body"))), 10, "query"), "query").select(F.col("asked").alias("query"), F.col("doc_id").alias("item"))
     return retrieval.union_pools(dense, lexical).groupBy("query").agg(F.count("*").alias("pool"))
 
 
+@query
+def retrieval_track(spark: SparkSession, sf: str) -> DataFrame:
+    """The lexical track: each list's titles ask all articles, 600 are fetched, 200 published ones kept; mean recall of the clicks by depth."""
+    _, c = _log(spark, sf)
+    h = _history(spark, sf)[1]
+    a = U.articles(spark, sf)
+    titles = h.filter("h > hist_len - 5").join(a.select(F.col("article_id").alias("item"), "title"), "item")
+    q = titles.groupBy("imp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "title"))), lambda x: x.title), " ").alias("query"))
+    asked = stored(q.join(c.filter("label = 1").groupBy("imp", "ts").agg(F.collect_set("item").alias("clicked")), "imp"), "asked")
+    fetched = retrieval.top_k(retrieval.bm25_scores(asked, retrieval.postings(a, "article_id", F.col("body"))), retrieval.OVERFETCH, "query")
+    dim = a.select(F.col("article_id").alias("item"), "published_time")
+    kept = retrieval.overfetch(asked.select("imp", "ts", "query").join(fetched, "query").withColumnRenamed("doc_id", "item"), dim, "imp")
+    lists = kept.groupBy("imp").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x.item).alias("retrieved"))
+    depths = (50, 100, 200)
+    r = metrics.recall_at(asked.join(lists, "imp", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>"))), depths)
+    return r.agg(F.count("*").alias("lists"), *(F.round(F.avg(f"recall_{k}"), 6).alias(f"recall_{k}") for k in depths))
+
+
 @query
 def bm25_stemmed_topk(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.stemming import stopwords
@@ -490,7 +511,7 @@ def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def coverage_spread(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.coverage_spread(_top(spark, sf, 1), U.ITEMS)
+    return stats.coverage_spread(_top(spark, sf, 1), U.articles(spark, sf).count())
 
 
 # -------------------------------------------------------------------- quality
@@ -510,6 +531,7 @@ def quality_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The row-level checks, and the same with a fault put in, which each must find."""
     i = _split_imps(spark, sf)
     bad = i.withColumn("history_timestamps", F.when(F.col("impression_id") % 10 == 0, F.concat("history_timestamps", F.array("timestamp"))).otherwise(F.col("history_timestamps"))).withColumn("clicked", F.when(F.col("impression_id") % 10 == 1, F.concat("clicked", F.array(F.lit("no such")))).otherwise(F.col("clicked")))
+    bad = bad.withColumn("recency_seconds", F.when((F.col("impression_id") % 10 == 2) & F.col("recency_seconds").isNotNull(), F.lit(0.0)).otherwise(F.col("recency_seconds")))
     out = None
     for name, frame in (("as it is", i), ("poisoned", bad)):
         for check in (splits.check_history_past, splits.check_clicked_subset, splits.check_lengths, splits.check_recency):
@@ -543,7 +565,7 @@ def rank_export(spark: SparkSession, sf: str) -> DataFrame:
 def rank_validate(spark: SparkSession, sf: str) -> DataFrame:
     """Validates the exported lines, and again with ranks doubled, rows cut short and ids swapped."""
     c = _counts(spark, sf, {"score": None}, True)
-    expected = c.groupBy("imp").agg(F.count("*").alias("n")).withColumn("row", F.row_number().over(Window.orderBy("imp"))).select("row", F.col("imp").cast("string").alias("id"), "n")
+    expected = splits.numbered(c.groupBy("imp").agg(F.count("*").alias("n")), "imp").select("row", F.col("imp").cast("string").alias("id"), "n")
     parsed = export.parse(export.lines(export.rank_lists(c)))
     good = expected.select("row", "id").join(parsed, "id")
     r = F.col("ranks")
@@ -615,14 +637,14 @@ def _arm(t: DataFrame, names: tuple[str, ...], settings: ranker.Settings) -> Dat
 
 @query
 def lambdamart_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    t = _trainable(spark, sf).persist()
+    t = stored(_trainable(spark, sf), "trainable")
     return _arm(t, RANKED, ranker.Settings(rounds=5, leaves=7)).select("imp", "item", "label", "score")
 
 
 @query
 def causal_vs_leaky(spark: SparkSession, sf: str) -> DataFrame:
     """Mean test metrics of the causal arm and of the arm that also sees a lifetime total, on the same lists."""
-    t = _trainable(spark, sf).persist()
+    t = stored(_trainable(spark, sf), "trainable")
     s = ranker.Settings(rounds=3, leaves=5)
     arms = [_arm(t, names, s).withColumn("arm", F.lit(arm)) for arm, names in (("causal", RANKED), ("leaky", (*RANKED, "log_total_inviews")))]
     return metrics.mean_metrics(metrics.list_metrics(arms[0].unionByName(arms[1]), "imp", "arm"), "arm")
@@ -631,7 +653,7 @@ def causal_vs_leaky(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
     """Mean test metrics with each of three groups of features left out."""
-    t = _trainable(spark, sf).persist()
+    t = stored(_trainable(spark, sf), "trainable")
     s = ranker.Settings(rounds=2, leaves=5)
     groups = {"all": (), "no popularity": ("pop_causal", "pop_24h", "pop_rank"), "no exposure": ("exp_causal", "exp_rank", "exp_velocity"), "no age": ("age_hours", "recency")}
     out = None
@@ -655,4 +677,4 @@ def exposure_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Six-hour exposure counts by a stream over the events, run to the end."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("item", F.get_json_object("props", "$.k"))
-    return run_to_end(hourly_exposures(stream), "exposure_stream_" + sf.strip("/").replace("/", "_").replace(".", "_").replace(":", "_").replace("-", "_"))
+    return run_to_end(hourly_exposures(stream), scratch(spark, "exposure-stream"))

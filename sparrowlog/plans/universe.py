@@ -2,7 +2,7 @@
 
 L1 (events): an impression is a user's day; its candidates are the distinct
 items of the day in order of first sight, clicked if any of the day's events
-on them is a click or a purchase.  Articles are documents 0 to 99, vectors the
+on them is a click or a purchase.  Articles are the documents, vectors the
 embeddings of the same ids.
 L2 (orders and lineitem): an impression is an order, candidates its lines'
 parts, clicked if returned.
@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import doubles, micros, unit
 
-ITEMS = 100
-
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """Typed events: imp, user_id, item, ts, us, click, read_time, scroll."""
@@ -37,14 +35,19 @@ def candidates(ev: DataFrame) -> DataFrame:
 
 
 def impressions(ev: DataFrame) -> DataFrame:
-    """Nested impressions, each with the user's clicks strictly before it as history."""
+    """Nested impressions, each with the user's clicks strictly before it as history.
+
+    A user's clicks are listed once and cut at each impression's time, as the
+    nested log has them: one row a user, not one an impression and click.
+    """
     c = candidates(ev).groupBy("imp", "user_id", "ts", "us").agg(F.array_sort(F.collect_list(F.struct("pos", "item", "label"))).alias("c"))
-    clicks = ev.filter("click").select(F.col("user_id").alias("u"), F.col("us").alias("h_us"), "event_id", F.col("ts").alias("h_ts"), F.col("item").alias("h_item"), "read_time", "scroll")
-    past = c.select("imp", "user_id", "us").join(clicks, (F.col("user_id") == F.col("u")) & (F.col("h_us") < F.col("us")))
-    h = past.groupBy("imp").agg(F.array_sort(F.collect_list(F.struct("h_us", "event_id", "h_ts", "h_item", "read_time", "scroll"))).alias("h"))
-    return c.join(h, "imp", "left").select(
+    x = F.struct("us", "event_id", "ts", "item", "read_time", "scroll")
+    clicks = ev.filter("click").groupBy("user_id").agg(F.array_sort(F.collect_list(x)).alias("all"))
+    joined = c.join(clicks, "user_id", "left").withColumn("h", F.filter("all", lambda x: x.us < F.col("us")))
+    h = F.when(F.size("h") > 0, F.col("h"))
+    return joined.withColumn("h", h).select(
         F.col("imp").alias("impression_id"), "user_id", F.col("ts").alias("timestamp"), F.transform("c", lambda x: x.item).alias("candidates"), F.transform(F.filter("c", lambda x: x.label == 1), lambda x: x.item).alias("clicked"),
-        F.coalesce(F.transform("h", lambda x: x.h_item), F.array().cast("array<string>")).alias("history"), F.transform("h", lambda x: x.h_ts).alias("history_timestamps"),
+        F.coalesce(F.transform("h", lambda x: x["item"]), F.array().cast("array<string>")).alias("history"), F.transform("h", lambda x: x.ts).alias("history_timestamps"),
         F.transform("h", lambda x: x.read_time).alias("read_times"), F.transform("h", lambda x: x.scroll).alias("scrolls"),
     )
 
@@ -56,12 +59,11 @@ def history(imps: DataFrame) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    """Articles of L1: title (80 characters), body, category, entities (the words over 9 letters among the first 40), published_time."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("doc_id") < ITEMS)
-    words = F.slice(F.split(F.lower("text"), " "), 1, 40)
+    """Articles of L1: title (the first sentence), body, category, entities (the words over 9 letters), published_time."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
     return d.select(
-        F.col("doc_id").cast("string").alias("article_id"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("body"), F.col("source").alias("category"),
-        F.array_distinct(F.filter(words, lambda w: F.char_length(w) > 9)).alias("entities"),
+        F.col("doc_id").cast("string").alias("article_id"), F.regexp_extract("text", r"^[^.\n]*", 0).alias("title"), F.col("text").alias("body"), F.col("source").alias("category"),
+        F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.char_length(w) > 9)).alias("entities"),
         F.when(F.col("doc_id") % 7 != 0, F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * F.lit(21600000000)).cast("timestamp_ntz")).alias("published_time"),
         F.col("n_chars").cast("int").alias("total_inviews"),
     )

@@ -62,6 +62,15 @@ def load_nested(spark: SparkSession, root: str, blocks: tuple[str, ...] = ("trai
     return whole, nested_articles(spark.read.parquet(f"{root}/articles.parquet"))
 
 
+def load_records(spark: SparkSession, root: str, blocks: tuple[str, ...] = ("train", "validation")) -> DataFrame:
+    """``engagement_records`` of the blocks: the last is the test block's own, those before it are early."""
+    parts = [engagement_records(spark.read.parquet(f"{root}/{b}/history.parquet"), "test" if b == blocks[-1] else "early") for b in blocks]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
 _BEHAVIORS = "impression_id long, user_id string, time string, history string, impressions string"
 _NEWS = "article_id string, category string, subcategory string, title string, abstract string, url string, title_entities string, abstract_entities string"
 
@@ -91,3 +100,5 @@ def load_packed(spark: SparkSession, root: str, blocks: tuple[str, ...] = ("trai
 
 
 LOADERS: dict[str, Callable[..., tuple[DataFrame, DataFrame]]] = {"nested": load_nested, "packed": load_packed}
+#: Logs that keep read times and scrolls.
+RECORDS: dict[str, Callable[..., DataFrame]] = {"nested": load_records}

@@ -19,8 +19,17 @@ def sessions(stream: DataFrame, late: str = "2 hours", gap: str = "30 minutes",
     return timed.groupBy(w.alias("w"), user).agg(F.count("*").alias("n")).select(user, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("stop"), "n")
 
 
-def run_to_end(frame: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and returns its table; for tests and replays."""
-    query = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return frame.sparkSession.table(name)
+def run_to_end(frame: DataFrame, where: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over all that is there and returns its table, which it writes as Parquet under ``where``; for tests and replays.
+
+    In complete mode each batch is the whole table so far, and the last one counts.
+    """
+    spark, done = frame.sparkSession, []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/batch={number}")
+        done.append(f"{where}/batch={number}")
+
+    frame.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{where}-state").trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.schema(frame.schema)
+    return read.parquet(*(done[-1:] if mode == "complete" else done)) if done else spark.createDataFrame([], frame.schema)

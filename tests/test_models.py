@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrowlog.functions.stemming import danish, english
-from sparrowlog.operators import fusion, metrics, ranker, retrieval, stats
+from sparrowlog.operators import fusion, metrics, ranker, retrieval, splits, stats
 from sparrowlog.plans import universe as U
 from sparrowlog.sources import files, logs
 from sparrowlog.streaming.exposure import hourly_exposures, run_to_end, sessions
@@ -124,11 +124,11 @@ def test_files(spark, tmp_path):
     assert files.read_transcript(spark, str(tmp_path / "t.jsonl")).first().m == "mail <email> from <home>/x"
 
 
-def test_stream_equals_batch(spark, sf):
+def test_stream_equals_batch(spark, sf, tmp_path):
     batch = spark.read.parquet(f"{sf}/events.parquet").withColumn("item", F.get_json_object("props", "$.k"))
     stream = spark.readStream.schema(batch.drop("item").schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("item", F.get_json_object("props", "$.k"))
     want = {tuple(r) for r in hourly_exposures(batch).collect()}
-    assert {tuple(r) for r in run_to_end(hourly_exposures(stream), "t_hourly").collect()} == want and want
+    assert {tuple(r) for r in run_to_end(hourly_exposures(stream), str(tmp_path / "hourly")).collect()} == want and want
     assert sessions(batch).agg(F.sum("n")).first()[0] == batch.count()
 
 
@@ -137,6 +137,21 @@ def test_universe_histories_lie_in_the_past(spark, sf):
     assert i.filter("array_max(history_timestamps) >= timestamp").count() == 0 < i.filter("size(history) > 0").count()
 
 
+def test_numbered_rows(spark):
+    got = splits.numbered(spark.createDataFrame([(7 * i % 101,) for i in range(101)], "k int"), "k").collect()
+    assert sorted((r.k, r.row) for r in got) == [(i, i + 1) for i in range(101)]
+
+
+def test_pair_scores_are_those_of_the_search(spark):
+    docs = spark.createDataFrame([(str(i), " ".join(f"w{(i * j) % 17}" for j in range(12))) for i in range(40)], "id string, text string")
+    index = retrieval.postings(docs, "id", F.col("text"))
+    q = spark.createDataFrame([(1, "w1 w2 w2 w3"), (2, "w5"), (3, "none")], "imp int, query string")
+    pairs = spark.createDataFrame([(q, str(i)) for q in (1, 2, 3, 4) for i in range(0, 40, 3)], "imp int, item string")
+    whole = {(r.imp, r.doc_id): r.score for r in q.join(retrieval.bm25_scores(q, index), "query").collect()}
+    got = retrieval.pair_bm25(pairs, q, index).collect()
+    assert len(got) == pairs.count() and all(r.bm25 == pytest.approx(whole.get((r.imp, r.item), 0.0)) for r in got) and any(r.bm25 for r in got)
+
+
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "the red fox"), (2, "red red dog"), (3, None)], "id int, text string")
     s = retrieval.bm25_scores(spark.createDataFrame([("red",), ("red",), ("cat",)], "query string"), retrieval.postings(docs, "id", F.col("text"))).toPandas().set_index("doc_id").score
