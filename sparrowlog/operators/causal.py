@@ -50,10 +50,16 @@ def causal_counts(probes: DataFrame, events: DataFrame, key: str, windows: dict[
     return out.select(*probes.columns, *(count(h, n).cast("long").alias(name) for name, (h, n) in asked_for.items()))
 
 
-def latest_before(probes: DataFrame, events: DataFrame, key: str, probe_us: str = "us", event_us: str = "us") -> DataFrame:
-    """``probes`` with last_us: the latest event of the key strictly before, null if none."""
-    rows = probes.select(F.col(key).alias("k"), F.col(probe_us).alias("x"), F.lit(None).cast("long").alias("e")).distinct()
-    rows = rows.unionByName(events.select(F.col(key).alias("k"), F.col(event_us).alias("x"), F.col(event_us).alias("e")))
-    w = Window.partitionBy("k").orderBy("x").rangeBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("last_us", F.max("e").over(w)).filter("e is null").select("k", F.col("x").alias("__x"), "last_us").distinct()
+def latest_before(probes: DataFrame, events: DataFrame, key: str, probe_us: str = "us", event_us: str = "us", bucket: int = BUCKET) -> DataFrame:
+    """``probes`` with last_us: the latest event of the key strictly before, null if none.
+
+    As in ``causal_counts``: within (key, bucket), or else the latest of the key's buckets before.
+    """
+    asked = probes.select(F.col(key).alias("k"), F.col(probe_us).alias("x")).distinct().withColumn("e", F.lit(None).cast("long"))
+    rows = asked.unionByName(events.select(F.col(key).alias("k"), F.col(event_us).alias("x"), F.col(event_us).alias("e")).distinct())
+    rows = rows.withColumn("b", F.floor(F.col("x") / F.lit(bucket)).cast("long"))
+    inside = rows.withColumn("near", F.max("e").over(Window.partitionBy("k", "b").orderBy("x").rangeBetween(Window.unboundedPreceding, -1))).filter("e is null").select("k", "b", F.col("x").alias("__x"), "near")
+    whole = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("k", "b").agg(F.max("e").alias("e")).select("k", "b", F.max("e").over(whole).alias("far"))
+    found = inside.join(before, ["k", "b"]).select("k", "__x", F.coalesce("near", "far").alias("last_us"))
     return probes.join(found, (F.col(key) == F.col("k")) & (F.col(probe_us) == F.col("__x")), "left").select(*probes.columns, "last_us")

@@ -1,33 +1,46 @@
 """LambdaMART: gradient-boosted trees on pairwise lambdas weighted by the change of nDCG.
 
 Features are binned once (up to BINS quantile bins, by percentiles of all
-rows).  Each round sums gradients and curvatures by (leaf, feature, bin) with
-map-side combining, so a tree is grown from a histogram whose size follows
-leaves x features x bins and not the rows.  Lambdas need only a list's own
-rows: pairs of a clicked and an unclicked candidate of one impression.
+rows) and lists packed into chunks of numpy bytes, some thousands of lists a
+row, with their scores, gradients and curvatures.  A round adds its last tree
+to the scores, so no tree is applied twice, and sums gradients by (leaf,
+feature, bin) with map-side combining, one pass a level: what goes to the
+driver follows leaves x features x bins and not the rows.  Lambdas need only a
+list's own rows: pairs of a clicked and an unclicked candidate of one
+impression.  Every few rounds the chunks are written out, to cut the lineage.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..shared import stored
+
 BINS = 32
 
 
 @dataclass(frozen=True)
 class Settings:
+    """``feature_share`` and ``row_share``: of the features and lists each tree is grown from, chosen by hash of round and seed."""
+
     rounds: int = 40
     rate: float = 0.1
     leaves: int = 15
-    least_rows: int = 20
+    least_rows: int = 50
     patience: int = 10
     ridge: float = 1.0
     cut: int = 10
     checkpoint_every: int = 5
+    feature_share: float = 0.9
+    row_share: float = 0.9
+    seed: int = 13
 
 
 @dataclass
@@ -41,7 +54,7 @@ class Tree:
         node = np.zeros(len(binned), np.int64)
         for k in sorted(self.splits):
             f, b, left, right = self.splits[k]
-            at = node == k
+            at = np.flatnonzero(node == k)
             node[at] = np.where(binned[at, f] <= b, left, right)
         return node
 
@@ -64,6 +77,15 @@ class Model:
         """Features by total gain, falling."""
         return sorted(zip(self.features, self.gains.tolist()), key=lambda x: (-x[1], x[0]))
 
+    def to_json(self) -> str:
+        return json.dumps({"features": self.features, "edges": [e.tolist() for e in self.edges], "trees": [asdict(t) for t in self.trees], "gains": self.gains.tolist(), "history": self.history})
+
+    @classmethod
+    def from_json(cls, text: str) -> Model:
+        m = json.loads(text)
+        trees = [Tree({int(k): tuple(v) for k, v in t["splits"].items()}, {int(k): v for k, v in t["values"].items()}) for t in m["trees"]]
+        return cls(tuple(m["features"]), [np.array(e, float) for e in m["edges"]], trees, np.array(m["gains"], float), m["history"])
+
 
 def bin_edges(rows: DataFrame, features: tuple[str, ...]) -> list[np.ndarray]:
     at = [i / BINS for i in range(1, BINS)]
@@ -71,146 +93,216 @@ def bin_edges(rows: DataFrame, features: tuple[str, ...]) -> list[np.ndarray]:
     return [np.unique(np.array(row[f"q{i}"] or [], float)) for i in range(len(features))]
 
 
-def _binned(features: pd.DataFrame, edges: list[np.ndarray]) -> np.ndarray:
-    x = features.to_numpy(float)
+def _binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, np.nan_to_num(x[:, i]), side="left") for i, e in enumerate(edges)], axis=1) if len(edges) else np.zeros((len(x), 0), int)
 
 
+def _places(score: np.ndarray, pos: np.ndarray, of: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Place from 1 of each candidate in its list (``of``: the list's number, rising; ``starts``: where each list begins)."""
+    order = np.lexsort((pos, -score, of))
+    place = np.empty(len(score), np.int64)
+    place[order] = np.arange(len(score)) - starts[of[order]] + 1
+    return place
+
+
+def _discounts(place: np.ndarray, cut: int) -> np.ndarray:
+    return np.where(place <= cut, 1 / np.log2(place + 1.0), 0.0)
+
+
+def _ideals(label: np.ndarray, of: np.ndarray, lists: int, cut: int) -> np.ndarray:
+    best = np.concatenate([[0.0], np.cumsum(1 / np.log2(np.arange(2, cut + 2)))])
+    return best[np.minimum(np.bincount(of, label, lists).astype(int), cut)]
+
+
+def list_lambdas(score: np.ndarray, label: np.ndarray, pos: np.ndarray, sizes: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of each candidate of lists of these sizes, one after another."""
+    of, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    discount = _discounts(_places(score, pos, of, starts), cut)
+    ideal = _ideals(label, of, len(sizes), cut)
+    clicked = np.flatnonzero(label == 1)
+    each = sizes[of[clicked]]
+    up = np.repeat(clicked, each)
+    down = np.repeat(starts[of[clicked]] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    pair = label[down] == 0
+    up, down = up[pair], down[pair]
+    delta = np.abs(discount[up] - discount[down]) / ideal[of[up]]
+    rho = 1 / (1 + np.exp(np.clip(score[up] - score[down], -50, 50)))
+    lam, cur, n = delta * rho, delta * rho * (1 - rho), len(score)
+    return np.bincount(up, lam, n) - np.bincount(down, lam, n), np.bincount(up, cur, n) + np.bincount(down, cur, n)
+
+
 def lambdas(score: np.ndarray, label: np.ndarray, pos: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and curvature of each candidate of one list."""
-    order = np.lexsort((pos, -score))
-    place = np.empty(len(score), int)
-    place[order] = np.arange(1, len(score) + 1)
-    discount = np.where(place <= cut, 1 / np.log2(place + 1), 0.0)
-    n = int(label.sum())
-    ideal = (1 / np.log2(np.arange(2, min(n, cut) + 2))).sum()
-    g, h = np.zeros(len(score)), np.zeros(len(score))
-    up, down = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(up) or not len(down):
-        return g, h
-    delta = np.abs(discount[up][:, None] - discount[down][None, :]) / ideal
-    rho = 1 / (1 + np.exp(np.clip(score[up][:, None] - score[down][None, :], -50, 50)))
-    lam, cur = delta * rho, delta * rho * (1 - rho)
-    g[up] += lam.sum(axis=1)
-    g[down] -= lam.sum(axis=0)
-    h[up] += cur.sum(axis=1)
-    h[down] += cur.sum(axis=0)
-    return g, h
-
-
-def _ndcg(score: np.ndarray, label: np.ndarray, pos: np.ndarray, cut: int) -> float:
-    n = int(label.sum())
-    top = label[np.lexsort((pos, -score))][:cut]
-    return float((top / np.log2(np.arange(2, len(top) + 2))).sum() / (1 / np.log2(np.arange(2, min(n, cut) + 2))).sum())
-
-
-def _lists(rows: DataFrame, edges: list[np.ndarray], features: tuple[str, ...], by: str) -> DataFrame:
-    """One row a list with both classes: its binned features, labels and positions as arrays, in order of position."""
-    schema = f"{by} {dict(rows.dtypes)[by]}, x binary, y array<double>, pos array<int>"
-
-    def f(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        y = part.label.to_numpy(float)
-        if not 0 < y.sum() < len(y):
-            return pd.DataFrame({by: [], "x": [], "y": [], "pos": []}, dtype="object")
-        return pd.DataFrame({by: [key[0]], "x": [_binned(part[list(features)], edges).astype(np.uint8).tobytes()], "y": [y.tolist()], "pos": [part.pos.astype(int).tolist()]})
-
-    return rows.select(by, "pos", "label", *features).groupBy(by).applyInPandas(f, schema)
-
-
-def _scores(trees: list[Tree], x: np.ndarray, rate: float) -> np.ndarray:
-    return rate * sum((t.predict(x) for t in trees), np.zeros(len(x)))
-
-
-def _statistics(lists: DataFrame, trees: list[Tree], tree: Tree | None, width: int, s: Settings, by: str) -> pd.DataFrame:
-    """Sums by (leaf of the growing tree, feature, bin): rows, gradients, curvatures; feature -1 has the nDCG."""
-
-    def f(batches):
+    return list_lambdas(score, label, pos, np.array([len(score)]), cut)
+
+
+def list_ndcg(score: np.ndarray, label: np.ndarray, pos: np.ndarray, sizes: np.ndarray, cut: int) -> np.ndarray:
+    """nDCG of each list."""
+    of, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    gain = np.bincount(of, label * _discounts(_places(score, pos, of, starts), cut), len(sizes))
+    return gain / _ideals(label, of, len(sizes), cut)
+
+
+# ------------------------------------------------------------------ chunks
+
+_CHUNK = "part string, key binary, sizes binary, x binary, y binary, pos binary, score binary, g binary, h binary"
+_TYPES = {"key": np.uint64, "sizes": np.int64, "x": np.uint8, "y": np.float64, "pos": np.int64, "score": np.float64, "g": np.float64, "h": np.float64}
+
+
+def _arrays(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in _TYPES.items()}
+
+
+def _chunk_row(part: str, a: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([part]), *(pa.array([np.ascontiguousarray(a[c], t).tobytes()], pa.binary()) for c, t in _TYPES.items())], names=["part", *_TYPES])
+
+
+def _chunks(rows: DataFrame, part: str, edges: list[np.ndarray], features: tuple[str, ...], by: str, cut: int) -> DataFrame:
+    """Chunks of the lists that have both classes, each in order of position, with scores of 0."""
+    item = F.struct(F.col("pos").cast("long").alias("pos"), F.col("label").cast("double").alias("y"), F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features)).alias("x"))
+    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("m"), F.sum("label").alias("clicks"), F.count("*").alias("n"))
+    lists = lists.filter("clicks > 0 and clicks < n").select(F.xxhash64(by).alias("key"), "m")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = batch.column("m")
+            flat = m.flatten()
+            x = flat.field("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features))
+            a = {"key": batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), "sizes": m.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), "x": _binned(x, edges), "y": flat.field("y").to_numpy(zero_copy_only=False), "pos": flat.field("pos").to_numpy(zero_copy_only=False)}
+            a["score"] = np.zeros(len(x))
+            a["g"], a["h"] = list_lambdas(a["score"], a["y"], a["pos"], a["sizes"], cut)
+            yield _chunk_row(part, a)
+
+    return lists.mapInArrow(f, _CHUNK)
+
+
+def _grown(chunks: DataFrame, tree: Tree, width: int, s: Settings) -> DataFrame:
+    """The chunks with the tree's values added to the scores, and the gradients of those."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grids, gain, n = {}, 0.0, 0
-            for x, y, pos in zip(batch.x, batch.y, batch.pos):
-                x, y, pos = np.frombuffer(x, np.uint8).reshape(-1, width).astype(int), np.asarray(y), np.asarray(pos)
-                score = _scores(trees, x, s.rate)
-                g, h = lambdas(score, y, pos, s.cut)
-                gain += _ndcg(score, y, pos, s.cut)
-                n += 1
-                leaf = tree.leaf_of(x) if tree else np.zeros(len(x), int)
-                for k in np.unique(leaf):
-                    grid = grids.setdefault(int(k), np.zeros((3, width, BINS)))
-                    at = leaf == k
-                    for i in range(width):
-                        grid[0, i] += np.bincount(x[at, i], minlength=BINS)
-                        grid[1, i] += np.bincount(x[at, i], g[at], BINS)
-                        grid[2, i] += np.bincount(x[at, i], h[at], BINS)
-            rows = [(k, i, b, grid[0, i, b], grid[1, i, b], grid[2, i, b]) for k, grid in grids.items() for i in range(width) for b in np.flatnonzero(grid[0, i])]
-            yield pd.DataFrame([*rows, (0, -1, 0, float(n), gain, 0.0)], columns=["leaf", "feature", "bin", "n", "g", "h"])
-
-    summed = lists.mapInPandas(f, "leaf int, feature int, bin int, n double, g double, h double")
-    return summed.groupBy("leaf", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
-
-
-def _best_split(stats: pd.DataFrame, leaf: int, s: Settings) -> tuple[float, int, int] | None:
-    best = None
-    own = stats[(stats.leaf == leaf) & (stats.feature >= 0)]
-    for feature, part in own.groupby("feature"):
-        part = part.sort_values("bin")
-        n, g, h = (part[c].to_numpy().cumsum() for c in ("n", "g", "h"))
-        if len(part) < 2:
-            continue
-        score = lambda g, h: g * g / (h + s.ridge)
-        gain = score(g[:-1], h[:-1]) + score(g[-1] - g[:-1], h[-1] - h[:-1]) - score(g[-1], h[-1])
-        gain[(n[:-1] < s.least_rows) | (n[-1] - n[:-1] < s.least_rows)] = -1
-        i = int(gain.argmax())
-        if gain[i] > 1e-9 and (best is None or gain[i] > best[0] + 1e-12):
-            best = (float(gain[i]), int(feature), int(part.bin.iloc[i]))
-    return best
+            for i in range(batch.num_rows):
+                a = _arrays(batch, i)
+                a["score"] = a["score"] + s.rate * tree.predict(a["x"].reshape(-1, width))
+                a["g"], a["h"] = list_lambdas(a["score"], a["y"], a["pos"], a["sizes"], s.cut)
+                yield _chunk_row(batch.column("part")[i].as_py(), a)
+
+    return chunks.mapInArrow(f, _CHUNK)
+
+
+def chosen_lists(key: np.ndarray, turn: int, s: Settings) -> np.ndarray:
+    """Which lists the tree of this round is grown from, by hash."""
+    z = (key + np.uint64((0x9E3779B97F4A7C15 * (turn * 1_000_003 + s.seed + 1)) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 < s.row_share
+
+
+def histogram(leaf: np.ndarray, x: np.ndarray, g: np.ndarray, h: np.ndarray, leaves: list[int]) -> np.ndarray:
+    """[leaf, feature, bin, 3]: rows, gradients and curvatures."""
+    width, rank = x.shape[1], np.full(max(leaves) + 1, -1)
+    rank[leaves] = np.arange(len(leaves))
+    own = np.flatnonzero(rank[leaf] >= 0)
+    at = ((rank[leaf[own], None] * width + np.arange(width)) * BINS + x[own]).ravel()
+    size = len(leaves) * width * BINS
+    return np.stack([np.bincount(at, w, size) for w in (None, np.repeat(g[own], width), np.repeat(h[own], width))], axis=1).reshape(len(leaves), width, BINS, 3)
+
+
+def _statistics(chunks: DataFrame, tree: Tree, leaves: list[int], width: int, turn: int, s: Settings) -> tuple[np.ndarray, float]:
+    """The training lists' histogram of these leaves, and val's mean nDCG by the scores so far."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, gain, n = np.zeros((len(leaves), width, BINS, 3)), 0.0, 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a = _arrays(batch, i)
+                if batch.column("part")[i].as_py() == "val":
+                    gain += float(list_ndcg(a["score"], a["y"], a["pos"], a["sizes"], s.cut).sum())
+                    n += len(a["sizes"])
+                    continue
+                x, own = a["x"].reshape(-1, width), np.repeat(chosen_lists(a["key"], turn, s), a["sizes"])
+                total += histogram(tree.leaf_of(x[own]), x[own], a["g"][own], a["h"][own], leaves)
+        flat = total.reshape(-1, 3)
+        at = np.flatnonzero(flat[:, 0])
+        yield pa.record_batch([pa.array(np.append(at, -1), pa.int64()), *(pa.array(np.append(flat[at, k], x), pa.float64()) for k, x in ((0, float(n)), (1, gain), (2, 0.0)))], names=["at", "n", "g", "h"])
+
+    got = chunks.mapInArrow(f, "at long, n double, g double, h double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+    out, val = np.zeros((len(leaves) * width * BINS, 3)), got[got["at"] == -1]
+    got = got[got["at"] >= 0]
+    out[got["at"].to_numpy()] = got[["n", "g", "h"]].to_numpy()
+    return out.reshape(len(leaves), width, BINS, 3), float(val.g.sum() / max(1.0, val.n.sum()))
+
+
+def best_split(grid: np.ndarray, allowed: np.ndarray, s: Settings) -> tuple[float, int, int] | None:
+    """(gain, feature, bin) of one leaf's histogram [feature, bin, 3]; ties go to the least feature and bin."""
+    n, g, h = (grid[:, :, k].cumsum(axis=1) for k in range(3))
+    whole = lambda g, h: g * g / (h + s.ridge)
+    gain = whole(g, h) + whole(g[:, -1:] - g, h[:, -1:] - h) - whole(g[:, -1:], h[:, -1:])
+    gain[(n < s.least_rows) | (n[:, -1:] - n < s.least_rows) | ~allowed[:, None]] = -1
+    gain = np.round(gain, 9)
+    i = int(gain.argmax())
+    f, b = divmod(i, gain.shape[1])
+    return (float(gain[f, b]), f, b) if gain[f, b] > 1e-9 else None
+
+
+def _value(sums: np.ndarray, s: Settings) -> float:
+    return float(sums[1] / (sums[2] + s.ridge))
+
+
+def grow(statistics, width: int, turn: int, s: Settings, gains: np.ndarray) -> tuple[Tree, float]:
+    """A tree, level by level, the greatest gains first; ``statistics(tree, leaves)`` gives a level's histogram and val's nDCG."""
+    allowed = np.zeros(width, bool)
+    allowed[np.random.default_rng([s.seed, turn]).permutation(width)[: max(1, round(s.feature_share * width))]] = True
+    tree, open_leaves, count, quality = Tree(), [0], 1, None
+    while open_leaves and count < s.leaves:
+        grids, ndcg = statistics(tree, open_leaves)
+        quality = ndcg if quality is None else quality
+        found = sorted(((best_split(grid, allowed, s), k, grid) for k, grid in zip(open_leaves, grids)), key=lambda x: (-(x[0][0] if x[0] else 0), x[1]))
+        open_leaves = []
+        for split, k, grid in found:
+            tree.values.setdefault(k, _value(grid[0].sum(axis=0), s))
+            if split is None or count >= s.leaves:
+                continue
+            gain, feature, cut = split
+            top = 2 * len(tree.splits)
+            left = grid[feature, : cut + 1].sum(axis=0)
+            del tree.values[k]
+            tree.splits[k] = (feature, cut, top + 1, top + 2)
+            tree.values |= {top + 1: _value(left, s), top + 2: _value(grid[feature].sum(axis=0) - left, s)}
+            gains[feature] += gain
+            open_leaves += [top + 1, top + 2]
+            count += 1
+    return tree, quality or 0.0
 
 
 def fit(train: DataFrame, val: DataFrame, features: tuple[str, ...], settings: Settings = Settings(), by: str = "imp") -> Model:
     """Boosts until ``rounds`` or until val nDCG stands still for ``patience`` rounds; keeps the best round.
 
     ``train`` and ``val``: by, pos, label and the features.  Trees grow level
-    by level, all leaves of a level from one pass over the lists.
+    by level, all leaves of a level from one pass over the chunks.
     """
     edges = bin_edges(train, features)
-    width = len(features)
-    a, b = (_lists(x, edges, features, by).persist() for x in (train, val))
-    trees: list[Tree] = []
-    gains, history = np.zeros(width), []
+    width, s = len(features), settings
+    chunks = stored(_chunks(train, "train", edges, features, by, s.cut).unionByName(_chunks(val, "val", edges, features, by, s.cut)), "ranker")
+    held, trees, gains, history = None, [], np.zeros(width), []
     try:
-        for _ in range(settings.rounds):
-            tree, leaves, growing = Tree(), {0}, True
-            while growing and len(leaves) < settings.leaves:
-                stats = _statistics(a, trees, tree if tree.splits else None, width, settings, by)
-                found = sorted(((_best_split(stats, k, settings), k) for k in leaves if k not in tree.values), key=lambda x: -(x[0][0] if x[0] else 0))
-                growing = False
-                for split, k in found:
-                    sums = stats[(stats.leaf == k) & (stats.feature == 0)]
-                    value = float(sums.g.sum() / (sums.h.sum() + settings.ridge))
-                    if split is None or len(leaves) >= settings.leaves:
-                        tree.values[k] = value
-                        continue
-                    gain, feature, cut = split
-                    top = max([0, *(r for *_, r in tree.splits.values())])
-                    tree.splits[k] = (feature, cut, top + 1, top + 2)
-                    gains[feature] += gain
-                    leaves = leaves - {k} | {top + 1, top + 2}
-                    growing = True
-            if not tree.splits:
+        for turn in range(s.rounds + 1):
+            tree, ndcg = grow(lambda t, leaves: _statistics(chunks, t, leaves, width, turn, s), width, turn, s, gains)  # noqa: B023
+            if turn:
+                history.append(ndcg)  # by the trees before this one
+            if turn == s.rounds or not tree.splits or history and len(history) - 1 - int(np.argmax(history)) >= s.patience:
                 break
-            stats = _statistics(a, trees, tree, width, settings, by)
-            for k in leaves:
-                sums = stats[(stats.leaf == k) & (stats.feature == 0)]
-                tree.values[k] = float(sums.g.sum() / (sums.h.sum() + settings.ridge))
             trees.append(tree)
-            row = _statistics(b, trees, None, width, settings, by)
-            row = row[row.feature == -1]
-            history.append(float(row.g.sum() / max(1.0, row.n.sum())))
-            if len(history) - 1 - int(np.argmax(history)) >= settings.patience:
-                break
+            grown = _grown(chunks, tree, width, s)
+            chunks = stored(grown, "ranker") if (turn + 1) % s.checkpoint_every == 0 else grown.persist()
+            before, held = held, chunks if (turn + 1) % s.checkpoint_every else None
+            if before is not None:
+                chunks.count() if held is not None else None
+                before.unpersist()
     finally:
-        a.unpersist()
-        b.unpersist()
+        if held is not None:
+            held.unpersist()
     best = int(np.argmax(history)) + 1 if history else 0
     return Model(features, edges, trees[:best], gains, history)
 
@@ -220,7 +312,8 @@ def predict(rows: DataFrame, model: Model, rate: float = Settings.rate, name: st
 
     @F.pandas_udf("double")
     def scored(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(_scores(model.trees, _binned(x, model.edges), rate))
+        binned = _binned(x.to_numpy(float), model.edges)
+        return pd.Series(rate * sum((t.predict(binned) for t in model.trees), np.zeros(len(binned))))
 
     return rows.withColumn(name, scored(F.struct(*(F.col(f).cast("double") for f in model.features))))
 

@@ -24,7 +24,7 @@ WITH ev AS (
 """
 _ART = """, art AS (
     SELECT CAST(doc_id AS VARCHAR) AS item, regexp_extract(text, '^[^.\n]*') AS title, text AS body, source AS category, CAST(n_chars AS INT) AS total_inviews,
-           list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 9)) AS entities,
+           list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 12)) AS entities,
            CASE WHEN doc_id % 7 <> 0 THEN make_timestamp(1704067200000000 + doc_id * 21600000000) END AS published
     FROM documents
 )

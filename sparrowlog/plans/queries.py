@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..functions.windows import average_rank, ordinal_rank, over_max, scaled_rank
 from ..operators import beyond, export, features, fusion, metrics, ranker, retrieval, splits, stats
 from ..operators.causal import causal_counts, latest_before
-from ..shared import scratch, stored
+from ..shared import scratch, spread, stored
 from ..streaming.exposure import hourly_exposures, run_to_end
 from . import universe as U
 
@@ -276,7 +276,7 @@ def knn_overfetch_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str, **more) -> DataFrame:
-    return retrieval.postings(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", F.col("text"), **more)
+    return retrieval.postings(spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id"), "doc_id", F.col("text"), **more)
 
 
 @query
@@ -638,14 +638,14 @@ def _arm(t: DataFrame, names: tuple[str, ...], settings: ranker.Settings) -> Dat
 @query
 def lambdamart_rerank(spark: SparkSession, sf: str) -> DataFrame:
     t = stored(_trainable(spark, sf), "trainable")
-    return _arm(t, RANKED, ranker.Settings(rounds=5, leaves=7)).select("imp", "item", "label", "score")
+    return _arm(t, RANKED, ranker.Settings()).select("imp", "item", "label", "score")
 
 
 @query
 def causal_vs_leaky(spark: SparkSession, sf: str) -> DataFrame:
     """Mean test metrics of the causal arm and of the arm that also sees a lifetime total, on the same lists."""
     t = stored(_trainable(spark, sf), "trainable")
-    s = ranker.Settings(rounds=3, leaves=5)
+    s = ranker.Settings()
     arms = [_arm(t, names, s).withColumn("arm", F.lit(arm)) for arm, names in (("causal", RANKED), ("leaky", (*RANKED, "log_total_inviews")))]
     return metrics.mean_metrics(metrics.list_metrics(arms[0].unionByName(arms[1]), "imp", "arm"), "arm")
 
@@ -654,7 +654,7 @@ def causal_vs_leaky(spark: SparkSession, sf: str) -> DataFrame:
 def leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
     """Mean test metrics with each of three groups of features left out."""
     t = stored(_trainable(spark, sf), "trainable")
-    s = ranker.Settings(rounds=2, leaves=5)
+    s = ranker.Settings()
     groups = {"all": (), "no popularity": ("pop_causal", "pop_24h", "pop_rank"), "no exposure": ("exp_causal", "exp_rank", "exp_velocity"), "no age": ("age_hours", "recency")}
     out = None
     for name, gone in groups.items():

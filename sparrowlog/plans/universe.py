@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import doubles, micros, unit
+from ..shared import spread
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """Typed events: imp, user_id, item, ts, us, click, read_time, scroll."""
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = spread(spark.read.parquet(f"{sf}/events.parquet"), "event_id")
     day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
     return e.select(
         "event_id", "ts", micros(F.col("ts")).alias("us"), F.col("user_id").cast("string").alias("user_id"), F.get_json_object("props", "$.k").alias("item"),
@@ -59,11 +60,11 @@ def history(imps: DataFrame) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    """Articles of L1: title (the first sentence), body, category, entities (the words over 9 letters), published_time."""
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    """Articles of L1: title (the first sentence), body, category, entities (the words over 12 letters), published_time."""
+    d = spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
     return d.select(
         F.col("doc_id").cast("string").alias("article_id"), F.regexp_extract("text", r"^[^.\n]*", 0).alias("title"), F.col("text").alias("body"), F.col("source").alias("category"),
-        F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.char_length(w) > 9)).alias("entities"),
+        F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.char_length(w) > 12)).alias("entities"),
         F.when(F.col("doc_id") % 7 != 0, F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * F.lit(21600000000)).cast("timestamp_ntz")).alias("published_time"),
         F.col("n_chars").cast("int").alias("total_inviews"),
     )

@@ -23,3 +23,9 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     where = scratch(df.sparkSession, what)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan of fewer files than there are cores, dealt out by its keys, so that what reads it isn't one task; larger ones as they are."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(n, *keys) if len(scan.inputFiles()) < n else scan

@@ -53,6 +53,86 @@ def test_lambdas_push_clicks_up():
     assert g[1] > 0 > g[[0, 2, 3]].max() and g.sum() == pytest.approx(0) and (h >= 0).all()
 
 
+def brute_round(lists, scores, settings, turn, width):
+    """One tree by plain loops: pairs, histograms and splits one at a time."""
+    g, h, n = {}, {}, settings.cut
+    for i, rows in enumerate(lists):
+        order = sorted(range(len(rows)), key=lambda k: (-scores[i][k], rows[k][0]))
+        place = {k: p + 1 for p, k in enumerate(order)}
+        clicks = sum(r[1] for r in rows)
+        ideal = sum(1 / np.log2(p + 1) for p in range(1, min(clicks, n) + 1))
+        discount = [1 / np.log2(place[k] + 1) if place[k] <= n else 0.0 for k in range(len(rows))]
+        for a, b in ((a, b) for a in range(len(rows)) for b in range(len(rows)) if rows[a][1] and not rows[b][1]):
+            d, rho = abs(discount[a] - discount[b]) / ideal, 1 / (1 + np.exp(scores[i][a] - scores[i][b]))
+            for k, sign in ((a, 1), (b, -1)):
+                g[i, k] = g.get((i, k), 0) + sign * d * rho
+                h[i, k] = h.get((i, k), 0) + d * rho * (1 - rho)
+    where = {(i, k): 0 for i, rows in enumerate(lists) for k in range(len(rows))}
+    splits, values, level, count = {}, {}, [0], 1
+    while level and count < settings.leaves:
+        found = []
+        for leaf in level:
+            mine = [x for x, at in where.items() if at == leaf]
+            total = (sum(g[x] for x in mine), sum(h[x] for x in mine))
+            best = None
+            for f in range(width):
+                for cut in range(ranker.BINS):
+                    left = [x for x in mine if lists[x[0]][x[1]][2][f] <= cut]
+                    if len(left) < settings.least_rows or len(mine) - len(left) < settings.least_rows:
+                        continue
+                    a, b = sum(g[x] for x in left), sum(h[x] for x in left)
+                    gain = a * a / (b + settings.ridge) + (total[0] - a) ** 2 / (total[1] - b + settings.ridge) - total[0] ** 2 / (total[1] + settings.ridge)
+                    if round(gain, 9) > 1e-9 and (best is None or round(gain, 9) > best[0]):
+                        best = (round(gain, 9), f, cut)
+            found.append((best, leaf, total))
+        level = []
+        for best, leaf, total in sorted(found, key=lambda x: (-(x[0][0] if x[0] else 0), x[1])):
+            values.setdefault(leaf, total[0] / (total[1] + settings.ridge))
+            if best is None or count >= settings.leaves:
+                continue
+            top = 2 * len(splits)
+            splits[leaf] = (best[1], best[2], top + 1, top + 2)
+            values.pop(leaf)
+            for x in [x for x, at in where.items() if at == leaf]:
+                where[x] = top + 1 if lists[x[0]][x[1]][2][best[1]] <= best[2] else top + 2
+            for child in (top + 1, top + 2):
+                own = [x for x, at in where.items() if at == child]
+                values[child] = sum(g[x] for x in own) / (sum(h[x] for x in own) + settings.ridge)
+            level += [top + 1, top + 2]
+            count += 1
+    return splits, values, {x: values[at] for x, at in where.items()}
+
+
+def test_trees_equal_plain_loops(spark):
+    r = np.random.default_rng(3)
+    rows = [(imp, p + 1, int(p == imp % 4 or r.random() < 0.2), float(r.normal() + (p == imp % 4)), float(r.integers(0, 5))) for imp in range(40) for p in range(5)]
+    df = spark.createDataFrame(rows, "imp int, pos int, label int, a double, b double")
+    s = ranker.Settings(rounds=3, leaves=5, least_rows=8, feature_share=1.0, row_share=1.0, checkpoint_every=2)
+    model = ranker.fit(df, df, ("a", "b"), s)
+    lists = []
+    for imp in range(40):
+        own = [x for x in rows if x[0] == imp]
+        if 0 < sum(x[2] for x in own) < 5:
+            lists.append([(x[1], x[2], [int(np.searchsorted(e, v)) for e, v in zip(model.edges, x[3:])]) for x in own])
+    scores = [[0.0] * len(x) for x in lists]
+    for turn, tree in enumerate(model.trees):
+        splits, values, add = brute_round(lists, scores, s, turn, 2)
+        assert tree.splits == splits and tree.values == pytest.approx(values)
+        for (i, k), v in add.items():
+            scores[i][k] += s.rate * v
+    assert model.trees
+    again = ranker.Model.from_json(model.to_json())
+    a, b = ({(x.imp, x.pos): x.score for x in ranker.predict(df, m, s.rate).collect()} for m in (model, again))
+    assert a == b
+
+
+def test_lists_and_features_are_sampled():
+    s = ranker.Settings(row_share=0.3)
+    key = np.random.default_rng(0).integers(0, 2**63, 20_000).astype(np.uint64)
+    a, b = ranker.chosen_lists(key, 0, s), ranker.chosen_lists(key, 1, s)
+    assert abs(a.mean() - 0.3) < 0.02 and 0.05 < (a & b).mean() < 0.13 and (a == ranker.chosen_lists(key, 0, s)).all()
+
+
 def test_alpha_ties_go_to_the_least(spark):
     df = spark.createDataFrame([(1, 1, 1, 2.0, 2.0), (1, 2, 0, 1.0, 1.0)], "imp int, pos int, label int, x double, y double")
     assert fusion.best_alpha(fusion.alpha_grid(df, "x", "y")).first().alpha == 0.0
