@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparrowlog.llm import bpe, exact_dedup, language_id, mixing, simhash
-from sparrowlog.llm.common import fresh, scratch
+from sparrowlog.llm.common import discard, fresh, scratch
 from sparrowlog.llm.queries import MIX, vocabulary
 
 
@@ -28,7 +28,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample raked towards the target weights of sources, languages and topics, without repeats; rare cells fall short of them."""
+    """A sample raked to the target weights of sources, languages and topics; a value with too few tokens for its target gives all it has."""
     return mixing.sample(docs, MIX)
 
 
@@ -44,10 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again as the next stage's documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written and read again as the next stage's documents, and goes once that is written."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         where = scratch(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(where)
         docs = spark.read.parquet(where)
+        if read:
+            discard(spark, read)
+        read = where
     return docs
