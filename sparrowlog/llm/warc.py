@@ -16,9 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import LONG_MIN, chunk_count, materialise
+from .common import LONG_MIN, materialise
 
 FANOUT = 16
+#: Nodes a partition of a tree's level holds, about.
+PART_NODES = 100_000
 #: Fixed value: the date in each header; the tables hold none.
 RECORD_DATE = "2024-01-01T00:00:00Z"
 
@@ -47,7 +49,8 @@ def records(pages: DataFrame, offset: Column | None = None) -> DataFrame:
 
 def _ranged(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df`` with a column ``chunk``: rows of a lower chunk come before those of a higher one. Checkpointed, so that the chunks stay what they are."""
-    return materialise(df.repartitionByRange(chunk_count(df.sparkSession), *order).withColumn("chunk", F.spark_partition_id()))
+    chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(chunks, *order).withColumn("chunk", F.spark_partition_id()))
 
 
 def _running(ranged: DataFrame, value: str, total: str, order: list) -> DataFrame:
@@ -103,6 +106,11 @@ def numbered(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return ranks.select("key", F.greatest(F.col("before") + F.col("mine") - 1, F.lit(0)).alias("slot"))
 
 
+def _parts(top: int) -> int:
+    """Partitions of a level of nodes 0 to ``top``: a high level needs few, however many shuffle partitions there are."""
+    return max(1, -(-(top + 1) // PART_NODES))
+
+
 def _parent(node: Column) -> Column:
     return F.shiftright(node, FANOUT.bit_length() - 1)
 
@@ -123,7 +131,8 @@ def tree(slotted: DataFrame) -> list[DataFrame]:
         children = F.array_sort(F.collect_list(F.struct("node", "hash")))
         up = levels[-1].groupBy(_parent(F.col("node")).alias("parent")).agg(children.alias("c"), F.sum("n").alias("n"), F.min("start").alias("start"), F.max("stop").alias("stop"))
         joined = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x.node.cast("string"), F.hex(x.hash))), ",")
-        levels.append(materialise(up.select(F.col("parent").alias("node"), F.unhex(F.sha2(joined.cast("binary"), 256)).alias("hash"), "n", "start", "stop")))
+        level = up.select(F.col("parent").alias("node"), F.unhex(F.sha2(joined.cast("binary"), 256)).alias("hash"), "n", "start", "stop")
+        levels.append(materialise(level.coalesce(_parts(edge.z // FANOUT))))
 
 
 def differing(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
@@ -135,11 +144,12 @@ def differing(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
         while len(low) < len(tall):  # a replica of few slots has fewer levels
             low.append(materialise(low[-1].select(_parent(F.col("node")).alias("node"), "hash", "n", "start", "stop")))
     wrong = None
-    for a, b in zip(reversed(ours), reversed(theirs)):
+    for depth, (a, b) in enumerate(zip(reversed(ours), reversed(theirs))):
         a, b = a.select("node", F.col("hash").alias("a")), b.select("node", F.col("hash").alias("b"))
         if wrong is not None:
             a, b = (x.join(wrong, _parent(x.node) == wrong.parent, "left_semi") for x in (a, b))
-        at = materialise(a.join(b, "node", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))))
+        differ = a.join(b, "node", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+        at = materialise(differ.coalesce(_parts(FANOUT**depth)))
         wrong = at.select(F.col("node").alias("parent"))
     return at.select(F.col("node").alias("slot"))
 
