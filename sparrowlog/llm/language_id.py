@@ -243,7 +243,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def tagged(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with the predicted language of each row."""
+    """``docs``, all columns, with the predicted language of each row.
+
+    ``und`` for null and empty texts and those without a letter; an empty table
+    gives an empty table, repeated rows come out repeated; ``name`` must be a
+    column that ``docs`` doesn't have (``common.fresh`` gives one).
+    """
     sent, at_text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
 

@@ -82,7 +82,8 @@ def edit_study(docs: DataFrame, share: int = 3, width: int = SHINGLE_WORDS, id_c
     ranges; the first document of each range is also sent to the range before
     it, so no order is made over all rows in one task.  Rows with equal ids
     follow one another by falling text; null ids come last; null texts count
-    as empty.  Columns: doc_id, n_chars, edited_sha256, fingerprint,
+    as empty; an empty table gives an empty table; other columns are not
+    read.  Columns: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint (hex), near_edited, near_next.
     """
     splits = order_splits(docs, id_col, chunk_count(docs.sparkSession))

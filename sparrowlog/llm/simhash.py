@@ -352,8 +352,10 @@ def drop_near_copies(docs: DataFrame, width: int = 5, id_col: str = "doc_id", te
     """The rows of ``docs``, all columns, with the least doc_id of each group of near copies.
 
     Near: distinct five-word shingles with a Jaccard similarity of 0.8 or
-    more, and what such pairs connect.  Texts without words are exact copies of
-    one another.  Ids used twice are told apart by their texts.
+    more, and what such pairs connect.  Null, empty and wordless texts are exact
+    copies of one another.  Ids used twice are told apart by their texts, a
+    null id counts as the least, of repeated rows one stays.  An empty table
+    gives an empty table, and columns of any name go through.
     """
     rows = materialise(signed_documents(docs, width, id_col, text_col))
     nodes = materialise(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ["size", "bins", *_prints()]), F.min(F.struct("doc_id", "digest")).alias("first")))

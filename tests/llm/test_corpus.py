@@ -213,6 +213,13 @@ def test_drop_near_copies_against_brute_force(spark, pages):
     assert (sorted(want - got), sorted(got - want)) == ([], [])  # wrongly removed, missed
 
 
+def test_drop_near_copies_odd(odd, empty):
+    got = simhash.drop_near_copies(odd)
+    assert got.columns == odd.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, ODD[0][1]), (None, None), (None, ODD[5][1]), *((r[0], r[1]) for r in ODD if r[0] in (5, 7, 8, -9))], key=repr)
+    assert simhash.drop_near_copies(empty).collect() == []
+
+
 # ------------------------------------------------------------ 2 language ID
 
 
@@ -277,6 +284,14 @@ def test_language_id_odd(odd, empty):
     assert language_id.evaluate(empty).collect() == []
 
 
+def test_tagged_odd(odd, empty):
+    model = language_id.Model(SAMPLES)
+    got = language_id.tagged(odd, model, "told")
+    assert got.columns == [*odd.columns, "told"]
+    assert counted((r.doc_id, r.text, r.told == "und") for r in got.collect()) == counted((i, t, not t or not t.strip()) for i, t, *_ in ODD)
+    assert language_id.tagged(empty, model, "told").collect() == []
+
+
 # ------------------------------------------------------------ 3 token files
 
 
