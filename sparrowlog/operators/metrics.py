@@ -64,3 +64,17 @@ def hit_rate(lists: DataFrame, retrieved: str = "retrieved", clicked: str = "cli
 def compare(a: DataFrame, b: DataFrame, metric: str, *by: str) -> DataFrame:
     """Paired differences (b - a) over the lists that both have."""
     return a.select(*by, F.col(metric).alias("a")).join(b.select(*by, F.col(metric).alias("b")), list(by)).withColumn("delta", F.col("b") - F.col("a"))
+
+
+def require_same_lists(a: DataFrame, b: DataFrame, by: str = "imp") -> None:
+    """An error if two scored arms differ in their lists, in a list's candidates or in a label."""
+    x, y = (d.select(by, "pos", F.col("label").cast("int").alias(f"label_{c}")) for d, c in ((a, "a"), (b, "b")))
+    row = x.join(y, [by, "pos"], "full_outer").agg(F.count_if(F.col("label_a").isNull() | F.col("label_b").isNull()).alias("alone"), F.count_if(F.col("label_a") != F.col("label_b")).alias("unlike")).first()
+    if row.alone or row.unlike:
+        raise ValueError(f"arms differ: {row.alone} candidates in one of them only, {row.unlike} with other labels")
+
+
+def compare_scored(a: DataFrame, b: DataFrame, metric: str = "auc_midrank", by: str = "imp") -> DataFrame:
+    """``compare`` of two scored arms over the same lists, which is checked first."""
+    require_same_lists(a, b, by)
+    return compare(list_metrics(a, by), list_metrics(b, by), metric, by)

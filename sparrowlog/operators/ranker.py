@@ -323,9 +323,11 @@ def negative_samples(candidates: DataFrame, ratio: int = 4, seed: int = 13, by:
 
     With fewer unclicked candidates than that, they repeat; lists without any give no row.
     """
-    order: Column = F.xxhash64(by, "item", F.lit(seed))
-    pool = candidates.filter("label = 0").groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("h"), "item"))), lambda x: x.item).alias("pool"))
-    first = F.pmod(F.xxhash64("item", F.lit(seed)), F.size("pool").cast("long")).cast("int")
+    def digest(*columns: str) -> Column:
+        return F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in columns), F.lit(str(seed))).cast("binary"))
+
+    pool = candidates.filter("label = 0").groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(digest(by, "item").alias("h"), "item"))), lambda x: x.item).alias("pool"))
+    first = (F.conv(F.substring(digest("item"), 1, 15), 16, 10).cast("long") % F.size("pool")).cast("int")
     picked = F.transform(F.sequence(F.lit(0), F.lit(ratio - 1)), lambda i: F.get("pool", (first + i) % F.size("pool")))
     return candidates.filter("label = 1").select(by, "item").join(pool, by).select(by, "item", picked.alias("negatives"))
 

@@ -127,4 +127,4 @@ def numbered(df: DataFrame, key: str, name: str = "row") -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 13) -> DataFrame:
     """n rows without replacement, by hash of the key and a seed: the same rows however partitioned."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)

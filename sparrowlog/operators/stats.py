@@ -42,8 +42,12 @@ def exact_interval(rows: DataFrame, value: str, order: str, *by: str, resamples:
 _POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1), initial=1.0) for k in range(9)]).tolist()
 
 
+def _uniform(key: Column, replicate: Column) -> Column:
+    return F.pmod(F.xxhash64(key, replicate), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 def poisson_weight(key: Column, replicate: Column) -> Column:
-    u = F.pmod(F.xxhash64(key, replicate), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = _uniform(key, replicate)
     return sum(((u >= p).cast("int") for p in _POISSON), F.lit(0))
 
 
@@ -58,8 +62,26 @@ def poisson_interval(rows: DataFrame, value: str, key: str, *by: str, resamples:
     return joined.select(*by, "mean", "lo", "hi", "n").withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
+#: Replicates whose bits share one long.
+_BITS = 50
+
+
 def coverage_spread(top: DataFrame, catalogue_size: int, list_key: str = "imp", item: str = "item", resamples: int = 100) -> DataFrame:
-    """How coverage moves when lists are resampled (no confidence interval: distinct counts only fall)."""
-    per = top.select(list_key, item, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).filter(poisson_weight(F.col(list_key), F.col("r")) > 0)
-    c = per.groupBy("r").agg((F.countDistinct(item) / F.lit(float(catalogue_size))).alias("c"))
+    """How coverage moves when lists are resampled (no confidence interval: distinct counts only fall).
+
+    A list's replicates are the bits of a few longs, or-ed by item: one row an
+    item, and not one a list and replicate.
+    """
+    groups = [range(at, min(at + _BITS, resamples)) for at in range(0, resamples, _BITS)]
+
+    def mask(g: range) -> Column:
+        """Bit r - g.start for each replicate r that draws the list at all."""
+        drawn = lambda r: _uniform(F.col(list_key), r) >= _POISSON[0]
+        bit = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), r - F.lit(g.start))
+        return F.aggregate(F.sequence(F.lit(g.start), F.lit(g.stop - 1)), F.lit(0).cast("long"), lambda acc, r: F.when(drawn(r), acc.bitwiseOR(bit(r))).otherwise(acc))
+
+    bits = [mask(g) for g in groups]
+    held = top.select(item, *(b.alias(f"b{k}") for k, b in enumerate(bits))).groupBy(item).agg(*(F.bit_or(f"b{k}").alias(f"b{k}") for k in range(len(groups))))
+    counts = held.agg(*(F.sum(F.shiftright(f"b{k}", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"r{r}") for k, g in enumerate(groups) for i, r in enumerate(g)))
+    c = counts.select(F.explode(F.array(*(F.coalesce(f"r{r}", F.lit(0)) / F.lit(float(catalogue_size)) for r in range(resamples)))).alias("c"))
     return c.agg(F.avg("c").alias("mean"), F.percentile("c", F.lit(0.025)).alias("lo"), F.percentile("c", F.lit(0.975)).alias("hi"), F.count("*").alias("resamples"))

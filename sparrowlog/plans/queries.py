@@ -490,9 +490,7 @@ def length_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def compare_arms(spark: SparkSession, sf: str) -> DataFrame:
-    a = metrics.list_metrics(_counts(spark, sf, {"score": None}, True), "imp")
-    b = metrics.list_metrics(_counts(spark, sf, {"score": 24.0}, True), "imp")
-    d = metrics.compare(a, b, "auc_midrank", "imp")
+    d = metrics.compare_scored(_counts(spark, sf, {"score": None}, True), _counts(spark, sf, {"score": 24.0}, True))
     return d.agg(F.count("*").alias("lists"), F.round(F.avg("a"), 6).alias("a"), F.round(F.avg("b"), 6).alias("b"), F.round(F.avg("delta"), 6).alias("delta"), F.count(F.when(F.col("delta") > 1e-12, 1)).alias("better"))
 
 
@@ -609,6 +607,27 @@ def sweep_history_n(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.list_metrics(scored, "imp", "last").groupBy("last").agg(F.count("*").alias("lists"), F.round(F.avg("auc_midrank"), 4).alias("auc"))
 
 
+@query
+def sweep_history_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``sweep_history_n``, with clicks weighted by their read time."""
+    _, c = _log(spark, sf)
+    v = U.vectors(spark, sf)
+    h = _history(spark, sf)[1].withColumn("last", F.explode(F.array(*map(F.lit, (1, 5, 10, 50))))).filter(F.col("h") > F.col("hist_len") - F.col("last"))
+    w = F.log1p(F.greatest(C.number_or_zero(F.col("read_time")), F.lit(0.0)))
+    scored = c.join(retrieval.user_vectors(h, v, w, "imp", "last"), "imp").join(v, "item").withColumn("score", F.round(C.dot(F.col("u"), F.col("v")), 7))
+    return metrics.list_metrics(scored, "imp", "last").groupBy("last").agg(F.count("*").alias("lists"), F.round(F.avg("auc_midrank"), 4).alias("auc"))
+
+
+@query
+def sweep_scroll_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean AUC of the cosine with the user vector of the clicks scrolled so far at least, by threshold."""
+    _, c = _log(spark, sf)
+    v = U.vectors(spark, sf)
+    h = _history(spark, sf)[1].withColumn("least", F.explode(F.array(*map(F.lit, (0.0, 25.0, 50.0, 90.0))))).filter(F.col("scroll") >= F.col("least"))
+    scored = c.join(retrieval.user_vectors(h, v, None, "imp", "least"), "imp").join(v, "item").withColumn("score", F.round(C.dot(F.col("u"), F.col("v")), 7))
+    return metrics.list_metrics(scored, "imp", "least").groupBy("least").agg(F.count("*").alias("lists"), F.round(F.avg("auc_midrank"), 4).alias("auc"))
+
+
 @query
 def sweep_scroll(spark: SparkSession, sf: str) -> DataFrame:
     """Share of history kept over scroll thresholds, and users left."""

@@ -232,6 +232,30 @@ def test_pair_scores_are_those_of_the_search(spark):
     assert len(got) == pairs.count() and all(r.bm25 == pytest.approx(whole.get((r.imp, r.item), 0.0)) for r in got) and any(r.bm25 for r in got)
 
 
+def test_serving_gives_the_offline_scores(spark, sf):
+    from sparrowlog.plans import serving
+
+    docs = spark.createDataFrame([(str(i), " ".join(f"w{(i * j) % 17}" for j in range(12))) for i in range(40)], "article_id string, body string")
+    index = retrieval.postings(docs, "article_id", F.col("body"))
+    v = spark.createDataFrame([(str(i), [float(i % 3), 1.0]) for i in range(40)], "item string, v array<double>")
+    server = serving.Server(index, v)
+    pool = ["3", "7", "9", "none"]
+    got, times = server.request("w1 w2 w2".split(), pool, ["1", "2"], alpha=0.0)
+    scores = {r.doc_id: r.score for r in retrieval.bm25_scores(spark.createDataFrame([("w1 w2 w2",)], "query string"), index).collect()}
+    want = np.array([scores.get(p, 0.0) for p in pool])
+    assert got == pytest.approx((want - want.mean()) / want.std()) and len(times) == len(serving.STAGES)
+    report = serving.run(spark, sf, requests=20)
+    assert [r["documents"] for r in report["scaling"]][0] == 200 and all(r["ms"]["all"]["p50"] <= r["ms"]["all"]["p99"] for r in report["scaling"])
+
+
+def test_arms_must_have_the_same_lists(spark):
+    a = spark.createDataFrame([(1, 1, 0, 0.1), (1, 2, 1, 0.2)], "imp int, pos int, label int, score double")
+    assert metrics.compare_scored(a, a).first().delta == 0
+    for b in (a.filter("pos = 1"), a.withColumn("label", 1 - F.col("label"))):
+        with pytest.raises(ValueError):
+            metrics.compare_scored(a, b)
+
+
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "the red fox"), (2, "red red dog"), (3, None)], "id int, text string")
     s = retrieval.bm25_scores(spark.createDataFrame([("red",), ("red",), ("cat",)], "query string"), retrieval.postings(docs, "id", F.col("text"))).toPandas().set_index("doc_id").score
