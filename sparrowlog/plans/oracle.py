@@ -302,8 +302,6 @@ ORACLE: dict[str, str] = {
         sw AS (SELECT c.imp, c.pos, c.label, uv.last, round(sum(uv.x * dims.x), 7) AS score FROM cand c JOIN dims ON dims.item = c.item JOIN uv ON uv.imp = c.imp AND uv.d = dims.d GROUP BY ALL){_metrics('sw', 'imp, last')} SELECT last, count(*) AS lists, round(avg(auc_midrank), 4) AS auc FROM m GROUP BY last""",
     "sweep_history_weighted": f"""{_LOG}{_VEC}, h AS (SELECT imp, item, last, ln(1 + greatest(CASE WHEN isnan(read_time) THEN 0 ELSE coalesce(read_time, 0) END, 0)) AS w FROM hist0, (SELECT unnest([1, 5, 10, 50]) AS last) q WHERE h > hist_len - last){_USER.format(by='imp, last')},
         sw AS (SELECT c.imp, c.pos, c.label, uv.last, round(sum(uv.x * dims.x), 7) AS score FROM cand c JOIN dims ON dims.item = c.item JOIN uv ON uv.imp = c.imp AND uv.d = dims.d GROUP BY ALL){_metrics('sw', 'imp, last')} SELECT last, count(*) AS lists, round(avg(auc_midrank), 4) AS auc FROM m GROUP BY last""",
-    "sweep_scroll_auc": f"""{_LOG}{_VEC}, h AS (SELECT imp, item, least, 1.0::DOUBLE AS w FROM hist0, (SELECT unnest([0.0, 25.0, 50.0, 90.0])::DOUBLE AS least) q WHERE scroll >= least){_USER.format(by='imp, least')},
-        sw AS (SELECT c.imp, c.pos, c.label, uv.least, round(sum(uv.x * dims.x), 7) AS score FROM cand c JOIN dims ON dims.item = c.item JOIN uv ON uv.imp = c.imp AND uv.d = dims.d GROUP BY ALL){_metrics('sw', 'imp, least')} SELECT least, count(*) AS lists, round(avg(auc_midrank), 4) AS auc FROM m GROUP BY least""",
     "seeded_sample": "SELECT p_partkey, p_brand FROM part ORDER BY md5(p_partkey || ':13'), p_partkey LIMIT 100",
     "negative_sampling": f"""{_LOG}, pool AS (SELECT imp, list(item ORDER BY md5(imp || ':' || item || ':13'), item) AS pool FROM cand WHERE label = 0 GROUP BY imp),
         f AS (SELECT imp, item, pool, ('0x' || substr(md5(item || ':13'), 1, 15))::BIGINT % len(pool) AS first FROM cand JOIN pool USING (imp) WHERE label = 1)

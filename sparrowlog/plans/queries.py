@@ -618,16 +618,6 @@ def sweep_history_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.list_metrics(scored, "imp", "last").groupBy("last").agg(F.count("*").alias("lists"), F.round(F.avg("auc_midrank"), 4).alias("auc"))
 
 
-@query
-def sweep_scroll_auc(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean AUC of the cosine with the user vector of the clicks scrolled so far at least, by threshold."""
-    _, c = _log(spark, sf)
-    v = U.vectors(spark, sf)
-    h = _history(spark, sf)[1].withColumn("least", F.explode(F.array(*map(F.lit, (0.0, 25.0, 50.0, 90.0))))).filter(F.col("scroll") >= F.col("least"))
-    scored = c.join(retrieval.user_vectors(h, v, None, "imp", "least"), "imp").join(v, "item").withColumn("score", F.round(C.dot(F.col("u"), F.col("v")), 7))
-    return metrics.list_metrics(scored, "imp", "least").groupBy("least").agg(F.count("*").alias("lists"), F.round(F.avg("auc_midrank"), 4).alias("auc"))
-
-
 @query
 def sweep_scroll(spark: SparkSession, sf: str) -> DataFrame:
     """Share of history kept over scroll thresholds, and users left."""
