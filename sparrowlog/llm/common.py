@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -116,6 +117,13 @@ def trim_memory() -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Gives back what the driver no longer needs: frames that are gone in Python free their plans, shuffles and checkpoints in the JVM."""
+    gc.collect()
+    trim_memory()
+    spark._jvm.System.gc()
+
+
 def per_process(kind: str, key: object, make: Callable[[], object]) -> object:
     """What ``make`` gave for this key, if it was the last of its kind in this worker process; else made anew."""
     store = sys.modules.setdefault("_sparrowlog_process", types.ModuleType("_sparrowlog_process")).__dict__

@@ -23,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import SLICE, among_least, text_map
+from .common import SLICE, among_least, materialise, text_map
 
 #: Bounds of the sample: documents a language, characters of each, characters a language.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 200, 2_000, 24_000
 #: Letters that are told apart: the commonest of each language in turn, up to so many in all; others by so many classes of code points.
 LETTERS, CLASSES = 180, 64
 BLOCK = 1_024
+#: Labels up to which their counts are broadcast (under 100 bytes each).
+BROADCAST_LABELS = 100_000
 UNDETERMINED = "und"
 #: Symbols besides letters: digits, all else, padding; then the classes of other letters.
 _DIGIT, _SPACE, _PAD, _CLASS = range(4)
@@ -114,7 +116,7 @@ def step_table(symbols: list[int], size: int) -> np.ndarray:
     that nothing follows.  The padding symbol stays where it is.
     """
     nxt = suffix_automaton(symbols)
-    root = np.full(size, len(nxt), np.int64)
+    root = np.full(size, len(nxt), np.int32)
     for c, to in nxt[0].items():
         root[c] = to
     table = np.tile(2 * root + 1, (len(nxt) + 1, 1))
@@ -122,8 +124,8 @@ def step_table(symbols: list[int], size: int) -> np.ndarray:
     for state, out in enumerate(nxt):
         for c, to in out.items():
             table[state, c] = 2 * to
-    table[:, _PAD] = 2 * np.arange(len(table))
-    return table.astype(np.int32)
+    table[:, _PAD] = 2 * np.arange(len(table), dtype=np.int32)
+    return table
 
 
 class Model:
@@ -211,7 +213,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     rows = rows.filter("label is not null and doc_id is not null")
     h = F.xxhash64("doc_id")
     order = Window.partitionBy("label").orderBy("h", "doc_id")
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    sizes = materialise(rows.groupBy("label").agg(F.count("*").alias("n")))
+    if sizes.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        sizes = F.broadcast(sizes)
     few = rows.select("label", "doc_id", h.alias("h")).join(sizes, "label").filter(among_least(F.col("h"), F.col("n"), SAMPLE_DOCS))
     ids = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE_DOCS).select("doc_id").distinct()
     wanted = [r.doc_id for r in ids.collect()]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import golay
-from .common import LONG_MIN, arrow_map, keep_rows, lower_ascii_words, materialise, row_digest, shingle_hashes, stored
+from .common import LONG_MIN, arrow_map, keep_rows, lower_ascii_words, materialise, release, row_digest, shingle_hashes, stored
 from .components import components
 
 #: Nodes of a key up to which all their pairs are compared.
@@ -360,6 +360,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, id_col: str = "doc_id", te
     rows = materialise(signed_documents(docs, width, id_col, text_col))
     nodes = materialise(rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ["size", "bins", *_prints()]), F.min(F.struct("doc_id", "digest")).alias("first")))
     tree = components(similar_links(nodes, docs, width, id_col, text_col))
+    release(docs.sparkSession)
     rooted = materialise(nodes.join(tree, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     top = rooted.groupBy("root").agg(F.min("first").alias("stays"))
     named = materialise(rooted.join(top, "root").select("node", "stays"))
