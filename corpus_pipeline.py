@@ -9,6 +9,10 @@ from sparrowlog.llm.common import discard, fresh, scratch
 from sparrowlog.llm.queries import MIX, vocabulary
 
 
+#: Words of BPE's table; fewer than the operator's own number, since one driver runs all stages.
+TABLE_WORDS = 1 << 16
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter go, and a null lang is filled in."""
     model = language_id.learn(docs)
@@ -34,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text and the hashes that show the round trip."""
-    return bpe.round_trip(docs, bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken")))
+    return bpe.round_trip(docs, bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken")), table_size=TABLE_WORDS)
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing to target weights", mix), ("byte-level BPE", encode)]

@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sparrowlog.llm import bpe
+from sparrowlog.llm import bpe, common
 from sparrowlog.llm.queries import vocabulary
 
 
@@ -43,3 +43,26 @@ def test_ties_and_falling_ranks_go_first_from_the_left(spark):
 
 def test_no_words_are_spelled_as_none():
     assert bpe.spelled([], bpe.byte_pieces({bytes([b]): b for b in range(256)})).to_pylist() == []
+
+
+def test_executors_give_memory_back_before_words_are_folded(spark, sf, monkeypatch):
+    """Before, the heap that earlier stages of the pipeline had grown stayed beside four Python workers an executor."""
+    asked = []
+    monkeypatch.setattr(bpe, "release_executors", lambda s: (asked.append(s), common.release_executors(s)))
+    bpe.encode(spark.read.parquet(f"{sf}/documents.parquet").limit(5), bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken")))
+    assert asked == [spark]
+
+
+def test_texts_are_joined_in_small_batches(spark):
+    """Before, a second function joined 2,000 documents at once; what it gives is the same wherever batches are cut."""
+    ranks = bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    texts = [f"w{i} word{i % 7} thing{i * 31}" for i in range(3 * bpe.BATCH + 5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {i: [r for w in bpe.regex.findall(bpe._PYTHON_PATTERN, t) for r in bpe.merge(w.encode(), ranks)] for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in bpe.encode(docs, ranks).collect()} == want
+
+
+def test_the_table_has_the_size_asked_for(spark, sf):
+    """The pipeline's driver holds a smaller table; before, all callers had the same."""
+    docs, ranks = spark.read.parquet(f"{sf}/documents.parquet"), bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    assert len(bpe.common_words(docs, ranks, size=20)) == 20
