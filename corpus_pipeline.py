@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparrowlog.llm import bpe, exact_dedup, language_id, mixing, simhash
-from sparrowlog.llm.common import discard, fresh, scratch
+from sparrowlog.llm.common import discard, fresh, release, scratch
 from sparrowlog.llm.queries import MIX, vocabulary
 
 
@@ -28,6 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the least doc_id."""
+    release(spark)
     return simhash.drop_near_copies(docs)
 
 
